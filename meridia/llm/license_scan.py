@@ -12,6 +12,8 @@ coefficients go to the first template of the list; repeated rows get equal resul
 from __future__ import annotations
 
 import re
+from fractions import Fraction
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +55,8 @@ def template_bigrams(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
 
 def bounds(size: int, threshold: float) -> tuple[int, int]:
     """The sizes of bigram sets whose Dice with a set of ``size`` can reach the threshold."""
-    return -int(-(size * threshold / (2 - threshold)) // 1), int(size * (2 - threshold) / threshold + 1e-9)
+    t = Fraction(str(threshold))  # exact: a bound that a rounding error moves would lose templates
+    return ceil(size * t / (2 - t)), floor(size * (2 - t) / t)
 
 
 def _bigrams(unit: Column) -> Column:
