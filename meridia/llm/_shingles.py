@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 SPAN = 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -19,20 +18,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Hashes of words; forgets them all when there are too many, so a worker's memory stays bounded."""
+class WordHashes:
+    """Hashes of the words of texts: sums of byte codes times powers of an odd number, over prefix sums of all bytes.
 
-    MOST = 400_000
+    Texts are taken together up to LIMIT bytes, a longer one in parts that end at blanks, so memory stays bounded.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+    LIMIT = 1 << 20
+    _BASE = 0x9FB21C651E98DF25
+
+    def __init__(self):
+        self.code = mix(np.arange(1, 257, dtype=np.uint64) * _PLACE[2])
+        self.blank = np.zeros(256, np.bool_)
+        self.blank[list(b" \t\n\v\f\r")] = True
+        self._tables(self.LIMIT)
+
+    def _tables(self, n: int) -> None:
+        power = np.full(n, self._BASE, np.uint64)
+        inverse = np.full(n, pow(self._BASE, -1, 1 << 64), np.uint64)
+        power[0] = inverse[0] = 1
+        self.power, self.inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+
+    def _hash(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first byte of each word."""
+        if len(raw) > len(self.power):
+            self._tables(len(raw))
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[1:-1] = ~self.blank[raw]
+        step = np.diff(inside)
+        begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        run = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.code[raw] * self.power[: len(raw)], out=run[1:])
+        return mix((run[end] - run[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64)), begin
+
+    def _one(self, text: bytes) -> np.ndarray:
+        out, raw, at = [], np.frombuffer(text, np.uint8), 0
+        while at < len(raw):
+            end = at + self.LIMIT
+            while end < len(raw) and not self.blank[raw[end]]:
+                end += 1
+            out.append(self._hash(raw[at:end])[0])
+            at = end
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def of_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        plain = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(plain):
+            size, to = len(plain[at]) + 1, at + 1
+            while to < len(plain) and size + len(plain[to]) < self.LIMIT:
+                size += len(plain[to]) + 1
+                to += 1
+            if to == at + 1:
+                out.append(self._one(plain[at]))
+            else:
+                words, begin = self._hash(np.frombuffer(b"\n".join(plain[at:to]), np.uint8))
+                edge = np.cumsum([len(p) + 1 for p in plain[at:to]])
+                out.extend(np.split(words, np.searchsorted(begin, edge[:-1])))
+            at = to
+        return out
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return self.of_many([text])[0]
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -52,3 +100,16 @@ def fingerprint(shingles: np.ndarray) -> int:
     """A signed 64-bit number of a set, the same for equal sets."""
     both = mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True) + np.array([len(shingles)], np.uint64) * _PLACE[1]
     return int(mix(both).view(np.int64)[0])
+
+
+#: Bits of a parity sketch.
+PARITY_BITS = 512
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Whether the shingles of each of PARITY_BITS parts of the universe are odd in number, as signed 64-bit words.
+
+    Two sets differ in at least as many shingles as their sketches do in bits.
+    """
+    odd = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)

@@ -54,8 +54,8 @@ def fit(docs: DataFrame, targets: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, raw, good = WordHashes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for part in slices(batches):
-            for text, target in zip(part.column("text").to_pylist(), part.column("target").to_pylist()):
-                c = np.bincount(grams(words.of(text)), minlength=BUCKETS)
+            for found, target in zip(words.of_many(part.column("text").to_pylist()), part.column("target").to_pylist()):
+                c = np.bincount(grams(found), minlength=BUCKETS)
                 raw += c
                 if target:
                     good += c
@@ -80,8 +80,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, scale: float = SCALE) -> DataFrame
         words = WordHashes()
         for part in slices(batches):
             n, w = [], []
-            for text in part.column("text").to_pylist():
-                g = grams(words.of(text))
+            for found in words.of_many(part.column("text").to_pylist()):
+                g = grams(found)
                 n.append(len(g))
                 w.append(float(shared.value[g].mean() * scale) if len(g) else None)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(w, pa.float64())], ["doc_id", "n_grams", "log_weight"])

@@ -8,10 +8,11 @@ more shingles first. The cheapest segment that both sets share is among the H +
 indexes that subset only, for its own band and, as the larger partner, for the band below. Small sets (at most 14
 shingles) are one segment with its deletion neighbourhood: one deletion suffices up to 9 shingles, two up to 14.
 
-Buckets of a signature are not expanded into all pairs: their members are verified against a few pivots at a time, and
-pairs that verified links have already put into one component are never verified. Rounds go on until no bucket holds
-an unverified pair of different components, so no link between different components is lost. Verification is exact,
-on the whole sets.
+Buckets of a signature are not expanded into all pairs: their members are held against a few pivots at a time, and
+pairs that verified links have already put into one component are left out. Rounds go on until no bucket holds an
+unseen pair of different components, so no link between different components is lost. Before texts are fetched, a
+parity sketch (512 bits, the parity of the number of shingles in each part of the universe) drops pairs that certainly
+differ in more than H shingles: sets differ at least where sketches do. Verification is exact, on the whole sets.
 
 Defined results: a null or empty text has no shingles, links with nothing and is its own component; a null id has a
 null component unless its text links with another; rows that repeat an id are rows of their own; an empty table gives
@@ -31,14 +32,15 @@ from pyspark.sql import functions as F
 
 from meridia.llm._common import checked_broadcast, slices, stage_table
 from meridia.llm._components import connected_components
-from meridia.llm._shingles import WordHashes, fingerprint, mix, shingle_set
+from meridia.llm._shingles import PARITY_BITS, WordHashes, fingerprint, mix, parity, shingle_set
 
 PERCENT = 80
 SMALL, FIRST = 14, 15
 #: Cells of the count of segment contents, over the whole corpus.
 COST_BITS = 14
 #: Pivots of a bucket by round; the last number repeats.
-PIVOTS = (1, 16, 64)
+PIVOTS = (1, 256, 2048)
+SKETCH = [f"s{i}" for i in range(PARITY_BITS // 64)]
 
 
 def differ(a: int, b: int) -> int:
@@ -130,25 +132,26 @@ def _sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, cells = WordHashes(), np.zeros(1 << COST_BITS, np.int64)
         for part in slices(batches):
-            n, cls = [], []
-            for text in part.column("text").to_pylist():
-                s = shingle_set(words.of(text))
+            n, cls, bits = [], [], []
+            for found in words.of_many(part.column("text").to_pylist()):
+                s = shingle_set(found)
                 n.append(len(s))
                 cls.append(fingerprint(s) if len(s) else None)
+                bits.append(parity(s))
                 if len(s) >= FIRST:
                     sig, sizes = segments(s, band_of(len(s)))
                     cells += np.bincount((sig[sizes > 0] >> np.uint64(64 - COST_BITS)).astype(np.int64), minlength=len(cells))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32())], ["doc_id", "n", "cls", "cell"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), *map(pa.array, np.stack(bits, 1))], ["doc_id", "n", "cls", "cell", *SKETCH])
         full = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), pa.array(cells[full], pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(full.astype(np.int32))], ["doc_id", "n", "cls", "cell"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), pa.array(cells[full], pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(full.astype(np.int32)), *[pa.nulls(len(full), pa.int64())] * len(SKETCH)], ["doc_id", "n", "cls", "cell", *SKETCH])
 
-    table = stage_table(docs.mapInArrow(run, "doc_id long, n long, cls long, cell int"), "sets")
+    table = stage_table(docs.mapInArrow(run, f"doc_id long, n long, cls long, cell int, {', '.join(f'{x} long' for x in SKETCH)}"), "sets")
     count = np.zeros(1 << COST_BITS, np.float64)
     for r in table.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a fixed number of cells
         count[r.cell] = r.n
     over = count / max(count.sum() / len(count), 1e-9)
     heat = np.clip(np.floor(np.log2(np.maximum(over, 1.0))) - 2, 0, 100).astype(np.uint64)
-    return table.where("cell IS NULL").select("doc_id", "n", "cls"), heat
+    return table.where("cell IS NULL").drop("cell"), heat
 
 
 def _buckets(docs: DataFrame, heat: np.ndarray) -> DataFrame:
@@ -158,8 +161,8 @@ def _buckets(docs: DataFrame, heat: np.ndarray) -> DataFrame:
         words, done = WordHashes(), set()
         for part in slices(batches):
             sigs, ids, times = [], [], []
-            for text in part.column("text").to_pylist():
-                s = shingle_set(words.of(text))
+            for found in words.of_many(part.column("text").to_pylist()):
+                s = shingle_set(found)
                 if len(s) == 0 or (cls := fingerprint(s)) in done:
                     continue  # a task indexes a class once
                 if len(done) >= 1_000_000:
@@ -177,6 +180,19 @@ def _buckets(docs: DataFrame, heat: np.ndarray) -> DataFrame:
     return stage_table(index.where("lo <> hi"), "buckets")
 
 
+def _may_link():
+    """Of two classes with columns ..._a and ..._b: False only if their sets are certainly too different."""
+    smaller, larger = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    bits = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
+    return (smaller * 100 >= larger * PERCENT) & (bits * (100 + PERCENT) <= (smaller + larger) * (100 - PERCENT))
+
+
+def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of known classes that sizes and sketches leave open."""
+    side = lambda x: known.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in SKETCH))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link()).select("a", "b")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets have J >= 0.8."""
 
@@ -185,10 +201,10 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for part in slices(slices(batches, "text_a"), "text_b"):
             a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
             good = []
-            for i, (x, y) in enumerate(zip(part.column("text_a"), part.column("text_b"))):
+            for i, y in enumerate(words.of_many(part.column("text_b").to_pylist())):
                 if a[i] != last:
-                    last, held = a[i], shingle_set(words.of(x.as_py()))
-                if similar(held, shingle_set(words.of(y.as_py()))):
+                    last, held = a[i], shingle_set(words.of(part.column("text_a")[i].as_py()))
+                if similar(held, shingle_set(y)):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
 
@@ -200,28 +216,31 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets, heat = _sets(docs)
-    classes = sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    classes = sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", *SKETCH)))
     shared = _buckets(docs, heat)
     pairs = shared.where("cnt = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
     # buckets with the same members are one: their name is what their members sum up to
     name = F.xxhash64("cnt", "lo", "hi", "all")
-    large = shared.where("cnt > 2").select(name.alias("bucket"), "cls").distinct()
-    large = stage_table(large.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("cls"))), "members")
+    large = stage_table(shared.where("cnt > 2").select(name.alias("bucket"), "cls").distinct(), "large")
+    stars = large.join(large.groupBy("bucket").agg(F.min("cls").alias("a")), "bucket").where("a <> cls").select("a", F.col("cls").alias("b"))
+    pairs = pairs.unionByName(stars).distinct()
+    known = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.where("rep IS NOT NULL"), "cls"), "known")
+    pairs = stage_table(_possible(pairs, known), "pairs")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("cls"))
+    large = stage_table(large.join(known.drop("rep"), "cls").withColumn("place", place), "members")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(large.select("cls")).distinct()
-    involved = stage_table(involved.join(classes.where("rep IS NOT NULL"), "cls").select("cls", F.col("rep").alias("doc_id")), "involved")
+    involved = stage_table(involved.join(known, "cls").select("cls", F.col("rep").alias("doc_id")), "involved")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for part in slices(batches):  # ids may repeat: only the text of the class is kept
-            good = [i for i, (c, t) in enumerate(zip(part.column("cls").to_pylist(), part.column("text").to_pylist())) if len(s := shingle_set(words.of(t))) and fingerprint(s) == c]
+            good = [i for i, (c, w) in enumerate(zip(part.column("cls").to_pylist(), words.of_many(part.column("text").to_pylist()))) if len(s := shingle_set(w)) and fingerprint(s) == c]
             yield part.take(pa.array(good, pa.int64()))
 
     texts = docs.join(checked_broadcast(involved), "doc_id").select("cls", "text").mapInArrow(same, "cls long, text string")
     texts = stage_table(texts, "texts")
 
-    first = Window.partitionBy("bucket")
-    stars = large.withColumn("a", F.min("cls").over(first)).where("a <> cls").select("a", F.col("cls").alias("b"))
-    links = _verify(pairs.unionByName(stars).distinct(), texts)
+    links = _verify(pairs, texts)
     found, done, turn = connected_components(links), PIVOTS[0], 1
     while True:
         labelled = large.where(F.col("place") > done).join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
@@ -230,11 +249,11 @@ def components(docs: DataFrame) -> DataFrame:
         if rest.isEmpty():
             break
         step = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        pivots = rest.where(F.col("place") <= done + step).select("bucket", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("place").alias("pa"))
-        more = pivots.join(rest, "bucket").where("place > pa AND label <> la").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+        pivots = rest.where(F.col("place") <= done + step).select("bucket", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("place").alias("pa"), F.col("n").alias("n_a"), *(F.col(c).alias(f"{c}_a") for c in SKETCH))
+        others = rest.select("bucket", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("place").alias("pb"), F.col("n").alias("n_b"), *(F.col(c).alias(f"{c}_b") for c in SKETCH))
+        more = pivots.join(others, (pivots.bucket == others.bucket) & (F.col("pb") > F.col("pa")) & (F.col("la") != F.col("lb")) & _may_link()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = _verify(more, texts)
         if not fresh.isEmpty():
-            links = links.unionByName(fresh)
             found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
         done, turn = done + step, turn + 1
     rooted = found.select(F.col("node").alias("cls"), "component").join(classes, "cls")

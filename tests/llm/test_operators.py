@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from meridia.llm import best_fit_pack, chat_format, embedding_dedup, importance_sample, language_id, license_scan, ngram_jaccard, quality_rules, queries, source_mix, token_binary
+from meridia.llm import _shingles, best_fit_pack, chat_format, embedding_dedup, importance_sample, language_id, license_scan, ngram_jaccard, quality_rules, queries, source_mix, token_binary
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
+LONG_WORDS = " ".join(f"w{i} \n" for i in range(200))
 
 
 def rows_of(df):
@@ -180,6 +181,24 @@ def test_pigeonhole_shares_a_signature_with_every_partner():
                 assert np.intersect1d(ngram_jaccard.signatures(a, heat), ngram_jaccard.signatures(b, heat)).size, (len(a), len(b))
 
 
+def test_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(6)
+    for n in (5, 100, 2000):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**64, n // 3, np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (_shingles.parity(a) ^ _shingles.parity(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
+def test_word_hashes_do_not_depend_on_parts(monkeypatch):
+    texts = ["One two\tthree", None, "", LONG_WORDS, "x" * 300, " one  TWO ", "é ß"]
+    want = [[whole.of(w)[0] for w in words(t)] for t in texts] if (whole := _shingles.WordHashes()) else []
+    monkeypatch.setattr(_shingles.WordHashes, "LIMIT", 64)
+    small = _shingles.WordHashes()
+    for made in (whole, small):
+        assert [list(x) for x in made.of_many(texts)] == want
+
+
 def test_ngram_jaccard(spark, docs, no_docs):
     assert ngram_jaccard.components(no_docs).count() == 0
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.components(docs).collect()}
