@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
+from functools import lru_cache
 
 #: Characters of one call on a text that takes the library's own way.
 CHUNK = 500_000
@@ -18,11 +18,36 @@ WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LET
 
 
 #: Pieces of one generation; of two at most, what is not asked for again goes with the older.
-PIECES = 300_000
+PIECES = 400_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class PieceIds(dict):
+    """The ids, as bytes, of each piece of a text; the library's model is asked once for a piece while it is remembered."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters, self.older = model, _byte_letters(), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(self) >= PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
 
 
 class Encoder:
-    """Encodes texts with a public tokenizer file. Pieces of plain texts are encoded once and remembered."""
+    """Encodes texts with a public tokenizer file. Plain texts are cut into pieces here, and known pieces are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -36,8 +61,7 @@ class Encoder:
         else:
             self.cut, self.lower = None, False
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = PieceIds(self.tokenizer.model)
 
     @property
     def vocabulary(self) -> int:
@@ -49,29 +73,18 @@ class Encoder:
             end = len(text)
             if end - at > CHUNK and (m := _CHUNK_END.search(text, at + CHUNK)):
                 end = m.start()
-            out.append(np.array(self.tokenizer.encode_batch_fast([text[at:end]], add_special_tokens=False)[0].ids, "<u4").tobytes())
+            out.append(array("I", self.tokenizer.encode_batch_fast([text[at:end]], add_special_tokens=False)[0].ids).tobytes())
             at = end
         return b"".join(out)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list = []
-        fresh: dict[str, None] = {}
-        if len(self.known) > PIECES:
-            self.known, self.older = {}, self.known
-        for text in texts:
-            text = text or ""
-            if self.cut is None or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-                out.append(self._direct(text))
-                continue
-            pieces = self.cut.findall(text.lower() if self.lower else text)
-            out.append(pieces)
-            fresh.update(dict.fromkeys(p for p in pieces if p not in self.known))
-        if fresh:
-            self.known.update((p, self.older[p]) for p in fresh if p in self.older)
-            names = [p for p in fresh if p not in self.known]
-            for at in range(0, len(names), 20_000):
-                part = names[at : at + 20_000]
-                for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.known[piece] = np.array(e.ids, "<u4").tobytes()
-        find = self.known.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(find, x)) for x in out]
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        if self.cut is None or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return self._direct(text)
+        return b"".join(map(self.known.__getitem__, self.cut.findall(text.lower() if self.lower else text)))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker, kept from task to task with the pieces it knows."""
+    return Encoder(path)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm._common import slices, stage_table
-from meridia.llm._tokens import Encoder
+from meridia.llm._tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -44,11 +44,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        known = encoder(tokenizer)
         for part in slices(batches):
             rows: list[list] = [[] for _ in range(5)]
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
-                ids += end
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                ids = known.encode(text) + end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.llm._common import new_folder, slices, stage_table
-from meridia.llm._tokens import Encoder
+from meridia.llm._tokens import encoder
 
 MAGIC, FOOT = b"MTOK0001", b"MTOKFOOT"
 BLOCK_IDS = 1 << 16
@@ -164,7 +164,7 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
     """Write docs to files of ascending ids; the manifest: (place, path, n_ids, n_documents), place ascending."""
-    end = np.array([end_id], np.uint32)
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -172,13 +172,13 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
         writer = None
         for part in slices(batches):
             if writer is None:
-                encoder = Encoder(tokenizer)
+                known = encoder(tokenizer)
                 store, base = open_fs(folder)
                 name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
                 store.create_dir(base, recursive=True)
-                writer = Writer(store.open_output_stream(f"{base}/{name}"), width_of(max(encoder.vocabulary, end_id + 1)))
-            for doc_id, raw in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
-                writer.add(doc_id, np.concatenate([np.frombuffer(raw, "<u4"), end]))
+                writer = Writer(store.open_output_stream(f"{base}/{name}"), width_of(max(known.vocabulary, end_id + 1)))
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                writer.add(doc_id, np.frombuffer(known.encode(text) + end, "<u4"))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([writer.n], pa.int64()), pa.array([len(writer.docs)], pa.int64())], ["place", "path", "n_ids", "n_documents"])
