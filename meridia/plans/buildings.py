@@ -151,17 +151,27 @@ def tallest_building_at(spark, sf_dir):
 # rays: each cell sends four along its beam; a ray meets a footprint where it enters and leaves it
 
 
-def ray_hits(spark, sf_dir):
-    """(cell_id, ray, building_id, t_in, t_out) of each ray through each footprint (t: share of the ray)."""
+def rays(spark, sf_dir):
+    """(cell_id, ghz, radius_m, ray, ax, ay, bx, by): four rays of each cell along its beam."""
     r = lens.cells(spark, sf_dir).select("cell_id", "ghz", "radius_m", F.col("lon").alias("ax"), F.col("lat").alias("ay"), "azimuth", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ray"))
     angle = F.radians(geo.ray_angle(F.col("azimuth"), F.lit(120.0), F.lit(4), F.col("ray")))
-    r = r.withColumn("bx", F.col("ax") + F.sin(angle) * F.col("radius_m") / (geo.DEGREE_M * F.cos(F.radians("ay")))).withColumn("by", F.col("ay") + F.cos(angle) * F.col("radius_m") / geo.DEGREE_M)
+    return r.withColumn("bx", F.col("ax") + F.sin(angle) * F.col("radius_m") / (geo.DEGREE_M * F.cos(F.radians("ay")))).withColumn("by", F.col("ay") + F.cos(angle) * F.col("radius_m") / geo.DEGREE_M)
+
+
+def ray_crossings(spark, sf_dir):
+    """(cell_id, ray, ghz, radius_m, building_id, t): where each ray meets the ring of each footprint, as ascending shares."""
+    r = rays(spark, sf_dir)
     b = lens.buildings(spark, sf_dir).select("building_id", "lon", "lat", "half", "ring")
     box = (F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
     near = overlap_join(r, box, b, (F.col("lon") - F.col("half"), F.col("lat") - F.col("half"), F.col("lon") + F.col("half"), F.col("lat") + F.col("half")))
     near = near.where(~geo.in_polygon(F.col("ax"), F.col("ay"), F.col("ring")))  # a footprint around the cell does not block it
     near = near.withColumn("t", geo.crossings(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("ring"))).where(F.size("t") > 0)
-    return near.select("cell_id", "ray", "ghz", "radius_m", "building_id", F.element_at("t", 1).alias("t_in"), F.element_at("t", -1).alias("t_out"))
+    return near.select("cell_id", "ray", "ghz", "radius_m", "building_id", "t")
+
+
+def ray_hits(spark, sf_dir):
+    """(cell_id, ray, building_id, t_in, t_out) of each ray through each footprint (t: share of the ray)."""
+    return ray_crossings(spark, sf_dir).select("cell_id", "ray", "ghz", "radius_m", "building_id", F.try_element_at("t", F.lit(1)).alias("t_in"), F.try_element_at("t", F.lit(-1)).alias("t_out"))
 
 
 def _slab(a: str, b: str, c: str) -> tuple[str, str]:
