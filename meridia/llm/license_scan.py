@@ -5,7 +5,7 @@ digits becomes a blank, and its set of word bigrams is compared to a template's.
 can reach the threshold t only if |A| lies between |B| t / (2 - t) and |B| (2 - t) / t; templates outside these bounds
 are never compared. Everything happens inside a row: nothing is shuffled.
 
-Defined results: a text without a match (null and empty ones too) has a null license, dice 0 and no license lines; equal
+Defined results: a text without a match (null and empty ones too) has a null license, dice 0, template -1 and no license units; equal
 coefficients go to the first template of the list; repeated rows get equal results; other columns are never looked at.
 """
 
@@ -67,7 +67,7 @@ def _bigrams(unit: Column) -> Column:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, dice, template (its place in the list), n_license_lines of each row of docs."""
+    """doc_id, license, dice, template (its place in the list, or -1), n_license_units of each row of docs."""
     known = template_bigrams(templates)
     sizes = [bounds(len(grams), threshold) for _, grams in known]
     least, most = min(a for a, _ in sizes), max(b for _, b in sizes)
@@ -88,7 +88,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     top = F.array_max("hits")
     # in a text of one line the line and the whole are the same unit
     count = F.when(F.col("single") & (F.size("hits") > 0), 1).otherwise(F.size("hits"))
-    return rows.select("doc_id", top["name"].alias("license"), F.coalesce(top["dice"], F.lit(0.0)).alias("dice"), (-top["i"]).alias("template"), count.cast("long").alias("n_license_units"))
+    return rows.select("doc_id", top["name"].alias("license"), F.coalesce(top["dice"], F.lit(0.0)).alias("dice"), F.coalesce(-top["i"], F.lit(-1)).alias("template"), count.cast("long").alias("n_license_units"))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def _sql() -> str:
     s AS (SELECT doc_id, k, i, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + n) AS dice FROM g JOIN t ON len(g) BETWEEN lo AND hi),
     h AS (SELECT doc_id, k, max(dice) AS unit_dice FROM s WHERE dice >= {THRESHOLD} GROUP BY doc_id, k),
     b AS (SELECT doc_id, i, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, i) AS r FROM s WHERE dice >= {THRESHOLD}) WHERE r = 1)
-    SELECT doc_id, name AS license, coalesce(dice, 0.0::DOUBLE) AS dice, i::INTEGER AS template, coalesce(c, 0)::BIGINT AS n_license_units
+    SELECT doc_id, name AS license, coalesce(dice, 0.0::DOUBLE) AS dice, coalesce(i, -1)::INTEGER AS template, coalesce(c, 0)::BIGINT AS n_license_units
     FROM d LEFT JOIN b USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS c FROM h GROUP BY doc_id) USING (doc_id)"""
 
 

@@ -265,8 +265,8 @@ def components(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those whose group has a document of smaller id."""
-    gone = components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("copy_id"), "left_anti")
+    gone = components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("__copy_id")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__copy_id"], "left_anti")
 
 
 SQL = r"""

@@ -84,9 +84,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, as often as the mix takes them (not at all, once or twice)."""
-    copies = mix(docs).where("copies > 0 AND size > 0").select(F.col("doc_id").alias("mixed_id"), "copies").distinct()
-    rows = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("mixed_id")))
-    return rows.withColumn("mixed_id", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(docs[c] for c in docs.columns))
+    taken = mix(docs).where("copies > 0 AND size > 0").select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__mix_copies")).distinct()
+    rows = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["__mix_id"]))
+    rows = rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    return rows.drop("__mix_id", "__mix_copies", "__mix_copy")
 
 
 SQL = rf"""

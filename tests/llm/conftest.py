@@ -1,11 +1,11 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, n_words string, cls string, g string, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, n_words string, cls string, g string, key string, copies string, mixed_id string, copy_id string"
 
 
 def table(spark, rows, schema=SCHEMA):
     """Documents with nulls, empties, ties and columns whose names clash with those of the operators."""
-    return spark.createDataFrame([r + ("x",) * 6 for r in rows], schema)
+    return spark.createDataFrame([r + ("x",) * 9 for r in rows], schema)
 
 
 LONG = " ".join(f"word{i % 977}x{i % 131} the of and to" for i in range(6000))
