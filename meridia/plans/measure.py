@@ -53,9 +53,9 @@ def band_cell_stats(spark, sf_dir):
 _DIMS = ["ghz", "los", "bin", "site_id", "campaign"]
 
 
-@query("metric_grouping_sets", f"{_W} SELECT class, ghz, los, bin, site_id, campaign, {_M} FROM (SELECT *, {_BIN_SQL} AS bin FROM lens_samples) GROUP BY GROUPING SETS ((class), {', '.join(f'(class, {d})' for d in _DIMS)})")
+@query("metric_grouping_sets", f"{_W} SELECT class, ghz, los, bin, site_id, campaign, {_M} FROM (SELECT * REPLACE (site_id::VARCHAR AS site_id, campaign::VARCHAR AS campaign), {_BIN_SQL} AS bin FROM lens_samples) GROUP BY GROUPING SETS ((class), {', '.join(f'(class, {d})' for d in _DIMS)})")
 def metric_grouping_sets(spark, sf_dir):
-    s = lens.samples(spark, sf_dir).withColumn("bin", stats.binned(F.col("distance_m"), *_BINS))
+    s = lens.samples(spark, sf_dir).withColumns({"bin": stats.binned(F.col("distance_m"), *_BINS), "site_id": F.col("site_id").cast("string"), "campaign": F.col("campaign").cast("string")})
     return stats.by_dimensions(s, ["class"], _DIMS, stats.metrics())
 
 
@@ -147,7 +147,7 @@ def stability(spark, sf_dir):
 
 @query("transmitter_match", f"""{_W}, {lens.CELLS}, n AS (SELECT s.sample_id, c.cell_id, row_number() OVER (PARTITION BY s.sample_id ORDER BY sqrt(pow((c.lon - s.lon) * 111320.0 * cos(radians(s.lat)), 2) + pow((c.lat - s.lat) * 111320.0, 2)), c.cell_id) AS r
   FROM lens_samples s JOIN lens_cells c ON c.ghz = s.ghz AND sqrt(pow((c.lon - s.lon) * 111320.0 * cos(radians(s.lat)), 2) + pow((c.lat - s.lat) * 111320.0, 2)) <= 250)
- SELECT s.sample_id, CASE WHEN e.cell_id IS NOT NULL THEN 'explicit' WHEN n.cell_id IS NOT NULL THEN 'nearest' ELSE 'unresolved' END AS rule, coalesce(e.cell_id, n.cell_id) AS matched FROM lens_samples s LEFT JOIN lens_cells e ON e.cell_id = s.cell_id AND e.ghz = s.ghz LEFT JOIN n ON n.sample_id = s.sample_id AND n.r = 1""")
+ SELECT s.sample_id, CASE WHEN e.cell_id IS NOT NULL THEN 'explicit' WHEN n.cell_id IS NOT NULL THEN 'nearest' ELSE 'unresolved' END AS rule, coalesce(e.cell_id, n.cell_id, -1) AS matched FROM lens_samples s LEFT JOIN lens_cells e ON e.cell_id = s.cell_id AND e.ghz = s.ghz LEFT JOIN n ON n.sample_id = s.sample_id AND n.r = 1""")
 def transmitter_match(spark, sf_dir):
     """A sample's transmitter: the one it names (if its frequency fits), else the nearest of its frequency within 250 m."""
     from meridia.functions import geo
@@ -160,4 +160,4 @@ def transmitter_match(spark, sf_dir):
     near = near.withColumn("d", geo.distance_m(F.col("lon"), F.col("lat"), F.col("c_lon"), F.col("c_lat"))).where("d <= 250")
     near = top_rows(near, ["sample_id"], ["d", "c_id"]).select("sample_id", F.col("c_id").alias("near"))
     out = s.join(named, "sample_id", "left").join(near, "sample_id", "left")
-    return out.select("sample_id", F.when(F.col("named").isNotNull(), "explicit").when(F.col("near").isNotNull(), "nearest").otherwise("unresolved").alias("rule"), F.coalesce("named", "near").alias("matched"))
+    return out.select("sample_id", F.when(F.col("named").isNotNull(), "explicit").when(F.col("near").isNotNull(), "nearest").otherwise("unresolved").alias("rule"), F.coalesce("named", "near", F.lit(-1)).alias("matched"))
