@@ -78,10 +78,10 @@ def azimuth_sweep(spark, sf_dir):
     return best.select("cell_id", (-F.col("m.a")).alias("azimuth"), F.col("m.score").alias("score"))
 
 
-def coordinate_search(contrib: DataFrame, cells: list[int], passes: int = 2) -> list[tuple[int, int, float]]:
+def coordinate_search(contrib: DataFrame, cells: list[int], passes: int = 2, start: dict[int, int] | None = None) -> list[tuple[int, int, float]]:
     """Sequential search over a few cells: each in turn takes the azimuth that gives the network most demand, buildings
     counted once. (cell, azimuth, network demand) of each step; every step is one job over the contribution table."""
-    azimuth = dict.fromkeys(cells, 0)
+    azimuth = dict(start) if start else dict.fromkeys(cells, 0)
     steps = []
     for _ in range(passes):
         for cell in cells:
@@ -156,3 +156,40 @@ def rerank_solutions(spark, sf_dir):
 def constraint_violations(spark, sf_dir):
     q = radio._quality(spark, sf_dir).groupBy("cell_id").agg(F.avg("rsrp").alias("r"), F.avg("sinr").alias("s"), F.count("*").alias("n"))
     return q.select("cell_id", F.array_join(F.array(F.when(F.col("r") < -90, "rsrp"), F.when(F.col("s") < 30, "sinr"), F.when(F.col("n") < 10, "samples")), ",").alias("violated"))
+
+
+def multistart_search(contrib: DataFrame, cells: list[int], starts: tuple[int, ...] = (0, 90, 180, 270), most_passes: int = 8) -> list[tuple[int, int, int, float]]:
+    """Coordinate search from several common azimuths until a pass changes nothing: (start, pass, cells changed, demand)."""
+    out = []
+    for start in starts:
+        azimuth, score = dict.fromkeys(cells, start), 0.0
+        for k in range(most_passes):
+            before = dict(azimuth)
+            for cell, a, s in coordinate_search(contrib, cells, 1, azimuth):
+                azimuth[cell], score = a, s
+            changed = sum(before[c] != azimuth[c] for c in cells)
+            out.append((start, k, changed, float(score)))
+            if not changed:
+                break
+    return out
+
+
+@query("network_multistart")
+def network_multistart(spark, sf_dir):
+    """Four starts over the two cells of most demand. Iterative: no SQL twin."""
+    from meridia.operators.tables import shared_table
+
+    c = contributions(spark, sf_dir)
+    top = c.select("cell_id", "building_id", "demand").distinct().groupBy("cell_id").agg(F.sum("demand").alias("s")).orderBy(F.desc("s"), "cell_id").limit(2)
+    chosen = [r.cell_id for r in top.collect()]
+    kept = shared_table(c.where(F.col("cell_id").isin(chosen)), "contributions")
+    return spark.createDataFrame(multistart_search(kept, chosen), "start int, pass int, changed int, score double")
+
+
+@query("cell_explanation", f"{_CONTRIB}, s AS (SELECT DISTINCT k.cell_id, building_id, demand FROM k JOIN lens_cells c ON c.cell_id = k.cell_id AND k.azimuth = (c.azimuth // 10 * 10)::INTEGER), alone AS (SELECT *, count(*) OVER (PARTITION BY building_id) AS served FROM s) SELECT cell_id, count(*)::BIGINT AS served, count(*) FILTER (served = 1)::BIGINT AS only_here, {rounded_sql('coalesce(sum(demand) FILTER (served = 1), 0)', 2)} AS demand_without FROM alone GROUP BY cell_id")
+def cell_explanation(spark, sf_dir):
+    """What the network would lose without each cell: the demand of buildings that no other cell serves."""
+    own = lens.cells(spark, sf_dir).select("cell_id", (F.floor(F.col("azimuth") / 10) * 10).cast("int").alias("azimuth"))
+    s = contributions(spark, sf_dir).join(own, ["cell_id", "azimuth"]).select("cell_id", "building_id", "demand").distinct()
+    alone = F.count("*").over(Window.partitionBy("building_id")) == 1
+    return s.withColumn("alone", alone).groupBy("cell_id").agg(F.count("*").alias("served"), F.count_if("alone").alias("only_here"), rounded(F.coalesce(F.sum(F.when(F.col("alone"), F.col("demand"))), F.lit(0.0)), 2).alias("demand_without"))

@@ -58,3 +58,34 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = data.where("code IS NULL").select("file", "line", "timestamp_iso_utc", *(v.alias(k) for k, v in whole.items()), "session_id", "source", payload(F.col("payload")).alias("payload"), (F.unix_millis(stamp) - whole["epoch_ms"]).alias("skew_ms"))
     late = rows.where(F.abs("skew_ms") > SKEW_MS).select("file", "line", F.lit("timestamp_epoch_mismatch").alias("code"))
     return rows, data.where("code IS NOT NULL").select("file", "line", "code").unionByName(late), header
+
+
+#: Connection states of a serving cell, and the quantities of a cell row.
+SERVING = ("PRIMARY_SERVING", "SECONDARY_SERVING")
+QUANTITIES = ("rsrp", "rsrq", "rssi", "rssnr")
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """Cell rows of a parsed log: technology, identity, channel, frequency, whether serving, and the group of cells seen at once."""
+    tag = lambda k: F.nullif(F.trim(F.try_element_at(F.col("payload"), F.lit(k))), F.lit(""))
+    c = rows.where(F.try_element_at("payload", F.lit("record_type")) == "cell")
+    tech = F.lower(tag("technology"))
+    serving = F.coalesce(F.lower(tag("registered")) == "true", F.lit(False)) & F.coalesce(F.upper(tag("connection_status")).isin(*SERVING), F.lit(False))
+    return c.select(
+        "file", "line", "session_id", "epoch_ms", tech.alias("technology"), F.when(tech == "nr", F.coalesce(tag("nci"), tag("cell_id"))).otherwise(tag("cell_id")).alias("cell_id"), tag("plmn").alias("plmn"), tag("pci").try_cast("int").alias("pci"),
+        F.coalesce(tag("earfcn"), tag("nrarfcn")).try_cast("int").alias("channel"), (tag("frequency_mhz").try_cast("double") / 1000).alias("ghz"), serving.alias("serving"), F.coalesce(tag("cell_timestamp_ms").try_cast("long"), F.col("epoch_ms")).alias("seen_ms"), "payload",
+    )
+
+
+def quantities(cell_rows: DataFrame) -> DataFrame:
+    """One row for each measured quantity of a cell row; texts that are no number are left out."""
+    pairs = F.array(*(F.struct(F.lit(q).alias("quantity"), F.try_element_at(F.col("payload"), F.lit(q)).try_cast("double").alias("value")) for q in QUANTITIES))
+    return cell_rows.select("file", "line", "cell_id", "serving", F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("q")).select("file", "line", "cell_id", "serving", "q.quantity", "q.value")
+
+
+def readiness(cell_rows: DataFrame, least: int = 20) -> DataFrame:
+    """By quantity and frequency: rows, serving rows, distinct cells, and what keeps them from being used for validation."""
+    q = quantities(cell_rows).join(cell_rows.select("file", "line", "ghz"), ["file", "line"])
+    g = q.groupBy("quantity", "ghz").agg(F.count("*").alias("n"), F.count_if("serving").alias("n_serving"), F.count_distinct("cell_id").alias("cells"))
+    blockers = F.array(F.when(F.col("ghz").isNull(), "frequency_unknown"), F.when(F.col("n_serving") == 0, "no_serving_rows"), F.when(F.col("n") < least, "too_few_rows"))
+    return g.withColumn("blockers", F.filter(blockers, lambda b: b.isNotNull()))
