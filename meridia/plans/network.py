@@ -186,7 +186,7 @@ def network_multistart(spark, sf_dir):
     return spark.createDataFrame(multistart_search(kept, chosen), "start int, pass int, changed int, score double")
 
 
-@query("cell_explanation", f"{_CONTRIB}, s AS (SELECT DISTINCT k.cell_id, building_id, demand FROM k JOIN lens_cells c ON c.cell_id = k.cell_id AND k.azimuth = (c.azimuth // 10 * 10)::INTEGER), alone AS (SELECT *, count(*) OVER (PARTITION BY building_id) AS served FROM s) SELECT cell_id, count(*)::BIGINT AS served, count(*) FILTER (served = 1)::BIGINT AS only_here, {rounded_sql('coalesce(sum(demand) FILTER (served = 1), 0)', 2)} AS demand_without FROM alone GROUP BY cell_id")
+@query("cell_explanation", f"{_CONTRIB}, s AS (SELECT DISTINCT k.cell_id, building_id, demand FROM k JOIN lens_cells c ON c.cell_id = k.cell_id AND k.azimuth = (floor(c.azimuth / 10) * 10)::INTEGER), alone AS (SELECT *, count(*) OVER (PARTITION BY building_id) AS served FROM s) SELECT cell_id, count(*)::BIGINT AS served, count(*) FILTER (served = 1)::BIGINT AS only_here, {rounded_sql('coalesce(sum(demand) FILTER (served = 1), 0)', 2)} AS demand_without FROM alone GROUP BY cell_id")
 def cell_explanation(spark, sf_dir):
     """What the network would lose without each cell: the demand of buildings that no other cell serves."""
     own = lens.cells(spark, sf_dir).select("cell_id", (F.floor(F.col("azimuth") / 10) * 10).cast("int").alias("azimuth"))
