@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions.numeric import rounded
+from meridia.operators.ordered import running
 
 
 def nearest_rank(column: str, share: float) -> Column:
@@ -59,8 +60,8 @@ def spatial_folds(df: DataFrame, k: int = 5, side_m: float = 50.0) -> DataFrame:
     placed = placed.withColumn("gx", F.floor(F.col("x") / side_m)).withColumn("gy", F.floor(F.col("y") / side_m))
     squares = placed.groupBy("gx", "gy").agg(F.min("x").alias("x"), F.max("x").alias("x1"), F.min("y").alias("y"), F.max("y").alias("y1"))
     wide = squares.agg((F.max("x1") - F.min("x") >= F.max("y1") - F.min("y")).alias("wide"), F.count("*").alias("n"))
-    order = Window.orderBy(F.when(F.col("wide"), F.col("gx")).otherwise(F.col("gy")), "gx", "gy")
-    folds = squares.join(wide).withColumn("fold", F.floor((F.row_number().over(order) - 1) * k / F.col("n")).cast("long")).select("gx", "gy", "fold")
+    along = squares.select("gx", "gy").join(wide).withColumn("along", F.when(F.col("wide"), F.col("gx")).otherwise(F.col("gy")))
+    folds = running(along, ["along", "gx", "gy"], "place").select("gx", "gy", F.floor((F.col("place") - 1) * k / F.col("n")).cast("long").alias("fold"))
     return placed.drop("o", "x", "y").join(folds, ["gx", "gy"])
 
 
@@ -71,6 +72,6 @@ def median_bounds(df: DataFrame, column: str = "residual") -> DataFrame:
     n = n.select("n", F.greatest(F.lit(0), F.col("mid") - F.col("half")).alias("lo"), F.least(F.col("n") - 1, F.col("mid") + F.col("half")).alias("hi"))
     # distinct values with running counts: ties collapse before anything is ordered
     tally = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("k"))
-    run = tally.withColumn("upto", F.sum("k").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = running(tally, [column], "upto", F.col("k"))
     at = lambda r: F.min(F.when(F.col("upto") > F.col(r), F.col(column)))
     return run.join(n).groupBy("n").agg(at("lo").alias("lower"), at("hi").alias("upper"))

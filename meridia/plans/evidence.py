@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meridia.functions import geo, tags
 from meridia.functions.numeric import rounded, rounded_sql
 from meridia.operators.joins import box_join, top_rows
+from meridia.operators.ordered import followed
 from meridia.plans import lens
 from meridia.plans.buildings import _TALL
 from meridia.plans.registry import query
@@ -90,8 +91,8 @@ STEPS, MAST_M = 20, 25.0
  SELECT cell_id, count(clear)::BIGINT AS n, {rounded_sql('min(clear)', 4)} AS least, {rounded_sql('arg_min(t, (clear, t)) FILTER (clear IS NOT NULL)', 4)} AS at_share, {rounded_sql('max(fresnel)', 4)} AS fresnel_m, CASE WHEN count(clear) < count(*) THEN 'unavailable' WHEN min(clear) < -2 THEN 'obstruction_candidate' WHEN abs(min(clear)) <= 2 THEN 'near_uncertainty' ELSE 'clear' END AS class FROM c GROUP BY cell_id""")
 def terrain_clearance(spark, sf_dir):
     """The line between masts of cells that follow each other by id, over the terrain below it; margin 2 m."""
-    w = Window.orderBy("cell_id")
-    l = lens.cells(spark, sf_dir).select("cell_id", "ghz", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.lead("lon").over(w).alias("bx"), F.lead("lat").over(w).alias("by")).where("bx IS NOT NULL")
+    l = followed(lens.cells(spark, sf_dir).select("cell_id", "ghz", "lon", "lat"), ["cell_id"], ["lon", "lat"]).where("next IS NOT NULL")
+    l = l.select("cell_id", "ghz", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("next.lon").alias("bx"), F.col("next.lat").alias("by"))
     s = l.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
     part = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / float(STEPS)
     p = s.select("cell_id", "i", part("ax", "bx").alias("lon"), part("ay", "by").alias("lat"))

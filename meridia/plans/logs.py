@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions.numeric import rounded, rounded_sql
 from meridia.operators.joins import carried, top_rows
+from meridia.operators.ordered import followed, running
 from meridia.plans import lens
 from meridia.plans.registry import query
 
@@ -77,11 +78,7 @@ def inventory_search(spark, sf_dir):
     name, key = F.lower("p_name"), F.col("p_partkey").cast("string")
     level = F.when((name == "red bolt") | (key == "red bolt"), 0).when(name.startswith("red"), 1).when(key.startswith("red"), 2).when(name.contains("bolt"), 3).when(key.contains("bolt"), 4)
     hits = lens.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), level.alias("level")).where("level IS NOT NULL")
-    # ranks across tasks: the ranks inside a (level, name) and the counts of those before it, so no task sorts all hits
-    own = hits.withColumn("r", F.row_number().over(Window.partitionBy("level", "name").orderBy("id")))
-    sizes = hits.groupBy("level", "name").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("level", "name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return own.join(sizes.withColumn("before", before).drop("n"), ["level", "name"]).select("id", "name", "level", (F.col("before") + F.col("r")).cast("int").alias("place"))
+    return running(hits, ["level", "name", "id"], "place").select("id", "name", "level", F.col("place").cast("int").alias("place"))
 
 
 @query("stratified_sample", f"""WITH {lens.SAMPLES}, c AS (SELECT class, count(*) AS n FROM lens_samples GROUP BY class), a AS (SELECT class, n, 1000.0::DOUBLE * n / sum(n) OVER () AS want FROM c), q AS (SELECT *, (1000 - sum(floor(want)) OVER ())::BIGINT AS spare, row_number() OVER (ORDER BY want - floor(want) DESC, class) AS k FROM a),
@@ -95,8 +92,9 @@ def stratified_sample(spark, sf_dir):
     spare = 1000 - F.sum(F.floor("want")).over(everything)
     k = F.row_number().over(Window.orderBy(F.desc(F.col("want") - F.floor("want")), "class"))
     quota = c.withColumn("quota", F.floor("want") + F.when(k <= spare, 1).otherwise(0)).select("class", "n", "quota")
-    i = F.row_number().over(Window.partitionBy("class").orderBy("sample_id")) - 1
-    r = s.withColumn("i", i).join(quota, "class")
+    ranked = running(s, ["class", "sample_id"], "place")  # in the order of classes: a class starts after those before it
+    start = quota.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    r = ranked.join(start, "class").withColumn("i", F.col("place") - 1 - F.col("start"))
     step = lambda x: F.floor(x * F.col("quota") / F.col("n"))
     return r.where((F.col("i") == 0) | (step(F.col("i")) != step(F.col("i") - 1))).select("sample_id", "class")
 
@@ -122,8 +120,7 @@ def neighbour_topology(spark, sf_dir):
     from meridia.functions import geo
 
     c = lens.cells(spark, sf_dir).select("cell_id", "lon", "lat")
-    w = Window.orderBy("cell_id")
-    n = c.select("*", F.lead("cell_id").over(w).alias("next_id"), F.lead("lon").over(w).alias("lon_b"), F.lead("lat").over(w).alias("lat_b")).where("next_id IS NOT NULL")
+    n = followed(c, ["cell_id"], ["cell_id", "lon", "lat"]).where("next IS NOT NULL").select("cell_id", "lon", "lat", F.col("next.cell_id").alias("next_id"), F.col("next.lon").alias("lon_b"), F.col("next.lat").alias("lat_b"))
     d = geo.distance_m(F.col("lon"), F.col("lat"), F.col("lon_b"), F.col("lat_b"))
     return n.select("cell_id", "next_id", rounded(d, 2).alias("metres"), F.when(d > 1200, "core").otherwise("direct").alias("route"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meridia.functions import geo, rf
 from meridia.functions.numeric import rounded, rounded_sql
 from meridia.operators.joins import box_join
+from meridia.operators.ordered import running
 from meridia.operators.skyline import skyline
 from meridia.plans import lens, radio
 from meridia.plans.registry import query
@@ -149,7 +150,7 @@ def rerank_solutions(spark, sf_dir):
     weights = {"demand_u": 3.0, "overlap_u": 1.0, "reach_u": 2.0}
     u = lens.cells(spark, sf_dir).select("cell_id", F.col("load").alias("demand_u"), (1 - F.col("load")).alias("overlap_u"), ((F.col("cell_id") % 7) / 7.0).alias("reach_u"))
     score = rounded(sum((w * F.col(c) for c, w in weights.items()), F.lit(0.0)) / sum(weights.values()), 6)
-    return u.select("cell_id", score.alias("score")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "cell_id")))
+    return running(u.select("cell_id", score.alias("score")), [F.desc("score"), F.col("cell_id")], "place").withColumn("place", F.col("place").cast("int"))
 
 
 @query("constraint_violations", radio.SIGNALS + "SELECT cell_id, array_to_string(list_filter([CASE WHEN avg(rsrp) < -90 THEN 'rsrp' END, CASE WHEN avg(sinr) < 30 THEN 'sinr' END, CASE WHEN count(*) < 10 THEN 'samples' END], lambda x: x IS NOT NULL), ',') AS violated FROM quality GROUP BY cell_id")
