@@ -136,3 +136,18 @@ def tile_bounds(x, y, zoom) -> tuple[Column, Column, Column, Column]:
     n = F.pow(F.lit(2.0), zoom)
     lat = lambda row: F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * row / n))))
     return x / n * 360 - 180, lat(y + 1), (x + 1) / n * 360 - 180, lat(y)
+
+
+def reaches_polygon(lon, lat, metres, ring: Column, slack: float = 0.01) -> Column:
+    """Whether a disc touches a polygon: its centre is inside, or an edge is no farther than the radius and a little."""
+    return in_polygon(lon, lat, ring) | F.exists(edges(ring), lambda e: to_segment_m(lon, lat, e["ax"], e["ay"], e["bx"], e["by"]) <= metres + slack)
+
+
+def meets_box(ring: Column, min_lon, min_lat, max_lon, max_lat) -> Column:
+    """Whether a polygon and a box share a point: a vertex in the box, a corner in the polygon, or edges that cross."""
+    corners = ((min_lon, min_lat), (max_lon, min_lat), (max_lon, max_lat), (min_lon, max_lat))
+    vertex = F.exists(ring, lambda v: v["lon"].between(min_lon, max_lon) & v["lat"].between(min_lat, max_lat))
+    corner = in_polygon(*corners[0], ring) | in_polygon(*corners[1], ring) | in_polygon(*corners[2], ring) | in_polygon(*corners[3], ring)
+    sides = [(*a, *b) for a, b in zip(corners, corners[1:] + corners[:1])]
+    crossed = F.exists(edges(ring), lambda e: F.coalesce(*(crossing(*s, e) for s in sides)).isNotNull())
+    return vertex | corner | crossed

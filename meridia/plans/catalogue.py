@@ -1,4 +1,4 @@
 """All plans; importing this module registers every query."""
 
-from meridia.plans import buildings, evidence, ledgers, logs, measure, network, radio, rays, reflection, studies  # noqa: F401
+from meridia.plans import audits, buildings, evidence, ledgers, logs, measure, network, radio, rays, reflection, studies  # noqa: F401
 from meridia.plans.registry import ORACLE, QUERIES  # noqa: F401
