@@ -1,10 +1,14 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products inside cells, one representative a group.
 
-Centroids are fitted on a bounded sample of unit vectors; every vector is assigned to its nearest cells. Vectors are
-compared inside (label, cell), in blocks of rows, in double precision; a pair that meets in several cells counts in the
-first of them only. A block yields counts of links per vector and a spanning forest of its links, never the pairs.
-Components are then joined across blocks. With one cell (small tables) the result is exact; beyond that, a pair is
-missed if the two vectors have none of their VISITS nearest cells in common.
+Centroids are fitted on a bounded sample of unit vectors; every vector belongs to the cell of its nearest centroid and
+visits each cell of smaller number that can hold a partner of it. Vectors are compared inside (label, cell), in blocks of
+rows, in double precision: members with members and with visitors. A block yields counts of links per vector and a
+spanning forest of its links, never the pairs. Components are then joined across blocks.
+
+The result is exact. A member x of cell c is no nearer to the centroid of y's own cell o, so x (c - o) >= 0; if x is
+within the angle t of y, then y (o - c) <= sin(t) |o - c|. Cells for which this fails are left out, all others are
+visited, so each linked pair meets once: in the cell of smaller number of the two. Vectors far from every centroid visit
+about half of the cells, so the work on vectors without clusters, and inside a dense group, is that of comparing all pairs.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component, or whose label is null,
 links with nothing (0 links, its own component, kept); vectors of different lengths link with nothing of the other
@@ -26,14 +30,22 @@ from meridia.llm._common import stage_table
 from meridia.llm._components import connected_components
 
 COSINE = 0.93
-#: Vectors a cell should hold, the most cells, and the nearest cells that a vector visits.
-CELL_ROWS, MOST_CELLS, VISITS = 4000, 4096, 4
+#: Vectors a cell should hold, and the most cells.
+CELL_ROWS, MOST_CELLS = 4000, 4096
 #: Bound of the sample that centroids are fitted on, as vectors.
 SAMPLE = 20_000
+#: Allowance for rounding when cells are left out: it can only add visits.
+ROUNDING = 1e-6
 #: Rows of one block; a larger cell is compared block by block, each pair of blocks in a task of its own.
 BLOCK = 4096
 
 
+def _units(v: np.ndarray) -> np.ndarray:
+    """Rows over their length; scaled first, so that squares neither overflow nor vanish."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
     """k unit centroids of unit rows x."""
     rng = np.random.default_rng(seed)
@@ -56,50 +68,42 @@ def fit_cells(vectors: DataFrame, cell_rows: int, most_cells: int, sample: int)
     chosen = vectors.where(F.col("dim") == dim).where(F.pmod(F.xxhash64("vec_id", F.lit("cells")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n)))
     rows = chosen.orderBy(F.xxhash64("vec_id")).limit(2 * sample).select("v").toArrow()["v"]
     x = np.asarray(rows.combine_chunks().values, np.float64).reshape(len(rows), dim)
-    return spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), min(most_cells, -(-n // cell_rows)))
+    return spherical_kmeans(_units(x), min(most_cells, -(-n // cell_rows)))
 
 
-def _visits(vectors: DataFrame, centre: np.ndarray | None, visits: int) -> DataFrame:
-    """vectors with ``cells``: the numbers of the nearest cells, ascending; other lengths share one cell."""
+def _visits(vectors: DataFrame, centre: np.ndarray | None) -> DataFrame:
+    """vectors with ``cells``: the own cell first, then those visited; other lengths share one cell."""
     if centre is None:
         return vectors.withColumn("cells", F.array(F.lit(0)))
     shared = vectors.sparkSession.sparkContext.broadcast(centre)  # at most MOST_CELLS centroids
+    sine = float(np.sqrt(1 - COSINE**2))
 
     @F.pandas_udf("array<int>")
-    def nearest(rows: pd.Series) -> pd.Series:
+    def reach(rows: pd.Series) -> pd.Series:
         c, out = shared.value, [[0]] * len(rows)
+        norms, number = (c * c).sum(1), np.arange(len(c))
         own = [i for i, r in enumerate(rows) if len(r) == c.shape[1]]
-        for at in range(0, len(own), 2000):
-            part = own[at : at + 2000]
-            near = np.stack([rows.iloc[i] for i in part]) @ c.T
-            k = min(visits, c.shape[0])
-            best = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1)
-            for i, b in zip(part, best):
-                out[i] = b.tolist()
+        for at in range(0, len(own), 500):
+            part = own[at : at + 500]
+            v = np.stack([rows.iloc[i] for i in part])
+            near = _units(v) @ c.T
+            home = near.argmax(1)
+            apart = np.sqrt(np.maximum(norms[home][:, None] + norms - 2 * c[home] @ c.T, 0))
+            meet = (near[np.arange(len(part)), home][:, None] - near <= sine * apart + ROUNDING) & (number < home[:, None])
+            for i, h, m in zip(part, home, meet):
+                out[i] = [int(h), *np.flatnonzero(m).tolist()]
         return pd.Series(out)
 
-    return vectors.withColumn("cells", nearest("v"))
-
-
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of pairs of rows of ascending cell numbers (padded with -1): the smallest number in common."""
-    low = np.full(len(a), np.iinfo(np.int32).max, np.int32)
-    for i in range(a.shape[1]):
-        for j in range(b.shape[1]):
-            same = (a[:, i] == b[:, j]) & (a[:, i] >= 0)
-            low[same] = np.minimum(low[same], a[same, i])
-    return low
+    return vectors.withColumn("cells", reach("v"))
 
 
 def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """One pair of blocks (x, y) of a cell: for each vector the links counted here, and its root among them."""
-    cell, x, y = key[1], key[3], key[4]
+    x, y = key[3], key[4]
     pdf = pdf.sort_values("vec_id", ignore_index=True)
     ids, block = pdf["vec_id"].to_numpy(), pdf["block"].to_numpy()
     v = np.stack(pdf["v"].to_list()).astype(np.float64)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    width = pdf["cells"].map(len).max()
-    cells = np.array([list(c) + [-1] * (width - len(c)) for c in pdf["cells"]], np.int32)
     left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
@@ -115,9 +119,6 @@ def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = part[i], right[j]
         good = i < j if x == y else np.ones(len(i), bool)
         i, j = i[good], j[good]
-        if width > 1:
-            here = _first_shared(cells[i], cells[j]) == cell
-            i, j = i[here], j[here]
         np.add.at(links, i, 1)
         np.add.at(links, j, 1)
         while len(i):  # most pairs of a dense group fall away as soon as their roots agree
@@ -133,21 +134,26 @@ def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids[own], "root": ids[root[own]], "links": links[own]})
 
 
-def near_duplicates(rows: DataFrame, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS, visits: int = VISITS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(rows: DataFrame, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(vec_id, embedding, label) -> vec_id, n_links, component_id, kept: one row for each vector."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     usable = rows.where(good & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     usable = usable.groupBy("vec_id", "label").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     usable = stage_table(usable, "vectors")
-    placed = _visits(usable, fit_cells(usable, cell_rows, most_cells, sample), visits)
-    each = placed.withColumn("cell", F.explode("cells"))
+    placed = _visits(usable, fit_cells(usable, cell_rows, most_cells, sample))
+    each = placed.select("vec_id", "v", "label", "dim", F.posexplode("cells").alias("nth", "cell")).withColumn("own", F.col("nth") == 0).drop("nth")
     each = stage_table(each, "cells")
-    sizes = each.groupBy("label", "cell", "dim").agg(F.count("*").alias("n"))
-    each = each.join(sizes, ["label", "cell", "dim"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int"))
-    # the pairs of blocks that a row takes part in: its own with each one
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    tasks = each.withColumn("p", F.explode(pairs)).select("label", "cell", "dim", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "vec_id", "v", "cells", "block")
+    in_blocks = lambda n: F.ceil(n / block).cast("int")
+    sizes = each.groupBy("label", "cell", "dim").agg(F.count_if("own").alias("members"), F.count_if(~F.col("own")).alias("visitors"))
+    sizes = sizes.where("members > 0").select("label", "cell", "dim", in_blocks(F.col("members")).alias("blocks"), in_blocks(F.col("visitors")).alias("more"))
+    # blocks of members come first, then those of visitors
+    place = lambda n: F.pmod(F.xxhash64("vec_id"), n.cast("long")).cast("int")
+    each = each.join(sizes, ["label", "cell", "dim"]).withColumn("block", F.when(F.col("own"), place(F.col("blocks"))).otherwise(F.col("blocks") + place(F.col("more"))))
+    # the pairs of blocks that a row takes part in: a member's own with each one, a visitor's with those of members
+    last = F.col("blocks") - 1 + F.when(F.col("own"), F.col("more")).otherwise(0)
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
+    tasks = each.withColumn("p", F.explode(pairs)).select("label", "cell", "dim", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "vec_id", "v", "block")
     found = stage_table(tasks.groupBy("label", "cell", "dim", "x", "y").applyInPandas(_compare, "vec_id long, root long, links long"), "near")
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     groups = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))

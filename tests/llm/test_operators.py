@@ -262,6 +262,22 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_in_a_hot_group_of_many_cells(spark):
+    """A third of the rows are near copies (pairwise cosine about 0.95), cut into far more cells than one; the rest has no clusters."""
+    rng = np.random.default_rng(9)
+    n, dim = 3000, 64
+    noise = rng.normal(size=(n, dim))
+    v = noise.copy()
+    v[: n // 3] = rng.normal(size=dim) / 8 + noise[: n // 3] * np.sqrt((1 / 0.95 - 1) / dim)
+    v = v.astype(np.float32).astype(float)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, [float(e) for e in x], 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    for block in (4096, 150):
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, cell_rows=30, block=block).collect()}
+        assert want.sum() > 500_000 and sum(got.values()) == want.sum() and all(got[i] == k for i, k in enumerate(want))
+
+
 # chats
 
 
