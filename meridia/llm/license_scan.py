@@ -5,6 +5,12 @@ digits becomes a blank, and its set of word bigrams is compared to a template's.
 can reach the threshold t only if |A| lies between |B| t / (2 - t) and |B| (2 - t) / t; templates outside these bounds
 are never compared. Everything happens inside a row: nothing is shuffled.
 
+Notices that are wrapped over lines, or share a line with other words, are found by windows: runs of at most as many
+bigrams as a template's bound allows, over the whole text, that begin and end with a bigram of the template (a longer
+window around the same bigrams has a smaller coefficient). A window decides a text's license only if its coefficient is
+above that of every line and of the whole. Read by their start, windows that overlap the last one are the same unit; units
+of windows that touch a matching line are that line. A text that matches as a whole has no windows to count.
+
 Defined results: a text without a match (null and empty ones too) has a null license, dice 0, template -1 and no license units; equal
 coefficients go to the first template of the list; repeated rows get equal results; other columns are never looked at.
 """
@@ -13,12 +19,16 @@ from __future__ import annotations
 
 import re
 from fractions import Fraction
+from functools import reduce
 from math import ceil, floor
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Words that many texts have: taken as anchors only where nothing else is left.
+COMMON = frozenset("0 2 3 4 a all and any are as at be by can for free from if in is it may not of or out project that the this to under use v version was with without work you".split())
 #: Public license notices, as (SPDX id, wording).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -66,6 +76,85 @@ def _bigrams(unit: Column) -> Column:
     return F.when(n >= 2, F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>"))
 
 
+def anchors(known: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold has one: those of a template cover more bigrams than a unit may lack."""
+    out: list[str] = []
+    for _, grams in known:
+        lack, open_ = len(grams) - bounds(len(grams), threshold)[0], list(grams)
+        chosen = set()
+        while len(grams) - len(open_) <= lack:
+            words = sorted({w for g in open_ for w in g.split()})
+            word = max(words, key=lambda w: (w not in COMMON, w in out, sum(w in g.split() for g in open_), len(w), w))
+            chosen.add(word)
+            open_ = [g for g in open_ if word not in g.split()]
+        out += sorted(chosen - set(out))
+    return out
+
+
+def _bind(value: Column, body) -> Column:
+    """The array body(value), with value computed once."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
+def _windows(text: Column, table: Column, every: Column, threshold: float) -> Column:
+    """Of a normalised text the matching windows: the best one of each first bigram and template, as (dice, i, name, start, end)."""
+
+    def of_template(grams: Column, t: Column) -> Column:
+        def from_first(places: Column, k: Column) -> Column:
+            start = F.element_at(places, k)
+            ends = F.filter(F.slice(places, k + t["lo"] - 1, t["hi"]), lambda e: e - start < t["hi"])
+
+            def score(e: Column) -> Column:
+                unit = F.array_distinct(F.slice(grams, start, e - start + 1))
+                dice = F.lit(2.0) * F.size(F.array_intersect(unit, t["grams"])) / (F.size(unit) + t["n"])
+                return F.struct(dice.alias("dice"), (-t["i"]).alias("i"), t["name"].alias("name"), start.alias("start"), e.alias("end"))
+
+            return F.array_max(F.filter(F.transform(ends, score), lambda x: x["dice"] >= threshold))
+
+        def all_of(places: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(1), F.size(places) - t["lo"] + 1), lambda k: F.element_at(places, k + t["lo"] - 1) - F.element_at(places, k) < t["hi"])
+            return F.filter(F.transform(first, lambda k: from_first(places, k)), lambda x: x.isNotNull())
+
+        return _bind(F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.array_contains(t["grams"], F.element_at(grams, i))), all_of)
+
+    def of_grams(grams: Column) -> Column:
+        near = lambda shared: F.filter(table, lambda t: F.size(F.array_intersect(t["grams"], shared)) >= t["lo"])
+        return _bind(F.array_intersect(every, grams), lambda shared: F.flatten(F.transform(near(shared), lambda t: of_template(grams, t))))
+
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return _bind(F.split(F.trim(text), " +"), lambda w: _bind(pairs(w), of_grams))
+
+
+def _matching_lines(normal: Column, best) -> Column:
+    """The places (a, b) of the first and last word of each matching line, counted over the text."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("lines"))
+
+    def step(held: Column, line: Column) -> Column:
+        end = held["at"] + F.size(F.filter(F.split(line, " "), lambda w: w != ""))
+        own = F.array(F.struct((held["at"] + 1).alias("a"), end.alias("b")))
+        return F.struct(end.alias("at"), F.when(best(_bigrams(line)).isNull(), held["lines"]).otherwise(F.concat(held["lines"], own)).alias("lines"))
+
+    return F.aggregate(F.split(normal, "\n"), none, step)["lines"]
+
+
+def _apart(windows: Column, lines: Column) -> Column:
+    """How many notices the windows are, without those that touch a matching line; one that overlaps the last notice is the same, and a better one takes its place."""
+    by_start = F.array_sort(F.transform(windows, lambda x: F.struct(x["start"].alias("start"), (-x["dice"]).alias("less"), (-x["end"]).alias("back"))))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("less"))
+
+    def upto(held: Column) -> Column:
+        outside = (held["start"] > 0) & ~F.exists(lines, lambda r: (held["start"] <= r["b"]) & (held["end"] + 1 >= r["a"]))
+        return held["n"] + outside.cast("int")
+
+    def step(held: Column, x: Column) -> Column:
+        is_new = x["start"] > held["end"]
+        better = is_new | (x["less"] < held["less"])
+        n = F.when(is_new, upto(held)).otherwise(held["n"])
+        return F.struct(n.alias("n"), F.when(better, x["start"]).otherwise(held["start"]).alias("start"), F.when(better, -x["back"]).otherwise(held["end"]).alias("end"), F.when(better, x["less"]).otherwise(held["less"]).alias("less"))
+
+    return F.aggregate(by_start, none, step, upto)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice, template (its place in the list, or -1), n_license_units of each row of docs."""
     known = template_bigrams(templates)
@@ -84,11 +173,20 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     units = F.filter(F.transform(F.concat(lines, F.array(F.translate("normal", "\n", " "))), _bigrams), lambda g: F.size(g).between(least, most))
     hits = F.filter(F.transform("units", best), lambda h: h.isNotNull())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal.alias("normal"))
-    rows = rows.select("doc_id", F.array_contains(F.array(F.lit(0)), F.instr("normal", "\n")).alias("single"), units.alias("units")).select("doc_id", "single", hits.alias("hits"))
-    top = F.array_max("hits")
+    rows = rows.select("doc_id", "normal", F.array_contains(F.array(F.lit(0)), F.instr("normal", "\n")).alias("single"), units.alias("units")).select("doc_id", "normal", "single", hits.alias("hits"))
     # in a text of one line the line and the whole are the same unit
     count = F.when(F.col("single") & (F.size("hits") > 0), 1).otherwise(F.size("hits"))
-    return rows.select("doc_id", top["name"].alias("license"), F.coalesce(top["dice"], F.lit(0.0)).alias("dice"), F.coalesce(-top["i"], F.lit(-1)).alias("template"), count.cast("long").alias("n_license_units"))
+    every = F.array(*map(F.lit, dict.fromkeys(g for _, grams in known for g in grams)))
+    whole = F.translate("normal", "\n", " ")
+    possible = reduce(or_, (F.contains(F.concat(F.lit(" "), whole, F.lit(" ")), F.lit(f" {w} ")) for w in anchors(known, threshold)))
+    windows = F.when(possible, _windows(whole, table, every, threshold))
+    rows = rows.select("doc_id", "normal", "single", F.array_max("hits").alias("line"), count.cast("long").alias("count"), windows.alias("windows"))
+    lines = F.when(F.col("count") > 0, _matching_lines(F.col("normal"), best)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    inside = F.when(F.coalesce(F.size("windows"), F.lit(0)) < 1, 0).when((F.col("count") > 0) & (F.col("single") | best(_bigrams(whole)).isNotNull()), 0).otherwise(_bind(lines, lambda x: F.array(_apart(F.col("windows"), x)))[0])
+    window = F.array_max("windows")
+    top = F.when(window["dice"] > F.coalesce(F.col("line.dice"), F.lit(0.0)), F.struct(window["dice"].alias("dice"), window["i"].alias("i"), window["name"].alias("name"))).otherwise(F.col("line"))
+    rows = rows.select("doc_id", top.alias("top"), (F.col("count") + inside).cast("long").alias("n_license_units"))
+    return rows.select("doc_id", F.col("top.name").alias("license"), F.coalesce("top.dice", F.lit(0.0)).alias("dice"), F.coalesce(-F.col("top.i"), F.lit(-1)).alias("template"), "n_license_units")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from itertools import combinations
 
@@ -142,6 +143,35 @@ def test_license_bounds_lose_nothing():
             assert (best >= t - 1e-12) == (lo <= a <= hi)
 
 
+def test_license_notices_that_are_wrapped_or_embedded(spark):
+    word = {name: wording for name, wording in license_scan.TEMPLATES if len(wording) > 120}
+    prose = [f"line {i} of a source file with nothing of interest in it, only names such as x{i} and y{i * 7}" for i in range(60)]
+    wrap = lambda text, mark="": [mark + x for x in textwrap.wrap(text, 70)]
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2024 Foo\n\n" + "\n".join(wrap(word["MIT"])) + "\n\nThe above copyright notice shall be included in all copies."
+    texts = {
+        "MIT": [mit, "Released under the MIT License. See the file LICENSE for details.", "\n".join(prose + wrap(word["MIT"]) + prose)],
+        "Apache-2.0": ["\n".join(wrap(word["Apache-2.0"], "# ") + prose), "Copyright 2024 Foo Inc. Licensed under the Apache License, Version 2.0. Made in many towns by very many people."],
+        "GPL-3.0-or-later": ["\n".join([prose[0], *wrap(word["GPL-3.0-or-later"], " * "), *prose])],
+        "GPL-2.0": ["This work is licensed under the GNU General Public License,\nversion 2.\n" + "\n".join(prose)],
+        None: ["\n".join(prose), "The general public may work under the license of any version of the software. " * 40],
+    }
+    rows = [(name, text, 1) for name, some in texts.items() for text in some if name]
+    rows += [(None, text, 0) for text in texts[None]]
+    rows += [("MIT", "\n".join(prose[:9] + wrap(word["MIT"]) + prose + wrap(word["GPL-3.0-or-later"]) + prose), 2), ("MIT", "Released under the MIT License.\n" + "\n".join(prose + wrap(word["MIT"])), 2)]
+    df = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert {i: r.license for i, r in got.items()} == {i: r[0] for i, r in enumerate(rows)}
+    assert {i: r.n_license_units for i, r in got.items()} == {i: r[2] for i, r in enumerate(rows)}
+
+
+def test_license_anchors_lose_nothing():
+    known = license_scan.template_bigrams()
+    words_ = license_scan.anchors(known, 0.8)
+    for _, grams in known:
+        free = sum(not any(w in g.split() for w in words_) for g in grams)
+        assert free < license_scan.bounds(len(grams), 0.8)[0]
+
+
 # n-gram Jaccard
 
 
