@@ -221,7 +221,9 @@ def components(docs: DataFrame) -> DataFrame:
     pairs = shared.where("cnt = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
     # buckets with the same members are one: their name is what their members sum up to
     name = F.xxhash64("cnt", "lo", "hi", "all")
-    large = stage_table(shared.where("cnt > 2").select(name.alias("bucket"), "cls").distinct(), "large")
+    # a class of null ids only links with nothing: it must not be the star's centre
+    large = shared.where("cnt > 2").select(name.alias("bucket"), "cls").distinct()
+    large = stage_table(large.join(classes.where("rep IS NOT NULL").select("cls"), "cls", "left_semi"), "large")
     stars = large.join(large.groupBy("bucket").agg(F.min("cls").alias("a")), "bucket").where("a <> cls").select("a", F.col("cls").alias("b"))
     pairs = pairs.unionByName(stars).distinct()
     known = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.where("rep IS NOT NULL"), "cls"), "known")

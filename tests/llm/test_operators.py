@@ -260,6 +260,18 @@ def test_ngram_jaccard_on_chains_and_groups(spark):
     assert got == plain_components(list(range(len(texts))), plain_sets(texts))
 
 
+def test_ngram_jaccard_with_null_ids_first_in_buckets(spark):
+    """Two near copies of a text without an id: each bucket of the two has the third, which in some groups comes first."""
+    rows = []
+    for group in range(15):
+        base = [f"g{group}w{i}" for i in range(200)]
+        rows.append((None, " ".join(base)))
+        rows += [(2 * group + k, " ".join([*base[:at], f"n{at}", *base[at + 1 :]])) for k, at in enumerate((50, 150))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.components(df).collect() if r.doc_id is not None}
+    assert got == {i: i - i % 2 for i in range(30)}
+
+
 # embeddings
 
 
