@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from meridia.operators.tables import BROADCAST_ROWS, at_most, checked_broadcast, new_folder, remove_at_exit, shared_dir  # noqa: F401
+from meridia.operators.tables import shared_table as stage_table  # noqa: F401
 
 #: Words are maximal runs of anything but the six ASCII blanks.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows a broadcast side may have: ids of 8 bytes make about 64 MB as a hash relation.
-BROADCAST_ROWS = 2_000_000
 #: Characters of text that a Python kernel holds at a time (one longer text is held whole).
 SLICE_CHARS = 4_000_000
 
@@ -24,48 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset (local runs)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="meridia-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove():
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session may be gone; the folder is then the cluster's to clear
-            pass
-
-    atexit.register(remove)
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/meridia-{name}-{uuid.uuid4().hex}"
-    remove_at_exit(spark, path)
-    return path
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast df if it has at most ``rows`` rows; otherwise leave the join to a shuffle, whose skew AQE splits."""
-    return F.broadcast(df) if at_most(df, rows) else df
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about SLICE_CHARS bytes of text."""
     for batch in batches:
