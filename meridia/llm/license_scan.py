@@ -3,7 +3,8 @@ r"""License scan: normalised text against licence templates by the Dice coeffici
 Units of comparison are each line of a text and the text as a whole. A unit is lower-cased, everything but letters and
 digits becomes a blank, and its set of word bigrams is compared to a template's. As Dice is 2|A n B| / (|A| + |B|), it
 can reach the threshold t only if |A| lies between |B| t / (2 - t) and |B| (2 - t) / t; templates outside these bounds
-are never compared. Everything happens inside a row: nothing is shuffled.
+are never compared, and a text without any of the templates' anchor words is not taken apart. Everything happens inside a
+row: nothing is shuffled.
 
 Notices that are wrapped over lines, or share a line with other words, are found by windows: runs of at most as many
 bigrams as a template's bound allows, over the whole text, that begin and end with a bigram of the template (a longer
@@ -27,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-#: Words that many texts have: taken as anchors only where nothing else is left.
-COMMON = frozenset("0 2 3 4 a all and any are as at be by can for free from if in is it may not of or out project that the this to under use v version was with without work you".split())
+#: Words that many texts have ("mit" as the German "with"): taken as anchors only where nothing else is left.
+COMMON = frozenset("0 2 3 4 a all and any are as at be by can for free from if in is it may mit not of or out project that the this to under use v version was with without work you".split())
 #: Public license notices, as (SPDX id, wording).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -71,9 +72,12 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
 
 def _bigrams(unit: Column) -> Column:
     """Distinct word bigrams of a normalised unit."""
-    words = F.split(F.trim(unit), " ")
-    n = F.size(words)
-    return F.when(n >= 2, F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>"))
+
+    def of_words(words: Column) -> Column:
+        n = F.size(words)
+        return F.when(n >= 2, F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(F.split(F.trim(unit), " ")), of_words)[0]
 
 
 def anchors(known: list[tuple[str, list[str]]], threshold: float) -> list[str]:
@@ -125,14 +129,14 @@ def _windows(text: Column, table: Column, every: Column, threshold: float) -> Co
     return _bind(F.split(F.trim(text), " +"), lambda w: _bind(pairs(w), of_grams))
 
 
-def _matching_lines(normal: Column, best) -> Column:
+def _matching_lines(normal: Column, best_of) -> Column:
     """The places (a, b) of the first and last word of each matching line, counted over the text."""
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("lines"))
 
     def step(held: Column, line: Column) -> Column:
         end = held["at"] + F.size(F.filter(F.split(line, " "), lambda w: w != ""))
         own = F.array(F.struct((held["at"] + 1).alias("a"), end.alias("b")))
-        return F.struct(end.alias("at"), F.when(best(_bigrams(line)).isNull(), held["lines"]).otherwise(F.concat(held["lines"], own)).alias("lines"))
+        return F.struct(end.alias("at"), F.when(best_of(line).isNull(), held["lines"]).otherwise(F.concat(held["lines"], own)).alias("lines"))
 
     return F.aggregate(F.split(normal, "\n"), none, step)["lines"]
 
@@ -168,21 +172,29 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         scored = F.transform(fits, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + t["n"])).alias("dice"), (-t["i"]).alias("i"), t["name"].alias("name")))
         return F.array_max(F.filter(scored, lambda s: s["dice"] >= threshold))
 
-    normal = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+    def best_of(unit: Column) -> Column:
+        return F.transform(F.array(_bigrams(unit)), best)[0]
+
+    # every unit that reaches the threshold has an anchor: the other texts are not taken apart at all
+    words = anchors(known, threshold)
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower.alias("lower"))
+    rows = rows.select("doc_id", F.when(reduce(or_, (F.contains("lower", F.lit(w)) for w in words)), F.regexp_replace("lower", r"[^\p{L}\p{N}\n]+", " ")).otherwise(F.lit("")).alias("normal"))
+    whole = F.translate("normal", "\n", " ")
+    framed = F.concat(F.lit(" "), whole, F.lit(" "))
+    rows = rows.select("doc_id", F.when(reduce(or_, (F.contains(framed, F.lit(f" {w} ")) for w in words)), F.col("normal")).otherwise(F.lit("")).alias("normal"))
     lines = F.filter(F.split("normal", "\n"), lambda x: F.length(x) >= 2 * least + 1)
-    units = F.filter(F.transform(F.concat(lines, F.array(F.translate("normal", "\n", " "))), _bigrams), lambda g: F.size(g).between(least, most))
+    units = F.filter(F.transform(F.concat(lines, F.array(whole)), _bigrams), lambda g: F.size(g).between(least, most))
     hits = F.filter(F.transform("units", best), lambda h: h.isNotNull())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal.alias("normal"))
-    rows = rows.select("doc_id", "normal", F.array_contains(F.array(F.lit(0)), F.instr("normal", "\n")).alias("single"), units.alias("units")).select("doc_id", "normal", "single", hits.alias("hits"))
+    possible = F.col("normal") != ""
+    rows = rows.select("doc_id", "normal", F.array_contains(F.array(F.lit(0)), F.instr("normal", "\n")).alias("single"), F.when(possible, units).otherwise(F.array().cast("array<array<string>>")).alias("units")).select("doc_id", "normal", "single", hits.alias("hits"))
     # in a text of one line the line and the whole are the same unit
     count = F.when(F.col("single") & (F.size("hits") > 0), 1).otherwise(F.size("hits"))
     every = F.array(*map(F.lit, dict.fromkeys(g for _, grams in known for g in grams)))
-    whole = F.translate("normal", "\n", " ")
-    possible = reduce(or_, (F.contains(F.concat(F.lit(" "), whole, F.lit(" ")), F.lit(f" {w} ")) for w in anchors(known, threshold)))
     windows = F.when(possible, _windows(whole, table, every, threshold))
     rows = rows.select("doc_id", "normal", "single", F.array_max("hits").alias("line"), count.cast("long").alias("count"), windows.alias("windows"))
-    lines = F.when(F.col("count") > 0, _matching_lines(F.col("normal"), best)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
-    inside = F.when(F.coalesce(F.size("windows"), F.lit(0)) < 1, 0).when((F.col("count") > 0) & (F.col("single") | best(_bigrams(whole)).isNotNull()), 0).otherwise(_bind(lines, lambda x: F.array(_apart(F.col("windows"), x)))[0])
+    lines = F.when(F.col("count") > 0, _matching_lines(F.col("normal"), best_of)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    inside = F.when(F.coalesce(F.size("windows"), F.lit(0)) < 1, 0).when((F.col("count") > 0) & (F.col("single") | best_of(whole).isNotNull()), 0).otherwise(_bind(lines, lambda x: F.array(_apart(F.col("windows"), x)))[0])
     window = F.array_max("windows")
     top = F.when(window["dice"] > F.coalesce(F.col("line.dice"), F.lit(0.0)), F.struct(window["dice"].alias("dice"), window["i"].alias("i"), window["name"].alias("name"))).otherwise(F.col("line"))
     rows = rows.select("doc_id", top.alias("top"), (F.col("count") + inside).cast("long").alias("n_license_units"))
