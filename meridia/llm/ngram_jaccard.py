@@ -8,22 +8,25 @@ more shingles first. The cheapest segment that both sets share is among the H +
 indexes that subset only, for its own band and, as the larger partner, for the band below. Small sets (at most 14
 shingles) are one segment with its deletion neighbourhood: one deletion suffices up to 9 shingles, two up to 14.
 
-Buckets of a signature are not expanded into all pairs: their members are held against a few pivots at a time, and
-pairs that verified links have already put into one component are left out. Rounds go on until no bucket holds an
-unseen pair of different components, so no link between different components is lost. Before texts are fetched, a
-parity sketch (512 bits, the parity of the number of shingles in each part of the universe) drops pairs that certainly
-differ in more than H shingles: sets differ at least where sketches do. Verification is exact, on the whole sets.
-
-Defined results: a null or empty text has no shingles, links with nothing and is its own component; a null id has a
-null component unless its text links with another; rows that repeat an id are rows of their own; an empty table gives
-an empty result; other columns are never looked at. Sets are told apart by 64-bit fingerprints.
+Buckets of a signature are not expanded into all pairs. First all members are held against the bucket's centre, the
+one with the most members in its buckets: in a group of near copies that is the text they come from, and most links
+of the group meet in it. After that, each round takes one pivot of a component, of a bounded number of components,
+and holds the members of other components against it. Rounds go on until no bucket holds an unseen pair of different
+components, so no link between different components is lost. Before sets are fetched, a parity sketch (512 bits, the
+parity of the number of shingles in each part of the universe) drops pairs that certainly differ in more than H
+shingles: sets differ at least where sketches do. Verification is exact, on the whole sets.
+
+Defined results: a null or empty text has no shingles, links with nothing and is its own component; a text with a null
+id links like others, but its id counts for nothing (its component is null if no linked text has an id); rows that
+repeat an id are rows of their own; an empty table gives an empty result; other columns are never looked at. Sets are
+told apart by 64-bit fingerprints, rows by 64-bit hashes of id and text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,12 @@ PERCENT = 80
 SMALL, FIRST = 14, 15
 #: Cells of the count of segment contents, over the whole corpus.
 COST_BITS = 14
-#: Pivots of a bucket by round; the last number repeats.
-PIVOTS = (1, 256, 2048)
+#: A cell of signatures is crowded if it has so many times the rows of the average cell; its rows are dealt to so many parts.
+CROWDED, SALTS = 8, 256
+#: Components of a bucket that have a pivot in a round; the last number repeats.
+PIVOTS = (4, 32, 256, 2048)
+#: Rows of a broadcast list of (cls, key).
+FETCHED = 1_000_000
 SKETCH = [f"s{i}" for i in range(PARITY_BITS // 64)]
 
 
@@ -102,35 +109,43 @@ def neighbourhood(shingles: np.ndarray, least: int, most: int) -> np.ndarray:
     return mix(np.concatenate(out) + np.uint64(1 << 40)) if out else shingles[:0]
 
 
-def signatures(shingles: np.ndarray, heat: np.ndarray) -> np.ndarray:
-    """Everything under which a set is indexed. A pair with J >= 0.8 shares at least one."""
-    n, out = len(shingles), []
+def neighbours(shingles: np.ndarray) -> np.ndarray:
+    """The deletion neighbourhood under which a small set is indexed; none for larger sets."""
+    n = len(shingles)
     least = -(-n * PERCENT // 100)
-    if n == 0:
-        return shingles
-    if least <= SMALL:
-        out.append(neighbourhood(shingles, least, min(n, SMALL)))
-    if n >= FIRST:
-        band = band_of(n)
-        out.append(chosen(shingles, band, differ(n, partner(n)) + 1, heat))
-        top = FIRST * 2**band - 1  # the largest set of the band below
-        if band and top * 100 >= n * PERCENT:
-            out.append(chosen(shingles, band - 1, differ(n, top) + 1, heat))
+    return neighbourhood(shingles, least, min(n, SMALL)) if n and least <= SMALL else shingles[:0]
+
+
+def cheapest(shingles: np.ndarray, heat: np.ndarray) -> np.ndarray:
+    """The segments under which a set is indexed, for its own band and for the band below; none for small sets."""
+    n = len(shingles)
+    if n < FIRST:
+        return shingles[:0]
+    band = band_of(n)
+    out = [chosen(shingles, band, differ(n, partner(n)) + 1, heat)]
+    top = FIRST * 2**band - 1  # the largest set of the band below
+    if band and top * 100 >= n * PERCENT:
+        out.append(chosen(shingles, band - 1, differ(n, top) + 1, heat))
     return np.unique(np.concatenate(out))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * PERCENT:
-        return False
-    both = len(a) + len(b) - len(np.union1d(a, b)) if len(a) and len(b) else 0
-    return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
+def signatures(shingles: np.ndarray, heat: np.ndarray) -> np.ndarray:
+    """Everything under which a set is indexed. A pair with J >= 0.8 shares at least one."""
+    return np.concatenate([neighbours(shingles), cheapest(shingles, heat)])
+
+
+def cells_of(sig: np.ndarray) -> np.ndarray:
+    return (sig >> np.uint64(64 - COST_BITS)).astype(np.int64)
 
 
-def _sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, cls) of every row, and the heat of segment contents: one pass over the texts."""
+def _sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(doc_id, key, n, cls, sketch) of every row, and what one pass over the texts counts: the heat of segment contents, and
+    which cells of signatures (neighbourhoods first, then segments) are crowded."""
+    half = 1 << COST_BITS
+    names = ["doc_id", "key", "n", "cls", "cell", *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cells = WordHashes(), np.zeros(1 << COST_BITS, np.int64)
+        words, cells = WordHashes(), np.zeros(2 * half, np.int64)
         for part in slices(batches):
             n, cls, bits = [], [], []
             for found in words.of_many(part.column("text").to_pylist()):
@@ -138,29 +153,34 @@ def _sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 n.append(len(s))
                 cls.append(fingerprint(s) if len(s) else None)
                 bits.append(parity(s))
+                cells[:half] += np.bincount(cells_of(neighbours(s)), minlength=half)
                 if len(s) >= FIRST:
                     sig, sizes = segments(s, band_of(len(s)))
-                    cells += np.bincount((sig[sizes > 0] >> np.uint64(64 - COST_BITS)).astype(np.int64), minlength=len(cells))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), *map(pa.array, np.stack(bits, 1))], ["doc_id", "n", "cls", "cell", *SKETCH])
+                    cells[half:] += np.bincount(cells_of(sig[sizes > 0]), minlength=half)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), *map(pa.array, np.stack(bits, 1))], names)
         full = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), pa.array(cells[full], pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(full.astype(np.int32)), *[pa.nulls(len(full), pa.int64())] * len(SKETCH)], ["doc_id", "n", "cls", "cell", *SKETCH])
+        none = pa.nulls(len(full), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(cells[full], pa.int64()), none, pa.array(full.astype(np.int32)), *[none] * len(SKETCH)], names)
 
-    table = stage_table(docs.mapInArrow(run, f"doc_id long, n long, cls long, cell int, {', '.join(f'{x} long' for x in SKETCH)}"), "sets")
-    count = np.zeros(1 << COST_BITS, np.float64)
+    table = stage_table(docs.mapInArrow(run, f"doc_id long, key long, n long, cls long, cell int, {', '.join(f'{x} long' for x in SKETCH)}"), "sets")
+    count = np.zeros(2 * half, np.float64)
     for r in table.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a fixed number of cells
         count[r.cell] = r.n
-    over = count / max(count.sum() / len(count), 1e-9)
-    heat = np.clip(np.floor(np.log2(np.maximum(over, 1.0))) - 2, 0, 100).astype(np.uint64)
-    return table.where("cell IS NULL").drop("cell"), heat
+    over = np.concatenate([x / max(x.sum() / half, 1e-9) for x in (count[:half], count[half:])])
+    heat = np.clip(np.floor(np.log2(np.maximum(over[half:], 1.0))) - 2, 0, 100).astype(np.uint64)
+    return table.where("cell IS NULL").drop("cell"), heat, over >= CROWDED
 
 
-def _buckets(docs: DataFrame, heat: np.ndarray) -> DataFrame:
-    """(sig, cls, cnt, lo, hi, all): index rows of signatures that at least two classes share."""
+def _buckets(docs: DataFrame, heat: np.ndarray, crowded: np.ndarray) -> DataFrame:
+    """(cls, cnt, lo, hi, all): index rows of signatures that at least two classes share, with what their classes sum up to.
+
+    Rows of crowded cells are dealt to SALTS parts of a signature, whose sums are then added up and joined back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done = WordHashes(), set()
         for part in slices(batches):
-            sigs, ids, times = [], [], []
+            sigs, ids, salts, times = [], [], [], []
             for found in words.of_many(part.column("text").to_pylist()):
                 s = shingle_set(found)
                 if len(s) == 0 or (cls := fingerprint(s)) in done:
@@ -168,16 +188,23 @@ def _buckets(docs: DataFrame, heat: np.ndarray) -> DataFrame:
                 if len(done) >= 1_000_000:
                     done.clear()
                 done.add(cls)
-                sigs.append(signatures(s, heat).view(np.int64))
+                near, cheap = neighbours(s), cheapest(s, heat)
+                hot = crowded[np.concatenate([cells_of(near), cells_of(cheap) + (1 << COST_BITS)])]
+                sigs.append(np.concatenate([near, cheap]).view(np.int64))
+                salts.append(np.where(hot, 1 + cls % SALTS, 0).astype(np.int16))
                 ids.append(cls)
                 times.append(len(sigs[-1]))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.repeat(np.array(ids, np.int64), times))], ["sig", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(salts)), pa.array(np.repeat(np.array(ids, np.int64), times))], ["sig", "salt", "cls"])
 
-    by = Window.partitionBy("sig")
-    index = docs.select("text").mapInArrow(run, "sig long, cls long")
-    index = index.select("sig", "cls", F.count("*").over(by).alias("cnt"), F.min("cls").over(by).alias("lo"), F.max("cls").over(by).alias("hi"), F.bit_xor(F.xxhash64("cls")).over(by).alias("all"))
-    return stage_table(index.where("lo <> hi"), "buckets")
+    by = Window.partitionBy("sig", "salt")
+    index = docs.select("text").mapInArrow(run, "sig long, salt short, cls long")
+    index = index.select("sig", "salt", "cls", F.count("*").over(by).alias("cnt"), F.min("cls").over(by).alias("lo"), F.max("cls").over(by).alias("hi"), F.bit_xor(F.xxhash64("cls")).over(by).alias("all"))
+    index = stage_table(index.where("salt > 0 OR lo <> hi"), "buckets")
+    parts = index.where("salt > 0").groupBy("sig", "salt").agg(*(F.any_value(c).alias(c) for c in ("cnt", "lo", "hi", "all")))
+    whole = parts.groupBy("sig").agg(F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_xor("all").alias("all")).where("lo <> hi")
+    crowds = index.where("salt > 0").select("sig", "cls").join(whole, "sig")
+    return index.where("salt = 0").select("cls", "cnt", "lo", "hi", "all").unionByName(crowds.drop("sig"))
 
 
 def _may_link():
@@ -187,88 +214,119 @@ def _may_link():
     return (smaller * 100 >= larger * PERCENT) & (bits * (100 + PERCENT) <= (smaller + larger) * (100 - PERCENT))
 
 
-def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) of known classes that sizes and sketches leave open."""
-    side = lambda x: known.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in SKETCH))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link()).select("a", "b")
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select(*more, F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in SKETCH))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets have J >= 0.8."""
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, s): the whole shingle set of each class of ``wanted`` (cls, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, held = WordHashes(), None, None
-        for part in slices(slices(batches, "text_a"), "text_b"):
-            a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-            good = []
-            for i, y in enumerate(words.of_many(part.column("text_b").to_pylist())):
-                if a[i] != last:
-                    last, held = a[i], shingle_set(words.of(part.column("text_a")[i].as_py()))
-                if similar(held, shingle_set(y)):
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
+        words, done = WordHashes(), set()
+        for part in slices(batches):  # equal rows have equal keys: a task returns a class once
+            ids, sets = [], []
+            for cls, found in zip(part.column("cls").to_pylist(), words.of_many(part.column("text").to_pylist())):
+                if cls not in done and len(s := shingle_set(found)) and fingerprint(s) == cls:
+                    done.add(cls)
+                    ids.append(cls)
+                    sets.append(s.view(np.int64))
+            if ids:
+                ends = np.cumsum([0] + [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.LargeListArray.from_arrays(ends, np.concatenate(sets)).cast(pa.list_(pa.int64()))], ["cls", "s"])
 
-    both = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    return stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    return stage_table(docs.select("key", "text").join(checked_broadcast(wanted.select("cls", "key"), FETCHED), "key").select("cls", "text").mapInArrow(run, "cls long, s array<long>"), "arrays")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets, heat = _sets(docs)
-    classes = sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", *SKETCH)))
-    shared = _buckets(docs, heat)
-    pairs = shared.where("cnt = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
+def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets have J >= 0.8."""
+    both = pairs.join(arrays.select(F.col("cls").alias("b"), F.col("s").alias("t")), "b").join(arrays.withColumnRenamed("cls", "a"), "a")
+    shared = F.size(F.array_intersect("s", "t"))
+    return stage_table(both.where(shared * 100 >= (F.size("s") + F.size("t") - shared) * PERCENT).select("a", "b"), "links")
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (bucket, cls, ...) of buckets that still hold two components, with their component as ``label``."""
+    labelled = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    return labelled.join(mixed, "bucket", "left_semi")
+
+
+def _linked(docs: DataFrame, classes: DataFrame, heat: np.ndarray, crowded: np.ndarray) -> DataFrame:
+    """(node, component) of the classes that link with others."""
+    shared = _buckets(docs, heat, crowded)
     # buckets with the same members are one: their name is what their members sum up to
-    name = F.xxhash64("cnt", "lo", "hi", "all")
-    # a class of null ids only links with nothing: it must not be the star's centre
-    large = shared.where("cnt > 2").select(name.alias("bucket"), "cls").distinct()
-    large = stage_table(large.join(classes.where("rep IS NOT NULL").select("cls"), "cls", "left_semi"), "large")
-    stars = large.join(large.groupBy("bucket").agg(F.min("cls").alias("a")), "bucket").where("a <> cls").select("a", F.col("cls").alias("b"))
-    pairs = pairs.unionByName(stars).distinct()
-    known = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.where("rep IS NOT NULL"), "cls"), "known")
-    pairs = stage_table(_possible(pairs, known), "pairs")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("cls"))
-    large = stage_table(large.join(known.drop("rep"), "cls").withColumn("place", place), "members")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(large.select("cls")).distinct()
-    involved = stage_table(involved.join(known, "cls").select("cls", F.col("rep").alias("doc_id")), "involved")
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for part in slices(batches):  # ids may repeat: only the text of the class is kept
-            good = [i for i, (c, w) in enumerate(zip(part.column("cls").to_pylist(), words.of_many(part.column("text").to_pylist()))) if len(s := shingle_set(w)) and fingerprint(s) == c]
-            yield part.take(pa.array(good, pa.int64()))
-
-    texts = docs.join(checked_broadcast(involved), "doc_id").select("cls", "text").mapInArrow(same, "cls long, text string")
-    texts = stage_table(texts, "texts")
-
-    links = _verify(pairs, texts)
-    found, done, turn = connected_components(links), PIVOTS[0], 1
-    while True:
-        labelled = large.where(F.col("place") > done).join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        rest = stage_table(labelled.join(mixed, "bucket", "left_semi"), "rest")
-        if rest.isEmpty():
-            break
-        step = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        pivots = rest.where(F.col("place") <= done + step).select("bucket", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("place").alias("pa"), F.col("n").alias("n_a"), *(F.col(c).alias(f"{c}_a") for c in SKETCH))
-        others = rest.select("bucket", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("place").alias("pb"), F.col("n").alias("n_b"), *(F.col(c).alias(f"{c}_b") for c in SKETCH))
-        more = pivots.join(others, (pivots.bucket == others.bucket) & (F.col("pb") > F.col("pa")) & (F.col("la") != F.col("lb")) & _may_link()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = _verify(more, texts)
+    large = stage_table(shared.where("cnt > 2").select(F.xxhash64("cnt", "lo", "hi", "all").alias("bucket"), "cls", "cnt").distinct(), "large")
+    # the centre of a bucket is its member with the largest neighbourhood: the text that others are copies of is found early
+    weight = large.groupBy("cls").agg(F.sum("cnt").alias("weight"))
+    large = stage_table(large.drop("cnt").join(weight, "cls"), "weighted")
+    centres = large.groupBy("bucket").agg(F.max(F.struct("weight", "cls")).getField("cls").alias("a"))
+    stars = large.join(centres, "bucket").where("a <> cls").select("a", F.col("cls").alias("b"))
+    pairs = stage_table(_ordered(shared.where("cnt = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(stars)), "near")
+    known = classes.select("cls", "n", *SKETCH)
+    pairs = stage_table(pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_may_link()).select("a", "b"), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "key"), "cls")
+    links = _verify(pairs, _arrays(docs, wanted))
+    found = connected_components(links)
+
+    rest = stage_table(_mixed(large.join(centres.withColumnRenamed("a", "cls"), ["bucket", "cls"], "left_anti"), found), "rest")
+    if rest.isEmpty():
+        return found
+    arrays = _arrays(docs, rest.select("cls").distinct().join(classes.select("cls", "key"), "cls"))
+    rest = stage_table(rest.join(known, "cls"), "rest")
+    for step in chain(PIVOTS, repeat(PIVOTS[-1])):
+        # a pivot of each component, of at most ``step`` components of a bucket
+        best = F.max(F.struct("weight", "cls", "label", "n", *SKETCH)).alias("p")
+        pivots = stage_table(rest.groupBy("bucket", F.pmod(F.xxhash64("label"), F.lit(step)).alias("of")).agg(best).select("bucket", "p.*"), "pivots")
+        one, two = _side(pivots.withColumn("la", F.col("label")), "a", "bucket", "la"), _side(rest.withColumn("lb", F.col("label")), "b", "bucket", "lb")
+        more = stage_table(_ordered(one.join(two, (one.bucket == two.bucket) & (F.col("la") != F.col("lb")) & _may_link())), "more")
+        fresh = _verify(more, arrays)
         if not fresh.isEmpty():
             found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
-        done, turn = done + step, turn + 1
-    rooted = found.select(F.col("node").alias("cls"), "component").join(classes, "cls")
-    least = rooted.groupBy("component").agg(F.min("rep").alias("component_id"))
-    joined = rooted.join(least, "component").select("cls", "component_id")
-    own = classes.join(joined, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
-    return sets.join(own, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        rest = stage_table(_mixed(rest.drop("label").join(pivots.select("bucket", "cls"), ["bucket", "cls"], "left_anti"), found), "rest")
+        if rest.isEmpty():
+            return found
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n, cls, component_id and first, the row of its group that stays, for each row of docs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    sets, heat, crowded = _sets(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes = sets.where("cls IS NOT NULL").groupBy("cls").agg(first.alias("first"), *(F.any_value(c).alias(c) for c in ("n", *SKETCH)))
+    classes = stage_table(classes.withColumn("key", F.col("first.key")), "classes")
+    rooted = classes.select("cls", "first").join(_linked(docs, classes, heat, crowded).withColumnRenamed("node", "cls"), "cls")
+    joined = rooted.select("cls", "component").join(rooted.groupBy("component").agg(F.min("first").alias("joint")), "component").drop("component")
+    own = classes.select("cls", "first").join(joined, "cls", "left").select("cls", F.coalesce("joint", "first").alias("first"))
+    return sets.join(own, "cls", "left").select("doc_id", "key", "n", "cls", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    return _grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without those whose group has a document of smaller id."""
-    gone = components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("__copy_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__copy_id"], "left_anti")
+    """The rows of docs, all columns: of each group one, that of smallest id (null ids last; of equal ids any one text).
+
+    Rows without shingles stay. Rows that repeat an id are told apart by their texts; of equal rows one stays.
+    """
+    rows = stage_table(_grouped(docs).where("cls IS NOT NULL").select("doc_id", "key", "first"), "grouped")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    gone = checked_broadcast(rows.where(~stays).select(F.col("key").alias("__gone_key")).distinct(), FETCHED)
+    kept = docs.join(gone, key == F.col("__gone_key"), "left_anti")
+    again = rows.where(stays).groupBy(F.col("key").alias("__again_key")).count().where("count > 1").select("__again_key")
+    again = stage_table(again, "again")
+    if again.isEmpty():
+        return kept
+    alone = kept.join(again, key == F.col("__again_key"), "left_anti")
+    same = kept.join(again, key == F.col("__again_key")).groupBy("__again_key").agg(F.any_value(F.struct(*(kept[c] for c in docs.columns))).alias("__row"))
+    return alone.unionByName(same.select("__row.*"))
 
 
 SQL = r"""

@@ -207,7 +207,8 @@ def test_pigeonhole_shares_a_signature_with_every_partner():
             gone = int(rng.integers(0, n // 5 + 1))
             new = int(rng.integers(0, n // 4 + 1))
             b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**64, new, np.uint64)]))
-            if ngram_jaccard.similar(a, b):
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= 80 * (len(a) + len(b) - both):
                 assert np.intersect1d(ngram_jaccard.signatures(a, heat), ngram_jaccard.signatures(b, heat)).size, (len(a), len(b))
 
 
