@@ -10,9 +10,9 @@ shingles) are one segment with its deletion neighbourhood: one deletion suffices
 
 Buckets of a signature are not expanded into all pairs. First all members are held against the bucket's centre, the
 one with the most members in its buckets: in a group of near copies that is the text they come from, and most links
-of the group meet in it. After that, each round takes one pivot of a component, of a bounded number of components,
-and holds the members of other components against it. Rounds go on until no bucket holds an unseen pair of different
-components, so no link between different components is lost. Before sets are fetched, a parity sketch (512 bits, the
+of the group meet in it. After that, rounds take pivots, at first one of a component, and hold the members of other
+components against them. Rounds go on until no bucket holds an unseen pair of different components, so no link between
+different components is lost. Before sets are fetched, a parity sketch (512 bits, the
 parity of the number of shingles in each part of the universe) drops pairs that certainly differ in more than H
 shingles: sets differ at least where sketches do. Verification is exact, on the whole sets.
 
@@ -43,8 +43,8 @@ SMALL, FIRST = 14, 15
 COST_BITS = 14
 #: A cell of signatures is crowded if it has so many times the rows of the average cell; its rows are dealt to so many parts.
 CROWDED, SALTS = 8, 256
-#: Components of a bucket that have a pivot in a round; the last number repeats.
-PIVOTS = (4, 32, 256, 2048)
+#: By round: whether a bucket's pivots are of different components or any members, and how many at most; the last repeats.
+PIVOTS = (("label", 16), ("cls", 256), ("cls", 2048))
 #: Rows of a broadcast list of (cls, key).
 FETCHED = 1_000_000
 SKETCH = [f"s{i}" for i in range(PARITY_BITS // 64)]
@@ -277,10 +277,9 @@ def _linked(docs: DataFrame, classes: DataFrame, heat: np.ndarray, crowded: np.n
         return found
     arrays = _arrays(docs, rest.select("cls").distinct().join(classes.select("cls", "key"), "cls"))
     rest = stage_table(rest.join(known, "cls"), "rest")
-    for step in chain(PIVOTS, repeat(PIVOTS[-1])):
-        # a pivot of each component, of at most ``step`` components of a bucket
+    for by, step in chain(PIVOTS, repeat(PIVOTS[-1])):
         best = F.max(F.struct("weight", "cls", "label", "n", *SKETCH)).alias("p")
-        pivots = stage_table(rest.groupBy("bucket", F.pmod(F.xxhash64("label"), F.lit(step)).alias("of")).agg(best).select("bucket", "p.*"), "pivots")
+        pivots = stage_table(rest.groupBy("bucket", F.pmod(F.xxhash64(by), F.lit(step)).alias("of")).agg(best).select("bucket", "p.*"), "pivots")
         one, two = _side(pivots.withColumn("la", F.col("label")), "a", "bucket", "la"), _side(rest.withColumn("lb", F.col("label")), "b", "bucket", "lb")
         more = stage_table(_ordered(one.join(two, (one.bucket == two.bucket) & (F.col("la") != F.col("lb")) & _may_link())), "more")
         fresh = _verify(more, arrays)
