@@ -6,8 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridia.operators.tables import at_most
+
 OXYGEN = ("f0", "a1", "a2", "a3", "a4", "a5", "a6")
 WATER = ("f0", "b1", "b2", "b3", "b4", "b5", "b6")
+#: Lines a table may have: it is joined to every point.
+MOST_LINES = 10_000
 
 
 def vapour_pressure(grams_m3: Column, kelvin: Column) -> Column:
@@ -26,8 +30,12 @@ def dry_continuum(ghz: Column, dry_hpa: Column, kelvin: Column, grams_m3: Column
 def absorption(points: DataFrame, oxygen: DataFrame, water: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, oxygen, water, dry, total) in dB per km of points (keys, ghz, dry_hpa, kelvin, grams_m3).
 
-    A line table is a few dozen rows; it is joined to all points and its terms are summed by point.
+    A line table is a few dozen rows; it is joined to all points and its terms are summed by point. One of more than
+    MOST_LINES rows is an error.
     """
+    for lines in (oxygen, water):
+        if not at_most(lines, MOST_LINES):
+            raise ValueError(f"a line table has more than {MOST_LINES} rows")
     p = points.withColumn("theta", 300 / F.col("kelvin")).withColumn("e", vapour_pressure(F.col("grams_m3"), F.col("kelvin")))
     c, pw = F.col, F.pow
     ghz, theta, e, dry = c("ghz"), c("theta"), c("e"), c("dry_hpa")
@@ -43,7 +51,7 @@ def absorption(points: DataFrame, oxygen: DataFrame, water: DataFrame, keys: lis
     w_width = 0.535 * wide + F.sqrt(0.217 * wide * wide + 2.1316e-12 * c("f0") * c("f0") / theta)
     w_shape = ghz / c("f0") * (w_width / (near * near + w_width * w_width) + w_width / (far * far + w_width * w_width))
     w_term = c("b1") * 0.1 * e * pw(theta, F.lit(3.5)) * F.exp(c("b2") * (1 - theta)) * w_shape
-    sums = [p.join(F.broadcast(lines.select(*names).limit(1000))).groupBy(*keys).agg(F.sum(0.1820 * ghz * term).alias(to)) for lines, names, term, to in ((oxygen, OXYGEN, o_term, "oxygen"), (water, WATER, w_term, "water"))]
+    sums = [p.join(F.broadcast(lines.select(*names))).groupBy(*keys).agg(F.sum(0.1820 * ghz * term).alias(to)) for lines, names, term, to in ((oxygen, OXYGEN, o_term, "oxygen"), (water, WATER, w_term, "water"))]
     out = points.join(sums[0], keys, "left").join(sums[1], keys, "left").fillna(0.0, ["oxygen", "water"])
     out = out.withColumn("dry", dry_continuum(c("ghz"), c("dry_hpa"), c("kelvin"), c("grams_m3")))
     return out.select(*keys, "oxygen", "water", "dry", (c("oxygen") + c("water") + c("dry")).alias("total"))

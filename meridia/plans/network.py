@@ -1,4 +1,4 @@
-"""Search over plans: experiments, skylines, azimuth sweeps, coordinate search, grids, contours."""
+"""Plans compared: experiments, skylines, azimuth sweeps, grids, contours, what a network loses without a cell."""
 
 from __future__ import annotations
 
@@ -79,39 +79,6 @@ def azimuth_sweep(spark, sf_dir):
     return best.select("cell_id", (-F.col("m.a")).alias("azimuth"), F.col("m.score").alias("score"))
 
 
-def coordinate_search(contrib: DataFrame, cells: list[int], passes: int = 2, start: dict[int, int] | None = None) -> list[tuple[int, int, float]]:
-    """Sequential search over a few cells: each in turn takes the azimuth that gives the network most demand, buildings
-    counted once. (cell, azimuth, network demand) of each step; every step is one job over the contribution table."""
-    azimuth = dict(start) if start else dict.fromkeys(cells, 0)
-    steps = []
-    for _ in range(passes):
-        for cell in cells:
-            fixed = F.lit(False)
-            for other, a in azimuth.items():
-                if other != cell:
-                    fixed |= (F.col("cell_id") == other) & (F.col("azimuth") == a)
-            others = contrib.where(fixed).select("building_id", "demand").distinct()
-            own = contrib.where(F.col("cell_id") == cell).select("azimuth", "building_id", "demand")
-            base = others.agg(F.coalesce(F.sum("demand"), F.lit(0.0)).alias("base"))
-            added = own.join(others.select("building_id"), "building_id", "left_anti").groupBy("azimuth").agg(F.sum("demand").alias("more"))
-            best = added.join(base).select("azimuth", rounded(F.col("base") + F.col("more"), 4).alias("score")).orderBy(F.desc("score"), "azimuth").first()
-            if best:
-                azimuth[cell] = best.azimuth
-                steps.append((cell, best.azimuth, best.score))
-    return steps
-
-
-@query("network_search")
-def network_search(spark, sf_dir):
-    """Two passes of coordinate search over the four cells of most demand (a plan is a handful of cells). Iterative: no SQL twin."""
-    c = contributions(spark, sf_dir)
-    chosen = [r.cell_id for r in c.select("cell_id", "building_id", "demand").distinct().groupBy("cell_id").agg(F.sum("demand").alias("s")).orderBy(F.desc("s"), "cell_id").limit(4).collect()]
-    from meridia.operators.tables import shared_table
-
-    kept = shared_table(c.where(F.col("cell_id").isin(chosen)), "contributions")
-    return spark.createDataFrame([(i, *s) for i, s in enumerate(coordinate_search(kept, chosen))], "step int, cell_id long, azimuth int, score double")
-
-
 STEP = 0.004
 
 
@@ -159,34 +126,6 @@ def constraint_violations(spark, sf_dir):
     return q.select("cell_id", F.array_join(F.array(F.when(F.col("r") < -90, "rsrp"), F.when(F.col("s") < 30, "sinr"), F.when(F.col("n") < 10, "samples")), ",").alias("violated"))
 
 
-def multistart_search(contrib: DataFrame, cells: list[int], starts: tuple[int, ...] = (0, 90, 180, 270), most_passes: int = 8) -> list[tuple[int, int, int, float]]:
-    """Coordinate search from several common azimuths until a pass changes nothing: (start, pass, cells changed, demand)."""
-    out = []
-    for start in starts:
-        azimuth, score = dict.fromkeys(cells, start), 0.0
-        for k in range(most_passes):
-            before = dict(azimuth)
-            for cell, a, s in coordinate_search(contrib, cells, 1, azimuth):
-                azimuth[cell], score = a, s
-            changed = sum(before[c] != azimuth[c] for c in cells)
-            out.append((start, k, changed, float(score)))
-            if not changed:
-                break
-    return out
-
-
-@query("network_multistart")
-def network_multistart(spark, sf_dir):
-    """Four starts over the two cells of most demand. Iterative: no SQL twin."""
-    from meridia.operators.tables import shared_table
-
-    c = contributions(spark, sf_dir)
-    top = c.select("cell_id", "building_id", "demand").distinct().groupBy("cell_id").agg(F.sum("demand").alias("s")).orderBy(F.desc("s"), "cell_id").limit(2)
-    chosen = [r.cell_id for r in top.collect()]
-    kept = shared_table(c.where(F.col("cell_id").isin(chosen)), "contributions")
-    return spark.createDataFrame(multistart_search(kept, chosen), "start int, pass int, changed int, score double")
-
-
 @query("cell_explanation", f"{_CONTRIB}, s AS (SELECT DISTINCT k.cell_id, building_id, demand FROM k JOIN lens_cells c ON c.cell_id = k.cell_id AND k.azimuth = (floor(c.azimuth / 10) * 10)::INTEGER), alone AS (SELECT *, count(*) OVER (PARTITION BY building_id) AS served FROM s) SELECT cell_id, count(*)::BIGINT AS served, count(*) FILTER (served = 1)::BIGINT AS only_here, {rounded_sql('coalesce(sum(demand) FILTER (served = 1), 0)', 2)} AS demand_without FROM alone GROUP BY cell_id")
 def cell_explanation(spark, sf_dir):
     """What the network would lose without each cell: the demand of buildings that no other cell serves."""
@@ -194,72 +133,3 @@ def cell_explanation(spark, sf_dir):
     s = contributions(spark, sf_dir).join(own, ["cell_id", "azimuth"]).select("cell_id", "building_id", "demand").distinct()
     alone = F.count("*").over(Window.partitionBy("building_id")) == 1
     return s.withColumn("alone", alone).groupBy("cell_id").agg(F.count("*").alias("served"), F.count_if("alone").alias("only_here"), rounded(F.coalesce(F.sum(F.when(F.col("alone"), F.col("demand"))), F.lit(0.0)), 2).alias("demand_without"))
-
-
-def evaluated(contrib: DataFrame, states: DataFrame) -> DataFrame:
-    """(state, demand, overlap) of plans (state, cell_id, azimuth): demand served, each building once, and buildings served twice or more. One job for all."""
-    served = states.join(contrib, ["cell_id", "azimuth"]).groupBy("state", "building_id").agg(F.count("*").alias("n"), F.max("demand").alias("demand"))
-    return served.groupBy("state").agg(rounded(F.sum("demand"), 4).alias("demand"), F.count_if(F.col("n") > 1).alias("overlap"))
-
-
-def archive_search(contrib: DataFrame, cells: list[int], base: tuple[int, ...], most_expanded: int = 128, most_rounds: int = 16, most_evaluations: int = 5000, step: int = 10) -> tuple[list[tuple], str]:
-    """Search by an archive of plans that none beats in demand (more) and overlap (less): all neighbours of a round's plans are
-    evaluated in one job, then taken in order; those not beaten by the archive so far are expanded in the next round.
-
-    Starts are the base and its turns by 90, 180 and 270 degrees, all expanded. Returns (azimuths, demand, overlap) of the final
-    front and why the search ended. The driver holds plans, at most ``most_evaluations``; buildings stay in the cluster.
-    """
-    spark = contrib.sparkSession
-    known: dict[tuple[int, ...], tuple[float, int]] = {}
-    front: dict[tuple[int, ...], tuple[float, int]] = {}
-    why = ""
-
-    def evaluate(wanted: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
-        """New plans in order, evaluated, as far as the budget goes."""
-        nonlocal why
-        fresh = [p for p in dict.fromkeys(wanted) if p not in known]
-        if len(fresh) > most_evaluations - len(known):
-            fresh, why = fresh[: most_evaluations - len(known)], "evaluation_budget"
-        if fresh:
-            rows = [(i, c, a) for i, p in enumerate(fresh) for c, a in zip(cells, p)]
-            got = {r.state: (r.demand, r.overlap) for r in evaluated(contrib, spark.createDataFrame(rows, "state int, cell_id long, azimuth int")).collect()}
-            known.update((p, got.get(i, (0.0, 0))) for i, p in enumerate(fresh))
-        return fresh
-
-    def admit(p: tuple[int, ...]) -> bool:
-        d, o = known[p]
-        if any(x >= d and y <= o and (x, y) != (d, o) for x, y in front.values()):
-            return False
-        for q in [q for q, (x, y) in front.items() if d >= x and o <= y and (x, y) != (d, o)]:
-            del front[q]
-        front[p] = (d, o)
-        return True
-
-    queue = evaluate([tuple((a + turn) % 360 for a in base) for turn in (0, 90, 180, 270)])
-    for p in queue:
-        admit(p)
-    expanded = rounds = 0
-    while queue and not why:
-        if rounds == most_rounds:
-            why = "max_rounds"
-            break
-        batch, left = queue[: most_expanded - expanded], len(queue) > most_expanded - expanded
-        expanded += len(batch)
-        queue = [p for p in evaluate([(*p[:i], a, *p[i + 1 :]) for p in batch for i in range(len(cells)) for a in range(0, 360, step)]) if admit(p)]
-        rounds += 1
-        if left and not why:
-            why = "max_expanded_states"
-    return sorted((p, *v) for p, v in front.items()), why or "archive_exhausted"
-
-
-@query("network_archive")
-def network_archive(spark, sf_dir):
-    """The front that the archive search finds for the three cells of most demand. Iterative: no SQL twin."""
-    from meridia.operators.tables import shared_table
-
-    c = contributions(spark, sf_dir)
-    top = c.select("cell_id", "building_id", "demand").distinct().groupBy("cell_id").agg(F.sum("demand").alias("s")).orderBy(F.desc("s"), "cell_id").limit(3)
-    chosen = [r.cell_id for r in top.collect()]
-    kept = shared_table(c.where(F.col("cell_id").isin(chosen)), "contributions")
-    front, why = archive_search(kept, chosen, (0,) * len(chosen))
-    return spark.createDataFrame([(",".join(map(str, p)), float(d), o, why) for p, d, o in front], "azimuths string, demand double, overlap long, ended string")

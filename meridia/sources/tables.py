@@ -37,7 +37,7 @@ def measurements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def tower_export(spark: SparkSession, path: str, bounds: tuple[float, float, float, float], few: int = 50) -> DataFrame:
-    """Cells of a box from a CSV with or without a header: 5G ones, and 4G ones as simulated where there are few; of rows with equal keys the first."""
+    """Cells of a box from a CSV with or without a header: 5G ones, and 4G ones as simulated where there are few; of rows with equal keys the one with most samples."""
     first = spark.read.text(path).first()
     header = bool(first) and "radio" in first.value.split(",")
     df = spark.read.csv(path, header=True) if header else spark.read.csv(path).toDF(*TOWER_COLUMNS)

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.functions import gas, geo, polygons
-from meridia.plans import network
 from meridia.sources import collector
 
 
@@ -57,13 +56,3 @@ def test_collector_cells(spark):
     assert set(got) == {1, 2} and (got[1].serving, got[1].pci, got[1].ghz, got[1].technology) == (True, 3, 2.665, "lte") and not got[2].serving and got[2].cell_id is None
     assert sorted((r.line, r.quantity, r.value) for r in collector.quantities(c).collect()) == [(1, "rsrp", -82.0), (2, "rsrp", -90.0), (2, "rssi", -70.0)]
     assert {(r.quantity, r.ghz): r.blockers for r in collector.readiness(c, 1).collect()}["rsrp", None] == ["frequency_unknown", "no_serving_rows"]
-
-
-def test_coordinate_search_counts_buildings_once(spark):
-    rows = [(1, 0, 10, 5.0), (1, 10, 11, 4.0), (1, 10, 12, 4.0), (2, 0, 11, 4.0), (2, 0, 12, 4.0), (2, 10, 13, 6.0)]
-    c = spark.createDataFrame(rows, "cell_id long, azimuth int, building_id long, demand double")
-    steps = network.coordinate_search(c, [1, 2], 2)
-    assert steps[-1][2] == 13.0 and {s[0]: s[1] for s in steps} == {1: 0, 2: 0}  # no single move improves on this
-    assert max(s[3] for s in network.multistart_search(c, [1, 2], (0, 10))) == 14.0
-    with pytest.raises(ValueError):
-        network.experiment(spark, {"a": tuple(range(65))}, {})

@@ -1,25 +1,8 @@
-"""Archive search, request checks, tolerances, composites."""
-
-from itertools import product
+"""Request checks, tolerances, composites."""
 
 from pyspark.sql import functions as F
 
-from meridia.plans import network, requests, studies
-
-
-def test_archive_search_finds_the_front(spark):
-    rows = [(1, a, b, float(10 + b)) for a in range(0, 360, 90) for b in range(a // 90, a // 90 + 3)] + [(2, a, b, float(10 + b)) for a in range(0, 360, 90) for b in range(1 + a // 60, 4 + a // 45)]
-    contrib = spark.createDataFrame(rows, "cell_id long, azimuth int, building_id int, demand double").cache()
-    best = {}
-    for p in product(range(0, 360, 90), repeat=2):
-        sets = [{b for c, a, b, _ in rows if c == k and a == x} for k, x in zip((1, 2), p)]
-        best[p] = (sum(10.0 + b for b in set.union(*sets)), len(sets[0] & sets[1]))
-    front = {p for p, (d, o) in best.items() if not any(x >= d and y <= o and (x, y) != (d, o) for x, y in best.values())}
-    got, why = network.archive_search(contrib, [1, 2], (0, 0), step=90)
-    assert why == "archive_exhausted" and {p for p, *_ in got} == front and all((d, o) == best[p] for p, d, o in got)
-    assert network.archive_search(contrib, [1, 2], (0, 0), most_evaluations=6, step=90)[1] == "evaluation_budget"
-    assert network.archive_search(contrib, [1, 2], (0, 0), most_expanded=1, step=90)[1] == "max_expanded_states"
-    assert network.archive_search(contrib, [1, 2], (0, 0), most_rounds=0, step=90)[1] == "max_rounds"
+from meridia.plans import requests, studies
 
 
 def test_requests():
