@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridia.functions.numeric import rounded, rounded_sql
+from meridia.operators import folds
 from meridia.operators.joins import carried, top_rows
 from meridia.operators.ordered import followed, running
 from meridia.plans import lens
@@ -129,3 +130,60 @@ def neighbour_topology(spark, sf_dir):
 def duplicate_catalogue(spark, sf_dir):
     """Entries whose name occurs once; of doubled names none is trusted."""
     return lens.table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+_CHAIN = """WITH RECURSIVE LOG, o AS (SELECT session, line, epoch_us(ts) AS us, row_number() OVER (PARTITION BY session ORDER BY ts, line) AS k FROM lens_log),
+ f AS (SELECT session, line, us, k, us AS began, us AS last, 1::BIGINT AS n FROM o WHERE k = 1
+ UNION ALL SELECT o.session, o.line, o.us, o.k, CASE WHEN FRESH THEN o.us ELSE f.began END, o.us, CASE WHEN FRESH THEN 1 ELSE f.n + 1 END FROM f JOIN o ON o.session = f.session AND o.k = f.k + 1)"""
+WIDTH_US, IDLE_US, WHOLE_US = 86_400_000_000, 43_200_000_000, 172_800_000_000
+
+
+def _timed(spark, sf_dir):
+    """(session, line, us): microseconds since 1970."""
+    return lens.log(spark, sf_dir).select("session", "line", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("us"))
+
+
+@query("anchored_budget", _CHAIN.replace("LOG", lens.LOG).replace("FRESH", f"o.us >= f.began + {WIDTH_US}") + " SELECT session, line, began, n, n > 2 AS refused FROM f")
+def anchored_budget(spark, sf_dir):
+    """Requests of a client in windows that begin with its first request after the last window; the third in a window is refused."""
+    d = _timed(spark, sf_dir)
+    f = folds.folded(d, ["session"], ["us", "line"], *folds.anchored_windows(WIDTH_US, "us"), "began long, n long")
+    return f.select("session", "line", "began", "n", (F.col("n") > 2).alias("refused"))
+
+
+@query("workflow_expiry", _CHAIN.replace("LOG", lens.LOG).replace("FRESH", f"(o.us >= f.last + {IDLE_US} OR o.us >= f.began + {WHOLE_US})") + f" SELECT session, began, least(max(us) + {IDLE_US}, began + {WHOLE_US}) AS ends, count(*)::BIGINT AS n FROM f GROUP BY session, began")
+def workflow_expiry(spark, sf_dir):
+    """Workflows that expire when idle, or for good some time after they began."""
+    d = _timed(spark, sf_dir)
+    f = folds.folded(d, ["session"], ["us", "line"], *folds.workflows(IDLE_US, WHOLE_US, "us"), "began long, place long")
+    return f.groupBy("session", "began").agg(F.least(F.max("us") + IDLE_US, F.col("began") + WHOLE_US).alias("ends"), F.count("*").alias("n"))
+
+
+_ENDS = "e AS (SELECT line, session, epoch_us(ts) AS t, 1 AS move FROM lens_log UNION ALL SELECT line, session, epoch_us(ts) + 60000000 * (1 + line % 240), -1 FROM lens_log)"
+
+
+@query("concurrency_replay", f"{_L}, {_ENDS}, r AS (SELECT line, session, move, sum(move) OVER (PARTITION BY session ORDER BY t, move, line ROWS UNBOUNDED PRECEDING) AS own, sum(move) OVER (ORDER BY t, move, session, line ROWS UNBOUNDED PRECEDING) AS every FROM e) SELECT line, session, own::BIGINT AS own, every::BIGINT AS every, own > 1 OR every > 2 AS refused FROM r WHERE move = 1")
+def concurrency_replay(spark, sf_dir):
+    """Requests running at the start of each, of its client and of all: one more at a start, one less at an end, ends first."""
+    d = _timed(spark, sf_dir)
+    moves = F.array(F.struct(F.col("us").alias("t"), F.lit(1).alias("move")), F.struct((F.col("us") + 60000000 * (1 + F.col("line") % 240)).alias("t"), F.lit(-1).alias("move")))
+    e = running(d.withColumn("m", F.explode(moves)).select("line", "session", "m.t", "m.move"), ["t", "move", "session", "line"], "every", F.col("move").cast("long"))
+    own = F.sum("move").over(Window.partitionBy("session").orderBy("t", "move", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return e.withColumn("own", own).where("move = 1").select("line", "session", "own", "every", ((F.col("own") > 1) | (F.col("every") > 2)).alias("refused"))
+
+
+_JOB = "line // 10"
+_STATE = "CASE source WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' WHEN 'logout' THEN 'dismissed' WHEN 'click' THEN 'running' ELSE 'accepted' END"
+
+
+@query("job_states", f"{_L}, s AS (SELECT {_JOB} AS job, line, {_STATE} AS state FROM lens_log), t AS (SELECT job, min(line) AS at, arg_min(state, line) AS state FROM s WHERE state IN ('succeeded', 'failed', 'dismissed') GROUP BY job) SELECT s.job, coalesce(any_value(t.state), CASE WHEN count(*) FILTER (s.state = 'running') > 0 THEN 'running' ELSE 'accepted' END) AS state, count(*) FILTER (s.state = 'running' AND (t.at IS NULL OR s.line < t.at))::BIGINT AS progress FROM s LEFT JOIN t USING (job) GROUP BY s.job")
+def job_states(spark, sf_dir):
+    """The state of each job: its first final event ends it, later events count for nothing; progress is the running events before.
+
+    One aggregation: events are kept as a sorted set per job (a job has a few events)."""
+    state = F.when(F.col("source") == "purchase", "succeeded").when(F.col("source") == "error", "failed").when(F.col("source") == "logout", "dismissed").when(F.col("source") == "click", "running").otherwise("accepted")
+    s = lens.log(spark, sf_dir).select(F.floor(F.col("line") / 10).alias("job"), "line", state.alias("state"))
+    final = F.col("state").isin("succeeded", "failed", "dismissed")
+    g = s.groupBy("job").agg(F.min(F.when(final, F.struct("line", "state"))).alias("end"), F.collect_list(F.when(F.col("state") == "running", F.col("line"))).alias("ran"))
+    progress = F.size(F.filter("ran", lambda x: F.col("end").isNull() | (x < F.col("end.line")))).cast("long")
+    return g.select("job", F.coalesce("end.state", F.when(F.size("ran") > 0, "running").otherwise("accepted")).alias("state"), progress.alias("progress"))

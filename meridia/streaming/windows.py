@@ -26,9 +26,44 @@ def follow_ups(events: DataFrame, key: str, ts: str, idle: str = "60 seconds", l
     return w.select(key, F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n")
 
 
-def latest(events: DataFrame, keys: list[str], ts: str, late: str = "10 minutes") -> DataFrame:
-    """The first arrival of each key within the watermark; later copies are dropped."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+def latest(events: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """The newest row of each key by ``ts``, whatever the order of arrival; for update or complete output."""
+    rest = [c for c in events.columns if c not in keys]
+    return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(ts)).alias("_row")).select(*keys, "_row.*")
+
+
+def _workflow_state(fresh):
+    """Rows of a client folded over its state (begin, last, count): a row begins a new window where ``fresh(state, at)``."""
+
+    def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        began, last, n = state.get if state.exists else (None, None, 0)
+        out = []
+        for r in pd.concat(list(parts)).sort_values(["us", "line"]).itertuples():
+            at = int(r.us)
+            if began is None or fresh(began, last, at):
+                began, n = at, 0
+            last, n = at, n + 1
+            out.append((key[0], int(r.line), began, n))
+        state.update((began, last, n))
+        yield pd.DataFrame(out, columns=["session", "line", "began", "n"])
+
+    return step
+
+
+def _folded_stream(rows: DataFrame, fresh) -> DataFrame:
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return rows.groupBy("session").applyInPandasWithState(_workflow_state(fresh), "session long, line long, began long, n long", "began long, last long, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def anchored_budget(rows: DataFrame, width_us: int) -> DataFrame:
+    """(session, line, began, n) of rows (session, line, us): windows that begin with a client's first request after the last one."""
+    return _folded_stream(rows, lambda began, last, at: at >= began + width_us)
+
+
+def expiring_workflows(rows: DataFrame, idle_us: int, whole_us: int) -> DataFrame:
+    """(session, line, began, n): workflows that expire when idle, or for good ``whole_us`` after they began."""
+    return _folded_stream(rows, lambda began, last, at: at >= last + idle_us or at >= began + whole_us)
 
 
 _OUT = "session long, line long, epoch_ms long, lon double, point string, clock_back boolean"

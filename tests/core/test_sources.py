@@ -95,4 +95,11 @@ def test_streams_agree_with_batches(spark, tmp_path):
     position = {r.line: r.lon for r in logs.locf_position(spark, SF).collect()}
     point = {r.line: r.point for r in logs.interval_point_state(spark, SF).collect()}
     assert state == {k: (position[k], point[k]) for k in position}
+    timed = stream.select("session", "line", F.expr("timestampdiff(MICROSECOND, TIMESTAMP '1970-01-01 00:00:00', ts)").alias("us"))
+    got = {(r.session, r.line, r.began, r.n) for r in run_stream(windows.anchored_budget(timed, logs.WIDTH_US))}
+    assert got == {(r.session, r.line, r.began, r.n) for r in logs.anchored_budget(spark, SF).collect()}
+    got = {(r.session, r.began) for r in run_stream(windows.expiring_workflows(timed, logs.IDLE_US, logs.WHOLE_US))}
+    assert got == {(r.session, r.began) for r in logs.workflow_expiry(spark, SF).collect()}
+    got = {(r.session, r.source, r.line) for r in run_stream(windows.latest(stream.select("session", "source", "line", "value"), ["session", "source"], "line"), "complete")}
+    assert got == {(r.session, r.source, r.line) for r in logs.newest_result(spark, SF).collect()}
     assert len(run_stream(windows.follow_ups(stream, "session", "ts", "2 hours"), "complete")) == logs.session_followups(spark, SF).count()
