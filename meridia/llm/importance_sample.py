@@ -9,8 +9,9 @@ The sum grows with length, so that noise would mean nothing for long texts; weig
 target model counts a bounded sample of labelled ones.
 
 Defined results: a text without words (null and empty ones too) has log weight null and is not kept; with no target text
-all weights are 0; rows that repeat an id have the same noise; a null id has noise of its own; an empty table gives an empty
-result; other columns are never looked at.
+all weights are 0; rows that repeat an id have the same noise, and so have all null ids together; rows equal in id,
+weight and number of n-grams are kept or left together (the sample may then be smaller by one such group); an empty
+table gives an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations

@@ -4,8 +4,13 @@ Texts become hashed counts of letter 1- to 3-grams (blanks mark word ends), on t
 relative frequency). A linear model per language family decides the family; within it, one-versus-one linear support
 vector machines vote for the language. All models are fitted here on a bounded sample of labelled texts.
 
+The sample is drawn from the distinct texts of each language by a hash of the text, so reruns fit equal machines.
+Features and weights are rounded to integers whose products a double holds exactly: a prediction does not depend on
+which texts are multiplied together.
+
 Defined results: a null text, or one without letters, is ``und`` with score 0; the labels, source and id of a row
-never enter its prediction; with no labelled text at all every row is ``und``; repeated rows get equal results.
+never enter its prediction; with no labelled text at all every row is ``und``; repeated rows get equal results; every
+label is learned, however rare (the machines grow with the number of labels).
 """
 
 from __future__ import annotations
@@ -14,11 +19,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm._common import slices
+from meridia.llm._common import checked_broadcast, slices, stage_table
 
 #: ISO 639-1 codes by family. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -32,8 +38,12 @@ FAMILIES = {
 UNKNOWN = "und"
 BITS = 13
 ORDERS = (1, 2, 3)
-#: Bound of the training sample: texts of one language, and of all languages together (in expectation).
+#: Bound of the training sample: texts of one language, and of all languages together (but one a language at least).
 TEXTS_PER_LANGUAGE, TEXTS_IN_ALL = 600, 4000
+#: The pipeline keeps documents whose language is predicted with this score at least.
+LEAST_SCORE = 0.5
+#: Texts multiplied at a time; units of a feature and of a weight.
+BLOCK, UNIT, WEIGHT_UNIT = 256, 1 << 12, 1 << 16
 CHUNK = 1_000_000
 _MIX = tuple(np.uint32(x) for x in (2654435761, 2246822519, 3266489917))
 
@@ -117,73 +127,90 @@ class Model:
                 pick = (lang == a) | (lang == b)
                 self.place[a, b] = len(columns)
                 columns.append(linear_svm(x[pick], np.where(lang[pick] == a, 1.0, -1.0)))
-        self.weights = np.stack(columns, 1).astype(np.float32) if columns else np.zeros(((1 << BITS) + 1, 0), np.float32)
-
-    def predict(self, counts: np.ndarray) -> tuple[str, float]:
-        margin = _unit(counts) @ self.weights[:-1] + self.weights[-1]
-        sure = 1 / (1 + np.exp(-4.0 * margin.astype(np.float64)))
-        best, p = self.families[0], 1.0
-        if len(self.families) > 1:
-            best = max(self.families, key=lambda f: (margin[self.place[f]], f))
-            p = float(sure[self.place[best]])
-        if len(self.members[best]) == 1:
-            return self.members[best][0], p
-        votes, mean = dict.fromkeys(self.members[best], 0), dict.fromkeys(self.members[best], 0.0)
-        for a, b in combinations(self.members[best], 2):
+        weights = np.stack(columns, 1) if columns else np.zeros(((1 << BITS) + 1, 0))
+        self.weights = np.rint(weights * WEIGHT_UNIT)
+        self.weights[-1] *= UNIT
+
+    def predict(self, counts: list[np.ndarray | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; a text without letters (None) is unknown."""
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(counts)
+        known = [i for i, c in enumerate(counts) if c is not None]
+        for at in range(0, len(known), BLOCK):
+            some = known[at : at + BLOCK]
+            x = np.stack([np.rint(_unit(counts[i]).astype(np.float64) * UNIT) for i in some])
+            margins = (x @ self.weights[:-1] + self.weights[-1]) / (UNIT * WEIGHT_UNIT)
+            sure = 1 / (1 + np.exp(-4.0 * margins))
+            # machines of families come first, in the order of their names
+            family = np.argmax(margins[:, : len(self.families)], 1) if len(self.families) > 1 else np.zeros(len(some), np.int64)
+            for i, f, m, s in zip(some, family, margins, sure):
+                out[i] = self._within(self.families[f], float(s[f]) if len(self.families) > 1 else 1.0, m, s)
+        return out
+
+    def _within(self, family: str, p: float, margin: np.ndarray, sure: np.ndarray) -> tuple[str, float]:
+        """The language of a text of this family, by votes of its machines."""
+        members = self.members[family]
+        if len(members) == 1:
+            return members[0], p
+        votes, mean = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
+        for a, b in combinations(members, 2):
             k = self.place[a, b]
             votes[a if margin[k] >= 0 else b] += 1
             mean[a] += float(sure[k])
             mean[b] += 1 - float(sure[k])
-        winner = max(self.members[best], key=lambda l: (votes[l], mean[l], l))
-        return winner, p * mean[winner] / (len(votes) - 1)
+        winner = max(members, key=lambda l: (votes[l], mean[l], l))
+        return winner, p * mean[winner] / (len(members) - 1)
 
 
 def fit(labelled: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, in_all: int = TEXTS_IN_ALL) -> Model | None:
-    """Fit on a bounded sample of (doc_id, text, lang); whole texts are counted on the executors, only hashed counts come here."""
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not sizes:
+    """Fit on a bounded sample of (text, lang); whole texts are counted on the executors, only hashed counts come here."""
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("hash"))
+    sizes = stage_table(labelled.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")), "languages")
+    if (languages := sizes.count()) == 0:
         return None
-    want = max(1, min(per_language, in_all // len(sizes)))
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen |= (F.col("lang") == lang) & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, want / n)))
+    want = max(1, min(per_language, in_all // languages))
+    # about twice as many as wanted by a threshold, then the first of them; a text counts once, however often it is there
+    draw = F.pmod(F.xxhash64("hash", F.lit("language sample")), F.lit(1 << 30)) * F.col("n") < F.lit((2 * want + 20) << 30)
+    drawn = labelled.select("lang", "hash").join(checked_broadcast(sizes), "lang").where(draw).select("lang", "hash").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    drawn = stage_table(drawn.withColumn("place", place).where(F.col("place") <= want).select("lang", "hash"), "drawn")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Features()
+        made, done = Features(), set()
         for part in slices(batches):
-            langs, grams, times = [], [], []
-            for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
-                if (c := made.counts(text)) is not None:
+            langs, hashes, grams, times = [], [], [], []
+            for text, lang, h in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), part.column("hash").to_pylist()):
+                if (lang, h) not in done and (c := made.counts(text)) is not None:
+                    done.add((lang, h))
                     at = np.flatnonzero(c)
                     langs.append(lang)
+                    hashes.append(h)
                     grams.append(at.astype(np.int32))
                     times.append(c[at].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["lang", "gram", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(grams, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["lang", "hash", "gram", "times"])
 
-    rows = labelled.where(chosen).select("text", "lang").mapInArrow(count, "lang string, gram array<int>, times array<int>").toArrow()
+    rows = labelled.join(checked_broadcast(drawn), ["lang", "hash"]).mapInArrow(count, "lang string, hash long, gram array<int>, times array<int>")  # max(in_all, languages) rows
+    rows = rows.groupBy("lang", "hash").agg(F.any_value(F.struct("gram", "times")).alias("c")).select("lang", "hash", "c.*").toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
     if rows.num_rows == 0:
         return None
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["lang"][i].as_py(), str(rows["gram"][i].values[:50].to_pylist()), i))
-    x, langs = np.zeros((rows.num_rows, 1 << BITS), np.float32), []
-    for k, i in enumerate(order):
-        x[k, rows["gram"][i].values.to_numpy()] = rows["times"][i].values.to_numpy()
-        x[k] = _unit(x[k])
-        langs.append(rows["lang"][i].as_py())
-    return Model(x, langs)
+    x = np.zeros((rows.num_rows, 1 << BITS), np.float32)
+    for i in range(rows.num_rows):
+        x[i, rows["gram"][i].values.to_numpy()] = rows["times"][i].values.to_numpy()
+        x[i] = _unit(x[i])
+    return Model(x, rows["lang"].to_pylist())
+
+
+def _counted(texts: list[str | None], made: Features, model: Model | None) -> list[tuple[str, float]]:
+    return [(UNKNOWN, 0.0)] * len(texts) if model is None else model.predict([None if t is None else made.counts(t) for t in texts])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: (8192 + 1) floats for each machine
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # (8192 + 1) numbers for each machine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, known = Features(), shared.value
+        made = Features()
         for part in slices(batches):
-            found = []
-            for text in part.column("text").to_pylist():
-                c = None if known is None or text is None else made.counts(text)
-                found.append((UNKNOWN, 0.0) if c is None else known.predict(c))
+            found = _counted(part.column("text").to_pylist(), made, shared.value)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], [*part.schema.names[:-1], "lang_pred", "score"])
 
     kept = docs.select(*(c for c in docs.columns if c != "text"), "text")
@@ -203,21 +230,17 @@ def query(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), model)
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose language is known (not ``und``)."""
-    model = fit(docs.select("doc_id", "text", "lang").where(~F.coalesce(held_out(), F.lit(False))))
+def keep(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, all columns, whose language is predicted with a score of ``least``; ``lang`` becomes the prediction."""
+    model = fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made: list[Features] = []
 
-    @F.pandas_udf("boolean")
-    def known(texts):
+    @F.pandas_udf("lang string, score double")
+    def found(texts: pd.Series) -> pd.DataFrame:
         if not made:
             made.append(Features())
+        return pd.DataFrame(_counted([t if isinstance(t, str) else None for t in texts], made[0], shared.value), columns=["lang", "score"])
 
-        def is_known(text) -> bool:
-            c = None if shared.value is None or text is None else made[0].counts(text)
-            return c is not None and shared.value.predict(c)[0] != UNKNOWN
-
-        return texts.map(is_known).astype(bool)
-
-    return docs.where(known("text"))
+    judged = docs.withColumn("__found", found("text")).where((F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") >= least))
+    return judged.withColumn("lang", F.col("__found.lang")).drop("__found")

@@ -21,8 +21,10 @@ def prefix_cut(rows: DataFrame, rooms: DataFrame, group: str = "g", key: str = "
     """rows (group, key in [0, 1), size >= 0, ties) and rooms (group, room) -> (group, cut_at, room_left).
 
     cut_at is the ``position`` of the first row, in order of key and ties, with which the running sum of sizes exceeds
-    the room; a group without one fits whole and has no row here. room_left is what the rows before it leave. Sums go by (group, cell) with map-side combine; only the rows of one second-level
-    cell of each group, about a 16-millionth of it, are ever ordered together.
+    the room; a group without one fits whole and has no row here. room_left is what the rows before it leave. Rows with
+    equal key and ties are one place: they are before the cut together or not at all. Sums go by (group, cell) with
+    map-side combine; only the places of one second-level cell of each group, about a 16-millionth of it, are ever
+    ordered together.
     """
     rows = rows.withColumn("c1", F.floor(F.col(key) * CELLS).cast("int")).withColumn("c2", F.floor((F.col(key) * CELLS - F.floor(F.col(key) * CELLS)) * CELLS).cast("int"))
     rooms = checked_broadcast(rooms)
@@ -30,11 +32,11 @@ def prefix_cut(rows: DataFrame, rooms: DataFrame, group: str = "g", key: str = "
     one = stage_table(_crossing(one, "c1", group), "cut1")
     inside = rows.join(checked_broadcast(one), [group, "c1"])
     two = stage_table(_crossing(inside.groupBy(group, "c1", "c2", "room").agg(F.sum(size).alias("held")), "c2", group).join(one.select(group, "c1"), group), "cut2")
-    last = rows.join(checked_broadcast(two), [group, "c1", "c2"])
+    last = rows.join(checked_broadcast(two), [group, "c1", "c2"]).groupBy(group, "room", key, *ties).agg(F.sum(size).alias("_held"))
     run = Window.partitionBy(group).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = last.withColumn("upto", F.sum(size).over(run)).where((F.col("upto") > F.col("room")) & (F.col("upto") - F.col(size) <= F.col("room")))
+    first = last.withColumn("upto", F.sum("_held").over(run)).where((F.col("upto") > F.col("room")) & (F.col("upto") - F.col("_held") <= F.col("room")))
     at = F.struct(F.col(key).alias("k"), *(F.col(t).alias(t) for t in ties))
-    cuts = first.groupBy(group).agg(F.min(F.struct(at.alias("at"), (F.col("room") - F.col("upto") + F.col(size)).alias("left"))).alias("m"))
+    cuts = first.groupBy(group).agg(F.min(F.struct(at.alias("at"), (F.col("room") - F.col("upto") + F.col("_held")).alias("left"))).alias("m"))
     return stage_table(cuts.select(group, F.col("m.at").alias("cut_at"), F.col("m.left").alias("room_left")), "cuts")
 
 
