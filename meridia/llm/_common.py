@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.operators.tables import BROADCAST_ROWS, at_most, checked_broadcast, new_folder, remove_at_exit, shared_dir  # noqa: F401
+from meridia.operators.tables import BROADCAST_ROWS, at_most, checked_broadcast, drop_tables, new_folder, remove_at_exit, shared_dir  # noqa: F401
 from meridia.operators.tables import shared_table as stage_table  # noqa: F401
 
 #: Words are maximal runs of anything but the six ASCII blanks.

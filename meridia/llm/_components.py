@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm._common import stage_table
+from meridia.llm._common import drop_tables, stage_table
 
 
 def _star(directed: DataFrame, keep) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least.withColumnRenamed("u", "n"), F.col("u") == F.col("n")).select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        pairs = stage_table(small.where("a <> b").distinct(), "stars")
+        pairs, old = stage_table(small.where("a <> b").distinct(), "stars"), pairs
+        drop_tables(old)
         digest = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (digest.n, digest.h) == seen:
             break

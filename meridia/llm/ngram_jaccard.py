@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm._common import checked_broadcast, slices, stage_table
+from meridia.llm._common import checked_broadcast, drop_tables, slices, stage_table
 from meridia.llm._components import connected_components
 from meridia.llm._shingles import PARITY_BITS, WordHashes, fingerprint, mix, parity, shingle_set
 
@@ -171,11 +171,14 @@ def _sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     return table.where("cell IS NULL").drop("cell"), heat, over >= CROWDED
 
 
-def _buckets(docs: DataFrame, heat: np.ndarray, crowded: np.ndarray) -> DataFrame:
-    """(cls, cnt, lo, hi, all): index rows of signatures that at least two classes share, with what their classes sum up to.
+def _name():
+    """A bucket's name: buckets with the same members are one."""
+    return F.xxhash64("cnt", "lo", "hi", "all")
 
-    Rows of crowded cells are dealt to SALTS parts of a signature, whose sums are then added up and joined back.
-    """
+
+def _buckets(docs: DataFrame, heat: np.ndarray, crowded: np.ndarray) -> DataFrame:
+    """Index rows of signatures that at least two classes share: pairs (lo, hi), members (bucket, cls) of larger buckets, and rows
+    of crowded cells (sig, salt, cls), which are dealt to SALTS parts of a signature, with what a part sums up to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done = WordHashes(), set()
@@ -200,11 +203,22 @@ def _buckets(docs: DataFrame, heat: np.ndarray, crowded: np.ndarray) -> DataFram
     by = Window.partitionBy("sig", "salt")
     index = docs.select("text").mapInArrow(run, "sig long, salt short, cls long")
     index = index.select("sig", "salt", "cls", F.count("*").over(by).alias("cnt"), F.min("cls").over(by).alias("lo"), F.max("cls").over(by).alias("hi"), F.bit_xor(F.xxhash64("cls")).over(by).alias("all"))
-    index = stage_table(index.where("salt > 0 OR lo <> hi"), "buckets")
-    parts = index.where("salt > 0").groupBy("sig", "salt").agg(*(F.any_value(c).alias(c) for c in ("cnt", "lo", "hi", "all")))
+    hot, pair = F.col("salt") > 0, F.col("cnt") == 2
+    some = lambda c, cond: F.when(cond, F.col(c)).alias(c)
+    index = index.where(hot | ((F.col("lo") != F.col("hi")) & (~pair | (F.col("cls") == F.col("lo")))))
+    return stage_table(index.select(some("sig", hot), some("salt", hot), "cls", "cnt", some("lo", hot | pair), some("hi", hot | pair), some("all", hot), F.when(~hot & ~pair, _name()).alias("bucket")), "buckets")
+
+
+def _large_and_pairs(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets of three and more classes as (bucket, cls, cnt), and the others as pairs (a, b); crowded signatures are summed up first."""
+    hot = index.where("salt IS NOT NULL")
+    parts = hot.groupBy("sig", "salt").agg(*(F.any_value(c).alias(c) for c in ("cnt", "lo", "hi", "all")))
     whole = parts.groupBy("sig").agg(F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_xor("all").alias("all")).where("lo <> hi")
-    crowds = index.where("salt > 0").select("sig", "cls").join(whole, "sig")
-    return index.where("salt = 0").select("cls", "cnt", "lo", "hi", "all").unionByName(crowds.drop("sig"))
+    whole = stage_table(whole, "crowds")
+    crowds = hot.select("sig", "cls").join(whole.where("cnt > 2").select("sig", "cnt", _name().alias("bucket")), "sig")
+    large = index.where("bucket IS NOT NULL").select("bucket", "cls", "cnt").unionByName(crowds.select("bucket", "cls", "cnt")).distinct()
+    pairs = index.where("salt IS NULL AND bucket IS NULL").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(whole.where("cnt = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    return large, pairs
 
 
 def _may_link():
@@ -257,26 +271,31 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, classes: DataFrame, heat: np.ndarray, crowded: np.ndarray) -> DataFrame:
     """(node, component) of the classes that link with others."""
-    shared = _buckets(docs, heat, crowded)
-    # buckets with the same members are one: their name is what their members sum up to
-    large = stage_table(shared.where("cnt > 2").select(F.xxhash64("cnt", "lo", "hi", "all").alias("bucket"), "cls", "cnt").distinct(), "large")
+    index = _buckets(docs, heat, crowded)
+    members, pairs = _large_and_pairs(index)
+    members = stage_table(members, "large")
     # the centre of a bucket is its member with the largest neighbourhood: the text that others are copies of is found early
-    weight = large.groupBy("cls").agg(F.sum("cnt").alias("weight"))
-    large = stage_table(large.drop("cnt").join(weight, "cls"), "weighted")
-    centres = large.groupBy("bucket").agg(F.max(F.struct("weight", "cls")).getField("cls").alias("a"))
+    weight = members.groupBy("cls").agg(F.sum("cnt").alias("weight"))
+    large = stage_table(members.drop("cnt").join(weight, "cls"), "weighted")
+    centres = stage_table(large.groupBy("bucket").agg(F.max(F.struct("weight", "cls")).getField("cls").alias("a")), "centres")
     stars = large.join(centres, "bucket").where("a <> cls").select("a", F.col("cls").alias("b"))
-    pairs = stage_table(_ordered(shared.where("cnt = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(stars)), "near")
+    near = stage_table(_ordered(pairs.unionByName(stars)), "near")
+    drop_tables(index, members)
     known = classes.select("cls", "n", *SKETCH)
-    pairs = stage_table(pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_may_link()).select("a", "b"), "pairs")
+    pairs = stage_table(near.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_may_link()).select("a", "b"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "key"), "cls")
-    links = _verify(pairs, _arrays(docs, wanted))
+    arrays = _arrays(docs, wanted)
+    links = _verify(pairs, arrays)
     found = connected_components(links)
+    drop_tables(near, pairs, arrays)
 
     rest = stage_table(_mixed(large.join(centres.withColumnRenamed("a", "cls"), ["bucket", "cls"], "left_anti"), found), "rest")
+    drop_tables(large, centres)
     if rest.isEmpty():
         return found
     arrays = _arrays(docs, rest.select("cls").distinct().join(classes.select("cls", "key"), "cls"))
-    rest = stage_table(rest.join(known, "cls"), "rest")
+    rest, old = stage_table(rest.join(known, "cls"), "rest"), rest
+    drop_tables(old)
     for by, step in chain(PIVOTS, repeat(PIVOTS[-1])):
         best = F.max(F.struct("weight", "cls", "label", "n", *SKETCH)).alias("p")
         pivots = stage_table(rest.groupBy("bucket", F.pmod(F.xxhash64(by), F.lit(step)).alias("of")).agg(best).select("bucket", "p.*"), "pivots")
@@ -285,8 +304,10 @@ def _linked(docs: DataFrame, classes: DataFrame, heat: np.ndarray, crowded: np.n
         fresh = _verify(more, arrays)
         if not fresh.isEmpty():
             found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
-        rest = stage_table(_mixed(rest.drop("label").join(pivots.select("bucket", "cls"), ["bucket", "cls"], "left_anti"), found), "rest")
+        rest, old = stage_table(_mixed(rest.drop("label").join(pivots.select("bucket", "cls"), ["bucket", "cls"], "left_anti"), found), "rest"), rest
+        drop_tables(old, pivots, more)
         if rest.isEmpty():
+            drop_tables(arrays)
             return found
 
 
