@@ -12,8 +12,9 @@ about half of the cells, so the work on vectors without clusters, and inside a d
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component, or whose label is null,
 links with nothing (0 links, its own component, kept); vectors of different lengths link with nothing of the other
-length; equal vectors link like any others; rows that repeat a vec_id count as one vector, the first by content; an empty table gives
-an empty result; other columns are never looked at.
+length; equal vectors of a label are compared as one with a weight (told apart by 128 bits of hashes), and link with each
+other; rows that repeat a vec_id count as one vector, the first by label and content; rows without a vec_id are one row of
+the result with 0 links; an empty table gives an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm._common import stage_table
+from meridia.llm._common import checked_broadcast, stage_table
 from meridia.llm._components import connected_components
 
 COSINE = 0.93
@@ -105,7 +106,7 @@ def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
     v = np.stack(pdf["v"].to_list()).astype(np.float64)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    links, root, weight = np.zeros(len(ids), np.int64), np.arange(len(ids)), pdf["weight"].to_numpy()
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -119,8 +120,8 @@ def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = part[i], right[j]
         good = i < j if x == y else np.ones(len(i), bool)
         i, j = i[good], j[good]
-        np.add.at(links, i, 1)
-        np.add.at(links, j, 1)
+        np.add.at(links, i, weight[j])
+        np.add.at(links, j, weight[i])
         while len(i):  # most pairs of a dense group fall away as soon as their roots agree
             a, b = top(int(i[0])), top(int(j[0]))
             root[max(a, b)] = min(a, b)
@@ -139,10 +140,16 @@ def near_duplicates(rows: DataFrame, cell_rows: int = CELL_ROWS, most_cells: int
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     usable = rows.where(good & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    usable = usable.groupBy("vec_id", "label").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    usable = stage_table(usable, "vectors")
+    usable = usable.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("r")).select("vec_id", "r.label", "r.v").withColumn("dim", F.size("v"))
+    usable = stage_table(usable.withColumn("k1", F.xxhash64(F.lit("one"), "label", "v")).withColumn("k2", F.xxhash64("v", "label", F.lit("two"))), "vectors")
+    # equal vectors are one class, that of the smallest id
+    classes = stage_table(usable.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).where("weight > 1"), "equal")
+    usable = usable.join(checked_broadcast(classes), ["k1", "k2"], "left").select("vec_id", "label", "v", "dim", F.coalesce("rep", "vec_id").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    usable = stage_table(usable, "classes")
+    reps = usable.select("vec_id", "rep", "weight")
+    usable = usable.where("vec_id = rep").drop("rep")
     placed = _visits(usable, fit_cells(usable, cell_rows, most_cells, sample))
-    each = placed.select("vec_id", "v", "label", "dim", F.posexplode("cells").alias("nth", "cell")).withColumn("own", F.col("nth") == 0).drop("nth")
+    each = placed.select("vec_id", "v", "label", "dim", "weight", F.posexplode("cells").alias("nth", "cell")).withColumn("own", F.col("nth") == 0).drop("nth")
     each = stage_table(each, "cells")
     in_blocks = lambda n: F.ceil(n / block).cast("int")
     sizes = each.groupBy("label", "cell", "dim").agg(F.count_if("own").alias("members"), F.count_if(~F.col("own")).alias("visitors"))
@@ -153,12 +160,14 @@ def near_duplicates(rows: DataFrame, cell_rows: int = CELL_ROWS, most_cells: int
     # the pairs of blocks that a row takes part in: a member's own with each one, a visitor's with those of members
     last = F.col("blocks") - 1 + F.when(F.col("own"), F.col("more")).otherwise(0)
     pairs = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    tasks = each.withColumn("p", F.explode(pairs)).select("label", "cell", "dim", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "vec_id", "v", "block")
+    tasks = each.withColumn("p", F.explode(pairs)).select("label", "cell", "dim", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "vec_id", "v", "weight", "block")
     found = stage_table(tasks.groupBy("label", "cell", "dim", "x", "y").applyInPandas(_compare, "vec_id long, root long, links long"), "near")
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     groups = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    out = rows.select("vec_id").distinct().join(counts, "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    out = rows.select("vec_id").distinct().join(reps, "vec_id", "left").withColumn("rep", F.coalesce("rep", "vec_id"))
+    out = out.join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    links = F.coalesce("n_links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1
+    out = out.select("vec_id", links.cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

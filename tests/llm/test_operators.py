@@ -321,6 +321,13 @@ def test_embedding_links_in_a_hot_group_of_many_cells(spark):
         assert want.sum() > 500_000 and sum(got.values()) == want.sum() and all(got[i] == k for i, k in enumerate(want))
 
 
+def test_embedding_equal_vectors_and_repeated_ids(spark):
+    one, two, far = [1.0, 0.0], [1.0, 0.1], [0.0, 1.0]
+    rows = [(i, one, 1) for i in (5, 6, 7, 8)] + [(9, two, 1), (10, far, 1), (11, one, 2), (12, one, 2), (13, far, 1), (13, far, 2), (13, far, 1), (14, None, 1), (14, None, 1), (None, one, 1), (None, one, 1)]
+    got = {r.vec_id: tuple(r)[1:] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (4, 5, i == 5) for i in (5, 6, 7, 8, 9)}, 10: (1, 10, True), 13: (1, 10, False), 11: (1, 11, True), 12: (1, 11, False), 14: (0, 14, True), None: (0, None, True)}
+
+
 # chats
 
 
