@@ -102,9 +102,131 @@ def test_language_id_on_held_out_texts(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
 
 
+def test_language_sample_is_bounded_and_complete(spark):
+    """One id and one text make most rows; there are more labels than 1,000; a rerun fits the same machines."""
+    hot = [(-7, "ein langer satz mit vielen worten", "de")] * 300
+    rare = [(i, f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {'abcdefgh'[i % 8] * 5}", f"x{i}") for i in range(1100)]
+    df = spark.createDataFrame(hot + rare, "doc_id long, text string, lang string")
+    small = language_id.fit(df.where("doc_id < 5"), per_language=3)
+    assert small.langs == ["de", "x0", "x1", "x2", "x3", "x4"]
+    again = language_id.fit(df.where("doc_id < 5").repartition(7), per_language=3)
+    assert (small.weights == again.weights).all()
+
+    class Counted:
+        def __init__(self, x, langs):
+            self.n, self.langs = len(x), langs
+
+    real, language_id.Model = language_id.Model, Counted
+    try:
+        made = language_id.fit(df)
+    finally:
+        language_id.Model = real
+    assert made.n == 1101 and len(set(made.langs)) == 1101
+
+
+def test_predictions_do_not_depend_on_neighbours(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    model, made = language_id.fit(df), language_id.Features()
+    counts = [made.counts(r.text) for r in df.collect()]
+    assert model.predict(counts) == [model.predict([c])[0] for c in counts] and model.predict([None]) == [("und", 0.0)]
+
+
+def test_language_keep_writes_the_prediction(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    said = {r.doc_id: (r.lang_pred, r.score) for r in language_id.query(df).collect()}
+    kept = {r.doc_id: r.lang for r in language_id.keep(df).collect()}
+    assert kept == {i: lang for i, (lang, score) in said.items() if lang != "und" and score >= language_id.LEAST_SCORE}
+    assert len(kept) >= 0.98 * df.count()
+
+
 # mixing
 
 
+def plain_mix(rows):
+    """(id, size, source) of unique ids -> copies of each id, by the rule of the docstring, without Spark."""
+    by = {}
+    for i, n, g in rows:
+        by.setdefault(g, []).append((i, n))
+    names = sorted(by, key=lambda g: (g is None, g or ""))
+    weight = {g: (3.0, 1.0, 2.0)[k % 3] for k, g in enumerate(names)}
+    size = {g: sum(n for _, n in by[g]) for g in names}
+    closed = set()
+    while True:
+        free = [g for g in names if g not in closed]
+        words, open_ = 1.5 * sum(size.values()) - sum(2.0 * size[g] for g in closed), sum(weight[g] for g in free)
+        more = {g for g in free if 2.0 * size[g] * open_ < weight[g] * words}
+        if not more:
+            break
+        closed |= more
+    out = {}
+    for g in names:
+        target = 2.0 * size[g] if g in closed else min(2.0 * size[g], weight[g] * words / open_)
+        whole = int(target // size[g]) if size[g] else 0
+        left = target - whole * size[g]
+        p = left / size[g] if size[g] else 0.0
+        mean = size[g] / max(1, sum(n > 0 for _, n in by[g])) or 1.0
+        x = {i: int(1024.0 * n / (n + mean)) for i, n in by[g]}
+        x_mean = sum(n * x[i] for i, n in by[g]) / size[g] if size[g] else 0.0
+        ranked = []
+        for i, n in by[g]:
+            u = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            pi = p + min(p, 1 - p) * (x_mean - x[i]) / 1024.0
+            if n and p > 0:
+                ranked.append((min(u * (1 - pi) / (u * (1 - pi) + pi * (1 - u)), 1 - 2.0**-52), i, n))
+        ranked.sort()
+        taken, room = set(), int(left)
+        for _ in range(source_mix.PASSES):
+            held = 0
+            for _, i, n in ranked:
+                if i not in taken and n <= room:
+                    if held + n > room:
+                        break
+                    held += n
+                    taken.add(i)
+            room -= held
+        rest = [(abs(n - room), k, i) for k, i, n in ranked if i not in taken and abs(n - room) < room]
+        taken |= {min(rest)[2]} if rest else set()
+        out.update({i: (whole + (i in taken)) * bool(n) for i, n in by[g]})
+    return out
+
+
+def test_mix_against_a_plain_version(spark):
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join(["w"] * int(n)), None if i % 9 == 0 else f"s{i % 4}") for i, n in enumerate(np.concatenate([rng.integers(0, 60, 150), [900, 2500, 4000]]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    want = plain_mix([(i, len(words(t)), g) for i, t, g in texts])
+    assert {r.doc_id: r.copies for r in source_mix.mix(df).collect()} == want
+    assert {r.doc_id: r["count"] for r in source_mix.keep(df).groupBy("doc_id").count().collect()} == {i: n for i, n in want.items() if n}
+
+
+def test_mix_keeps_rows_of_one_id_apart(spark):
+    """One id in many rows and sources: a row is written as often as the mix takes it."""
+    rows = [(1, " ".join(["w"] * n), f"s{n % 3}", "x") for n in range(1, 20)] + [(1, "a b", "s0", "y"), (1, "a b", "s0", "z"), (None, "c d e", None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    mixed = source_mix.mix(df)
+    assert source_mix.keep(df).count() == mixed.agg({"copies": "sum"}).first()[0] and mixed.where("copies > 2").count() == 0
+    assert source_mix.keep(df).columns == df.columns
+
+
+def test_mix_includes_short_documents_more_often(spark):
+    """Inclusion frequencies by length: unequal inside a source, each near the mean of the stated probabilities."""
+    texts = [(i, " ".join(["w"] * (4 if i % 2 else 40)), "abc"[i % 3]) for i in range(1800)]
+    got = source_mix.mix(spark.createDataFrame(texts, "doc_id long, text string, source string")).collect()
+    open_ = 0
+    for g in "abc":
+        own = [r for r in got if r.source == g]
+        whole, p = divmod(own[0].target / own[0].source_size, 1)
+        x = {n: int(1024 * n / (n + own[0].source_size / len(own))) for n in (4, 40)}
+        mean = sum(r.size * x[r.size] for r in own) / own[0].source_size
+        for n in (4, 40):
+            share = np.mean([r.copies - whole for r in own if r.size == n])
+            assert abs(share - (p + min(p, 1 - p) * (mean - x[n]) / 1024)) < 0.09
+        if 0.2 < p < 0.8:
+            open_ += 1
+            assert np.mean([r.copies for r in own if r.size == 4]) > np.mean([r.copies for r in own if r.size == 40]) + 0.05
+    assert open_
+
+
 def test_source_mix(spark, docs, no_docs):
     assert source_mix.query(no_docs).count() == 0
     got = source_mix.query(docs).collect()
@@ -273,6 +395,34 @@ def test_ngram_jaccard_with_null_ids_first_in_buckets(spark):
     assert got == {i: i - i % 2 for i in range(30)}
 
 
+def test_ngram_keep_on_repeated_rows(spark):
+    """One row of a group stays, whatever ids and rows repeat; an id's other text is a document of its own."""
+    one, near, other = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = one.replace("a30", "zz")
+    rows = [(1, one, "p"), (1, one, "p"), (1, one, "q"), (2, near, "p"), (1, other, "p"), (3, other, "p"), (None, one, "p"), (4, "", "p"), (4, "", "p"), (5, None, "p"), (None, "only here as a text of its own", "p")]
+    kept = ngram_jaccard.keep(spark.createDataFrame(rows, "doc_id long, text string, extra string"))
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()))
+    assert got == sorted([(False, 1, one), (False, 1, other), (False, 4, ""), (False, 4, ""), (False, 5, ""), (True, 0, "only here as a text of its own")]) and kept.columns == ["doc_id", "text", "extra"]
+
+
+def test_ngram_jaccard_in_crowded_buckets(spark, monkeypatch):
+    """All signatures taken as crowded, few pivots a round: the result is the same."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for group in range(3):
+        base = [f"g{group}w{x}" for x in rng.integers(0, 5000, 90)]
+        for _ in range(30):
+            w = list(base)
+            for at in rng.integers(0, 90, int(rng.integers(0, 5))):
+                w[at] = f"n{rng.integers(0, 10**6)}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(ngram_jaccard, "CROWDED", 0)
+    monkeypatch.setattr(ngram_jaccard, "PIVOTS", (("label", 1), ("cls", 8)))
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.components(df).collect()}
+    assert got == plain_components(list(range(len(texts))), plain_sets(texts))
+
+
 # embeddings
 
 
@@ -409,6 +559,41 @@ def test_packing_in_rounds_is_near_the_bound(spark):
     assert got.sequence_id.nunique() <= 1.01 * (alone.max() + 1)
 
 
+def test_packing_follows_sums_of_squares():
+    """Each piece, longest first, goes where the sum of squared counts of open sequences by gap becomes smallest."""
+    lengths = np.random.default_rng(5).integers(1, 101, 400)
+    bins, place = best_fit_pack.pack_lengths(lengths, 100)
+    gaps = {}
+    for i in np.argsort(-lengths, kind="stable"):
+        n, b = int(lengths[i]), int(bins[i])
+        open_ = [g for g in gaps.values() if g >= n]
+
+        def total(gap):
+            after = list(gaps.values())
+            after.remove(gap)
+            after = [g for g in [*after, gap - n] if g]
+            return sum(after.count(g) ** 2 for g in set(after))
+
+        if open_:
+            assert total(gaps[b]) == min(map(total, set(open_)))
+        else:
+            assert b not in gaps
+        gap = gaps.get(b, 100)
+        assert place[i] == 100 - gap
+        gaps[b] = gap - n
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    from meridia.llm import _tokens
+
+    text = " ".join(f"Wort{i} and, don't {i * 7}\n\n  été 日本 x" for i in range(700))
+    monkeypatch.setattr(_tokens, "CHUNK", 1000)
+    for path in (best_fit_pack.default_tokenizer(), token_binary.default_tokenizer()):
+        made = _tokens.Encoder(path)
+        for t in (text, text[:5003], "x" * 4000 + " y " * 900):
+            assert np.frombuffer(made.encode(t), "<u4").tolist() == ids_of(path, [t])[0]
+
+
 @pytest.mark.parametrize("width", [1, 7, 16, 17, 31])
 def test_bit_packing_round_trip(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1000, np.uint32)
@@ -456,5 +641,25 @@ def test_importance_sample(spark, docs, no_docs):
     assert all(abs(r.log_weight - want[r.doc_id]) < 1e-9 for r in got if r.n_grams)
 
 
+def test_importance_keeps_the_top_by_noisy_weight(spark):
+    """``kept`` against a plain top-k of log weight plus Gumbel noise."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = importance_sample.resample(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    noisy = {}
+    for r in got:
+        if r.log_weight is not None:
+            u = max(int(hashlib.md5(f"gumbel:{r.doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52), 2.0**-60)
+            noisy[r.doc_id] = r.log_weight - np.log(-np.log(u))
+    top = set(sorted(noisy, key=noisy.get, reverse=True)[: int(len(noisy) * importance_sample.KEEP)])
+    assert {r.doc_id for r in got if r.kept} == top and len(noisy) == len({r.doc_id for r in got if r.n_grams})
+
+
+def test_license_ties_go_to_the_first_template(spark):
+    df = spark.createDataFrame([(1, "Released under the Foo License."), (2, "released UNDER the foo license")], "doc_id long, text string")
+    both = (("A", "Released under the Foo License."), ("B", "Released under the Foo License!"))
+    assert {(r.license, r.template) for r in license_scan.scan(df, both).collect()} == {("A", 0)}
+    assert {(r.license, r.template) for r in license_scan.scan(df, both[::-1]).collect()} == {("B", 0)}
+
+
 def test_names_of_queries():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
