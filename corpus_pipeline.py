@@ -1,4 +1,14 @@
-"""A corpus pipeline in five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline in five stages, each written as Parquet and read again as the next one's documents.
+
+Language ID drops documents whose language is unknown or predicted with a low score, and writes the prediction to
+``lang``; quality rules drop those that they reject; of near copies one document stays, that of smallest id; sources are
+mixed to their target weights, so that a document is left out, kept, or kept twice; packing gives the pieces' places.
+
+Defined results: a null or empty text has no language and goes at the first stage; rows that repeat an id are judged each
+on its own, and of equal ones the third stage keeps one; ties go by id, then by a hash; a null source is a source; null
+ids are kept like others; an empty table gives an empty result; other columns pass through all stages but the last, also
+where their names are those of the operators' own columns.
+"""
 
 from __future__ import annotations
 
