@@ -1,4 +1,4 @@
 """All plans; importing this module registers every query."""
 
-from meridia.plans import audits, buildings, evidence, identity, ledgers, logs, measure, models, network, policy, radio, rays, reflection, search, studies  # noqa: F401
+from meridia.plans import audits, buildings, evidence, files, identity, ledgers, logs, measure, models, network, policy, radio, rays, reflection, search, studies  # noqa: F401
 from meridia.plans.registry import ORACLE, QUERIES  # noqa: F401
