@@ -61,13 +61,9 @@ def free_space_exact(metres: Column, ghz: Column) -> Column:
     return 20 * F.log10(4 * F.pi() * metres * ghz * 1e9 / 299_792_458.0)
 
 
-def _far(c: Links) -> Column:
-    return F.coalesce(c["distance_m"] >= 0, F.lit(False))
-
-
-register(Model("legacy_fspl_walls", lambda c: F.when(~F.coalesce((c["ghz"] > 0) & (c["ghz"] <= 300), F.lit(False)), "frequency_out_of_range").when(~_far(c), "distance_out_of_range"), lambda c: rf.free_space_loss(_slant(c), c["ghz"]) + c["walls"] * rf.wall_loss(c["ghz"])))
+register(Model("legacy_fspl_walls", lambda c: F.when(c["ghz"] > 300, "frequency_out_of_range"), lambda c: rf.free_space_loss(_slant(c), c["ghz"]) + c["walls"] * rf.wall_loss(c["ghz"])))
 register(Model("urban_short_range", lambda c: rf.urban_refusal(c["distance_m"], c["ghz"], c["transmitter_m"], c["receiver_m"], F.lit(True), F.lit(True), c["los"]), lambda c: rf.urban_loss(c["distance_m"], _slant(c), c["ghz"], c["transmitter_m"], c["receiver_m"], c["los"] == "los")))
-register(Model("p525_fspl", lambda c: F.when(~F.coalesce((c["distance_m"] > 0) & (c["ghz"] > 0), F.lit(False)), "frequency_and_distance_required"), lambda c: free_space_exact(c["distance_m"], c["ghz"]), "ambiguous"))
+register(Model("p525_fspl", lambda c: F.lit(None).cast("string"), lambda c: free_space_exact(c["distance_m"], c["ghz"])))
 register(Model("research_sub_thz", lambda c: F.when(c["walls"].isNull(), "wall_events_required").when(F.abs(c["ghz"] - 140) > 1e-9, "frequency_out_of_range"), lambda c: free_space_exact(c["distance_m"], c["ghz"]) + 80.0 * c["walls"], calibrated=False))
 register(Model("single_edge_diffraction", lambda c: F.when(c["edge_loss_db"].isNull(), "edge_loss_required"), lambda c: free_space_exact(c["distance_m"], c["ghz"]) + c["edge_loss_db"], "unsupported", calibrated=False))
 register(Model("atmospheric", lambda c: F.when(c["kelvin"].isNull() | c["pressure_hpa"].isNull() | c["vapour_g_m3"].isNull(), "weather_required"), lambda c: free_space_exact(c["distance_m"], c["ghz"]), "ambiguous"))
@@ -76,14 +72,17 @@ register(Model("atmospheric", lambda c: F.when(c["kelvin"].isNull() | c["pressur
 def predictions(links: DataFrame, names: list[str] | None = None) -> DataFrame:
     """links with one row for each model: model, calibrated, status, reason, predicted_db. One projection and an explode, no join.
 
-    Before any model's own rules: a directional measurement is no match for an isotropic model (ambiguous).
+    Before any model's own rules: a directional measurement is no match for an isotropic model, and a link needs a frequency
+    and a distance (both ambiguous).
     """
     c = {k: F.col(k) if k in links.columns else F.lit(None).cast(t) for k, t in INPUTS.items()}
     directional = ~F.coalesce(c["directionality"].isin("synthesized_omni", "unknown", "", "isotropic"), F.lit(True))
 
+    nowhere = ~F.coalesce((c["distance_m"] > 0) & (c["ghz"] > 0), F.lit(False))
+
     def one(m: Model) -> Column:
-        reason = F.when(directional, "directional_measurement").otherwise(m.refusal(c))
-        status = F.when(directional, "ambiguous").when(reason.isNotNull(), m.status).otherwise("applicable")
+        reason = F.when(directional, "directional_measurement").when(nowhere, "frequency_and_distance_required").otherwise(m.refusal(c))
+        status = F.when(directional | nowhere, "ambiguous").when(reason.isNotNull(), m.status).otherwise("applicable")
         return F.struct(F.lit(m.id).alias("model"), F.lit(m.calibrated).alias("calibrated"), status.alias("status"), reason.alias("reason"), F.when(reason.isNull(), m.loss(c)).alias("predicted_db"))
 
     return links.withColumn("_m", F.explode(F.array(*(one(by_id(n)) for n in names or ids())))).select(*links.columns, "_m.*")

@@ -33,14 +33,14 @@ _WALL = f"(CASE WHEN ghz < {rf.WALL_LOSS[0][0]} THEN {rf.WALL_LOSS[0][1]} WHEN g
 _MODELS = (
     ("atmospheric", "'weather_required'", "NULL::DOUBLE", "ambiguous", True),
     ("legacy_fspl_walls", "NULL::VARCHAR", f"20 * log10(greatest({_SLANT}, 1.0)) + 20 * log10(ghz) + 32.45 + walls * {_WALL}", "inapplicable", True),
-    ("p525_fspl", "CASE WHEN distance_m > 0 THEN NULL ELSE 'frequency_and_distance_required' END", _F, "ambiguous", True),
+    ("p525_fspl", "NULL::VARCHAR", _F, "inapplicable", True),
     ("research_sub_thz", "CASE WHEN abs(ghz - 140) > 1e-9 THEN 'frequency_out_of_range' END", f"{_F} + 80.0 * walls", "inapplicable", False),
     ("single_edge_diffraction", "CASE WHEN edge_loss_db IS NULL THEN 'edge_loss_required' END", f"{_F} + edge_loss_db", "unsupported", False),
     ("urban_short_range", "CASE WHEN ghz >= 100 THEN 'frequency_out_of_range' WHEN NOT distance_m BETWEEN 10 AND 5000 THEN 'distance_out_of_range' WHEN los = 'unknown' THEN 'required_los_or_nlos_missing' END", f"CASE WHEN los = 'los' THEN {_SEEN} ELSE greatest({_SEEN}, 13.54 + 39.08 * log10(greatest({_SLANT}, 1.0)) + 20 * log10(ghz) - 0.6 * {RX - 1.5}) END", "inapplicable", True),
 )
 _PREDICTED = f"""WITH {lens.SAMPLES}, m AS (SELECT * REPLACE (CASE WHEN sample_id % 11 = 0 THEN 140.0::DOUBLE ELSE ghz END AS ghz), CASE WHEN sample_id % 7 = 0 THEN (sample_id % 30)::DOUBLE END AS edge_loss_db, sample_id % 13 = 0 AS directional, 60.0 + distance_m / 20 + residual AS measured_db FROM lens_samples),
- r AS ({' UNION ALL '.join(f"SELECT *, '{i}' AS model, {'true' if c else 'false'} AS calibrated, CASE WHEN directional THEN 'directional_measurement' ELSE {why} END AS reason, '{status}' AS refused, CASE WHEN NOT directional AND {why} IS NULL THEN {loss} END AS predicted_db FROM m" for i, why, loss, status, c in _MODELS)}),
- p AS (SELECT *, CASE WHEN directional THEN 'ambiguous' WHEN reason IS NOT NULL THEN refused ELSE 'applicable' END AS status, measured_db - predicted_db AS error FROM r)"""
+ r AS ({' UNION ALL '.join(f"SELECT *, '{i}' AS model, {'true' if c else 'false'} AS calibrated, CASE WHEN directional THEN 'directional_measurement' WHEN NOT distance_m > 0 THEN 'frequency_and_distance_required' ELSE {why} END AS reason, '{status}' AS refused, CASE WHEN NOT directional AND distance_m > 0 AND {why} IS NULL THEN {loss} END AS predicted_db FROM m" for i, why, loss, status, c in _MODELS)}),
+ p AS (SELECT *, CASE WHEN directional OR NOT distance_m > 0 THEN 'ambiguous' WHEN reason IS NOT NULL THEN refused ELSE 'applicable' END AS status, measured_db - predicted_db AS error FROM r)"""
 
 
 def _predicted(spark, sf_dir) -> DataFrame:
