@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.numeric import rounded
@@ -18,6 +18,29 @@ def linear_quantile(column: str, share: float) -> Column:
     return F.expr(f"percentile({column}, {share})")
 
 
+def quantiles(df: DataFrame, keys: list[str], column: str, linear: dict[str, float] | None = None, ranks: dict[str, float] | None = None) -> DataFrame:
+    """(keys, names): exact quantiles by key, between neighbours (``linear``) or of rank ceil(share * n) (``ranks``).
+
+    Equal values are counted before anything is ordered, and running counts are sorts that spill, so no aggregation buffer
+    holds a group's values; without keys the order is dealt to ranges.
+    """
+    tally = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_value")).agg(F.count("*").alias("_k"))
+    if keys:
+        run = tally.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        run = run.join(tally.groupBy(*keys).agg(F.sum("_k").alias("_n")), keys)
+    else:
+        run = running(tally, ["_value"], "_upto", F.col("_k")).join(F.broadcast(tally.agg(F.sum("_k").alias("_n"))))  # one row
+    n, out = F.col("_n"), []
+    for name, share in (linear or {}).items():
+        place = share * (n - 1)
+        low, high = F.min(F.when(F.col("_upto") > F.floor(place), F.col("_value"))), F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_value")))
+        part = F.max(place - F.floor(place))
+        out.append((low + part * (high - low)).alias(name))
+    for name, share in (ranks or {}).items():
+        out.append(F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), n - F.floor(n - share * n)), F.col("_value"))).alias(name))
+    return run.groupBy(*keys).agg(*out)
+
+
 def metrics(column: str = "residual") -> list[Column]:
     """Count, mean absolute error, root mean square, and bias, to 4 digits."""
     x = F.col(column)
@@ -38,11 +61,10 @@ def unpivoted(df: DataFrame, dimensions: list[str], keep: list[str]) -> DataFram
 
 def robust_outliers(df: DataFrame, column: str = "residual", least: float = 6.0) -> DataFrame:
     """df with median, threshold (3 scaled median deviations, at least ``least``) and outlier; one-row medians are joined back."""
-    middle = df.agg(F.median(column).alias("median"))
-    one = df.join(middle)  # a single row
-    spread = one.agg(F.first("median").alias("median"), F.median(F.abs(F.col(column) - F.col("median"))).alias("mad"))
-    spread = spread.select("median", F.greatest(F.lit(least), 3 * 1.4826 * F.col("mad")).alias("threshold"))
-    return df.join(spread).withColumn("outlier", F.abs(F.col(column) - F.col("median")) > F.col("threshold"))
+    middle = quantiles(df, [], column, {"median": 0.5})
+    apart = df.join(F.broadcast(middle)).select(F.abs(F.col(column) - F.col("median")).alias("_d"))  # a single row
+    spread = quantiles(apart, [], "_d", {"mad": 0.5}).join(F.broadcast(middle)).select("median", F.greatest(F.lit(least), 3 * 1.4826 * F.col("mad")).alias("threshold"))
+    return df.join(F.broadcast(spread)).withColumn("outlier", F.abs(F.col(column) - F.col("median")) > F.col("threshold"))
 
 
 def binned(value: Column, edges: list[float], labels: list[str]) -> Column:

@@ -19,17 +19,19 @@ _BIN_SQL = "CASE WHEN distance_m >= 1000 THEN '1 km+' WHEN distance_m >= 500 THE
 @query("residual_metrics", f"{_W} SELECT {_M}, {rounded_sql('median(residual)', 4)} AS median, {rounded_sql('quantile_cont(abs(residual), 0.5)', 4)} AS p50_abs, {rounded_sql('quantile_cont(abs(residual), 0.9)', 4)} AS p90_abs FROM lens_samples")
 def residual_metrics(spark, sf_dir):
     s = lens.samples(spark, sf_dir).withColumn("size", F.abs("residual"))
-    return s.agg(*stats.metrics(), rounded(F.median("residual"), 4).alias("median"), rounded(stats.linear_quantile("size", 0.5), 4).alias("p50_abs"), rounded(stats.linear_quantile("size", 0.9), 4).alias("p90_abs"))
+    q = stats.quantiles(s, [], "residual", {"median": 0.5}).join(F.broadcast(stats.quantiles(s, [], "size", {"p50_abs": 0.5, "p90_abs": 0.9})))  # one row each
+    return s.agg(*stats.metrics()).join(F.broadcast(q)).select("n", "mae", "rmse", "bias", *(rounded(F.col(c), 4).alias(c) for c in ("median", "p50_abs", "p90_abs")))
 
 
 @query("nearest_rank_percentiles", f"{_W} SELECT class, {', '.join(f'quantile_disc(rsrp, {p / 100}) AS p{p}' for p in (1, 10, 50, 90, 99))} FROM lens_samples GROUP BY class")
 def nearest_rank_percentiles(spark, sf_dir):
-    return lens.samples(spark, sf_dir).groupBy("class").agg(*(stats.nearest_rank("rsrp", p / 100).alias(f"p{p}") for p in (1, 10, 50, 90, 99)))
+    return stats.quantiles(lens.samples(spark, sf_dir), ["class"], "rsrp", ranks={f"p{p}": p / 100 for p in (1, 10, 50, 90, 99)})
 
 
 @query("linear_percentiles", f"{_W} SELECT site_id, {', '.join(rounded_sql(f'quantile_cont(rsrp, {p / 100})', 5) + f' AS p{p}' for p in (1, 10, 50, 90, 99))} FROM lens_samples GROUP BY site_id")
 def linear_percentiles(spark, sf_dir):
-    return lens.samples(spark, sf_dir).groupBy("site_id").agg(*(rounded(stats.linear_quantile("rsrp", p / 100), 5).alias(f"p{p}") for p in (1, 10, 50, 90, 99)))
+    q = stats.quantiles(lens.samples(spark, sf_dir), ["site_id"], "rsrp", {f"p{p}": p / 100 for p in (1, 10, 50, 90, 99)})
+    return q.select("site_id", *(rounded(F.col(f"p{p}"), 5).alias(f"p{p}") for p in (1, 10, 50, 90, 99)))
 
 
 @query("residual_outliers_mad", f"""{_W}, m AS (SELECT median(residual) AS median FROM lens_samples), t AS (SELECT any_value(m.median) AS median, greatest(6.0, 3 * 1.4826 * median(abs(residual - m.median))) AS threshold FROM lens_samples, m)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from meridia.functions import geo, rf
 from meridia.functions.numeric import rounded, rounded_sql
+from meridia.operators import stats
 from meridia.operators.joins import box_join, top_rows
+from meridia.operators.tables import shared_table
 from meridia.plans import lens
 from meridia.plans.registry import query
 
@@ -87,11 +89,12 @@ def interference_ledger(spark, sf_dir):
  {rounded_sql("100.0 * count(*) FILTER (serviceable) / (SELECT count(*) FROM lens_samples)", 1)} AS serviceable_pct, {_avg('sinr')}, {rounded_sql('quantile_disc(sinr, 0.1)', 3)} AS p10_sinr, {rounded_sql('quantile_disc(sinr, 0.5)', 3)} AS p50_sinr FROM quality""")
 def radio_quality_stats(spark, sf_dir):
     points = lens.samples(spark, sf_dir)
-    q = quality(points, lens.cells(spark, sf_dir)).select("sample_id", "sinr", "serviceable")
+    q = shared_table(quality(points, lens.cells(spark, sf_dir)).select("sample_id", "sinr", "serviceable"), "quality")  # read twice
     every = points.select("sample_id").join(q, "sample_id", "left")
     served = F.count_if(F.coalesce("serviceable", F.lit(False)))
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY sinr)")
-    return every.agg(F.count("*").alias("n_samples"), F.count("sinr").alias("n_signal"), served.alias("n_serviceable"), rounded(100.0 * served / F.count("*"), 1).alias("serviceable_pct"), rounded(F.avg("sinr"), 3).alias("avg_sinr"), rounded(disc(0.1), 3).alias("p10_sinr"), rounded(disc(0.5), 3).alias("p50_sinr"))
+    tails = stats.quantiles(q, [], "sinr", ranks={"p10_sinr": 0.1, "p50_sinr": 0.5})
+    whole = every.agg(F.count("*").alias("n_samples"), F.count("sinr").alias("n_signal"), served.alias("n_serviceable"), rounded(100.0 * served / F.count("*"), 1).alias("serviceable_pct"), rounded(F.avg("sinr"), 3).alias("avg_sinr"))
+    return whole.join(F.broadcast(tails)).select(*whole.columns, *(rounded(F.col(c), 3).alias(c) for c in ("p10_sinr", "p50_sinr")))  # one row each
 
 
 @query("outage_by_reason", SIGNALS + f"""SELECT reason, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter([CASE WHEN rsrp < {rf.MIN_RSRP} THEN 'rsrp' END, CASE WHEN sinr < {rf.MIN_SINR} THEN 'sinr' END, CASE WHEN rsrq < {rf.MIN_RSRQ} THEN 'rsrq' END], lambda x: x IS NOT NULL)) AS reason FROM quality
