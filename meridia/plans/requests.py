@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Mapping
 
 from meridia.functions import rf
@@ -74,6 +75,62 @@ def segments(r: Mapping) -> str | None:
     return None if r["rays"] * math.ceil(r["radius_m"] / SEGMENT_M) <= MOST_SEGMENTS else f"rays and radius_m ask for more than {MOST_SEGMENTS} segments"
 
 
+def texts(*names: str) -> Rule:
+    """Names (dots lead into nested objects) that must hold text."""
+
+    def rule(r: Mapping) -> str | None:
+        for name in names:
+            if not isinstance(found := inside(r, name), str) or not found.strip():
+                return f"{name} is required"
+        return None
+
+    return rule
+
+
+def inside(r: Mapping, name: str):
+    for part in name.split("."):
+        r = r.get(part) if isinstance(r, Mapping) else None
+    return r
+
+
+def positive(*names: str) -> Rule:
+    return lambda r: next((f"{n} must be greater than 0" for n in names if not (number(x := inside(r, n)) and x > 0)), None)
+
+
+def exactly(name: str, *values) -> Rule:
+    return lambda r: None if inside(r, name) in values else f"{name} must be {' or '.join(map(str, values))}"
+
+
+def day(name: str) -> Rule:
+    return lambda r: None if isinstance(x := inside(r, name), str) and re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])", x) else f"{name} must be YYYY-MM-DD"
+
+
+def filled(*names: str) -> Rule:
+    return lambda r: next((f"{n} must not be empty" for n in names if not inside(r, n)), None)
+
+
+def transmitters(r: Mapping) -> str | None:
+    """Entries of a transmitter map: known once, placed, with all numbers stated."""
+    seen, observed = set(), set()
+    for i, e in enumerate(r.get("entries") or []):
+        if not all(isinstance(e.get(k), str) and e[k].strip() for k in ("cell_id", "site_id")):
+            return f"entries[{i}] needs cell_id and site_id"
+        key = (str(e.get("plmn", "")).strip(), str(e.get("observed_cell_id", "")).strip())
+        if e["cell_id"] in seen or (key[1] and key in observed):
+            return f"entries[{i}] occurs twice"
+        if not all(map(number, (e.get("lon"), e.get("lat")))) or abs(e["lon"]) > 180 or abs(e["lat"]) > 90:
+            return f"entries[{i}] must have a valid lon and lat"
+        if missing := next((k for k in STATED if not number(e.get(k))), None):
+            return f"entries[{i}].{missing} must be stated"
+        if min(abs(e["frequency_ghz"] - 2.6), abs(e["frequency_ghz"] - 28)) > 0.01:
+            return f"entries[{i}].frequency_ghz must be 2.6 or 28"
+        seen.add(e["cell_id"])
+        observed.add(key)
+    return None if r.get("entries") else "entries must not be empty"
+
+
+#: Numbers that a transmitter's entry states.
+STATED = ("antenna_height_m", "azimuth_deg", "tilt_deg", "frequency_ghz", "bandwidth_mhz", "tx_power_dbm")
 TECH = one_of("network_tech", "4g", "5g")
 RULES: dict[str, tuple[Rule, ...]] = {
     "simulation": (within("rays"), within("radius_m"), within("tx_power_dbm"), within("beam_width"), within("calibration_offset_db"), segments),
@@ -84,6 +141,13 @@ RULES: dict[str, tuple[Rule, ...]] = {
     "profile": (within("antenna_height_m"), within("receiver_height_m"), within("bandwidth_mhz"), within("antenna_gain_dbi"), within("system_loss_db")),
     "path": (within("path_spacing_m"),),
     "surface": (within("cell_size_m"),),
+    "campaign": (
+        exactly("schema_version", 1), texts("campaign_id", "campaign_version", "title"), day("campaign_date"), exactly("source_type", "synthetic_controlled", "local_field"), texts("collection_mode"), exactly("raw_format", "SIGNAL_COLLECTOR_TXT_V6"),
+        exactly("raw_preservation.keep_raw", True), exactly("raw_preservation.canonical_separate", True), exactly("raw_preservation.no_overwrite", True), exactly("raw_preservation.hash_algorithm", "sha256", "SHA256"), texts("collector.name", "collector.version"), exactly("collector.root_required", False, None),
+        texts("device.pseudonymous_id", "device.antenna_id"), positive("receiver.height_agl_m"), exactly("receiver.height_source", "measured", "configured", "assumed"), texts("coordinate.provider", "coordinate.crs"), positive("coordinate.max_accuracy_m"), exactly("coordinate.normalize_to_utc", True),
+        texts("measurement.mode", "measurement.censoring_limitation"), positive("measurement.sampling_interval_ms", "measurement.fixed_point_window_seconds"), exactly("measurement.aggregation_method", "raw"), exactly("measurement.preserve_repeated_samples", True), filled("known_limitations", "privacy.personal_identifiers_excluded"), texts("privacy.sharing_policy"),
+    ),
+    "transmitter_map": (exactly("schema_version", 1), texts("map_id", "map_version", "source_citation"), transmitters),
 }
 
 

@@ -16,6 +16,22 @@ def test_requests():
         assert requests.first_violation(kind, good | change) == said
 
 
+def test_campaign_manifests():
+    good = {
+        "schema_version": 1, "campaign_id": "c", "campaign_version": "1", "title": "t", "campaign_date": "2026-10-02", "source_type": "local_field", "collection_mode": "walk", "raw_format": "SIGNAL_COLLECTOR_TXT_V6", "raw_preservation": {"keep_raw": True, "canonical_separate": True, "no_overwrite": True, "hash_algorithm": "sha256"},
+        "collector": {"name": "n", "version": "6", "root_required": False}, "device": {"pseudonymous_id": "d", "antenna_id": "a"}, "receiver": {"height_agl_m": 1.5, "height_source": "measured"}, "coordinate": {"provider": "gnss", "crs": "EPSG:4326", "max_accuracy_m": 10, "normalize_to_utc": True},
+        "measurement": {"mode": "idle", "sampling_interval_ms": 1000, "fixed_point_window_seconds": 60, "aggregation_method": "raw", "preserve_repeated_samples": True, "censoring_limitation": "c"}, "known_limitations": ["x"], "privacy": {"personal_identifiers_excluded": ["imsi"], "sharing_policy": "none"},
+    }
+    assert requests.first_violation("campaign", good) is None
+    for change, said in (({"campaign_date": "2026-13-01"}, "campaign_date must be YYYY-MM-DD"), ({"receiver": {"height_source": "measured"}}, "receiver.height_agl_m must be greater than 0"), ({"device": {"antenna_id": "a"}}, "device.pseudonymous_id is required"), ({"known_limitations": []}, "known_limitations must not be empty"), ({"collector": {"name": "n", "version": "6", "root_required": True}}, "collector.root_required must be False or None")):
+        assert requests.first_violation("campaign", good | change) == said
+    entry = {"cell_id": "a", "site_id": "s", "lon": 32.8, "lat": 39.9, "observed_cell_id": "7", "plmn": "286", "antenna_height_m": 25, "azimuth_deg": 0, "tilt_deg": 4, "frequency_ghz": 2.6, "bandwidth_mhz": 20, "tx_power_dbm": 40}
+    whole = {"schema_version": 1, "map_id": "m", "map_version": "1", "source_citation": "s"}
+    assert requests.first_violation("transmitter_map", whole | {"entries": [entry]}) is None
+    for entries, said in (([], "entries must not be empty"), ([entry, entry], "entries[1] occurs twice"), ([entry, entry | {"cell_id": "b"}], "entries[1] occurs twice"), ([entry | {"tilt_deg": None}], "entries[0].tilt_deg must be stated"), ([entry | {"frequency_ghz": 140}], "entries[0].frequency_ghz must be 2.6 or 28")):
+        assert requests.first_violation("transmitter_map", whole | {"entries": entries}) == said
+
+
 def test_composite_leaves_out_what_is_missing(spark):
     df = spark.createDataFrame([(1.0, None), (None, 0.5), (None, None), (1.0, 0.0)], "a double, b double")
     u = {"a": F.col("a"), "b": F.col("b")}
