@@ -242,5 +242,6 @@ def keep(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
             made.append(Features())
         return pd.DataFrame(_counted([t if isinstance(t, str) else None for t in texts], made[0], shared.value), columns=["lang", "score"])
 
-    judged = docs.withColumn("__found", found("text")).where((F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") >= least))
+    once = found.asNondeterministic()  # or the filter and the column would each run it
+    judged = docs.withColumn("__found", once("text")).where((F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") >= least))
     return judged.withColumn("lang", F.col("__found.lang")).drop("__found")
