@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meridia.llm import best_fit_pack, chat_format, embedding_dedup, importance_sample, language_id, license_scan, ngram_jaccard, quality_rules, source_mix, token_binary
+from meridia.llm import best_fit_pack, chat_format, embedding_dedup, importance_sample, language_id, license_scan, ngram_jaccard, periodic_runs, piece_codec, prefix_trie, quality_rules, source_mix, token_binary
 from meridia.llm._common import bounded_batches, read
 
 
@@ -30,6 +30,9 @@ QUERIES = {
     "op8_best_fit_pack": _over("documents", best_fit_pack.query),
     "op9_token_binary": _over("documents", token_binary.query),
     "op10_importance_sample": _importance,
+    "op11_prefix_trie": _over("conversations", prefix_trie.query),
+    "op12_piece_codec": _over("documents", piece_codec.query),
+    "op13_periodic_runs": _over("documents", periodic_runs.query),
 }
 
 ORACLE = {
@@ -39,4 +42,5 @@ ORACLE = {
     "op5_ngram_jaccard": ngram_jaccard.SQL,
     "op6_embedding_dedup": embedding_dedup.SQL,
     "op7_chat_format": chat_format.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
