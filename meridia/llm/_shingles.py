@@ -96,10 +96,12 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def fingerprint(shingles: np.ndarray) -> int:
-    """A signed 64-bit number of a set, the same for equal sets."""
-    both = mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True) + np.array([len(shingles)], np.uint64) * _PLACE[1]
-    return int(mix(both).view(np.int64)[0])
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit numbers of a set, the same for equal sets."""
+    size = np.array([len(shingles)], np.uint64)
+    one = mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True) + size * _PLACE[1]
+    two = mix(shingles * _PLACE[3] + _PLACE[2]).sum(keepdims=True) + size * _PLACE[4]
+    return int(mix(one).view(np.int64)[0]), int(mix(two).view(np.int64)[0])
 
 
 #: Bits of a parity sketch.

@@ -99,7 +99,8 @@ def pack(pieces: DataFrame, group: int = GROUP, loose: float = LOOSE) -> DataFra
     pieces = stage_table(pieces.select(*columns), "pieces")
     full = pieces.where(F.col("length") == CAPACITY)
     alone = full.select(*columns, F.monotonically_increasing_id().alias("n"), F.lit(0).cast("long").alias("offset"))
-    done = [stage_table(alone.select(*columns, (F.col("n") * 64).alias("sequence_id"), "offset"), "whole")]
+    done = [stage_table(alone.select(*columns, F.col("n").alias("sequence_id"), "offset"), "whole")]
+    free = 1 + (done[0].agg(F.max("sequence_id")).first()[0] or 0)  # numbers from here on are not used yet
     rest, turn = pieces.where(F.col("length") < CAPACITY).withColumn("row", F.monotonically_increasing_id()), 1
     rest = stage_table(rest, "rest")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, g long, bin long, offset long, used long"
@@ -107,7 +108,8 @@ def pack(pieces: DataFrame, group: int = GROUP, loose: float = LOOSE) -> DataFra
         groups = -(-n // group)
         dealt = rest.withColumn("g", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)))
         packed = stage_table(dealt.groupBy("g").applyInPandas(_pack_group, schema), "packed")
-        name = ((F.col("bin") * groups + F.col("g")) * 64 + min(turn, 63)).alias("sequence_id")
+        name = (F.lit(free) + F.col("bin") * groups + F.col("g")).alias("sequence_id")
+        free += (packed.agg(F.max("bin")).first()[0] + 1) * groups
         last = groups == 1
         tight = packed if last else packed.where(CAPACITY - F.col("used") <= CAPACITY * loose)
         done.append(tight.select(*columns, name, "offset"))

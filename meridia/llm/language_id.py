@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.llm._common import checked_broadcast, slices, stage_table
@@ -161,6 +161,11 @@ class Model:
         return winner, p * mean[winner] / (len(members) - 1)
 
 
+def drawn_at(key: Column, n: Column, want: int) -> Column:
+    """Whether a text takes part in a draw of somewhat more than twice ``want`` out of n; in doubles, as n has no bound."""
+    return F.pmod(F.xxhash64(key, F.lit("language sample")), F.lit(1 << 30)).cast("double") * n.cast("double") < F.lit(float((2 * want + 20) << 30))
+
+
 def fit(labelled: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, in_all: int = TEXTS_IN_ALL) -> Model | None:
     """Fit on a bounded sample of (text, lang); whole texts are counted on the executors, only hashed counts come here."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("hash"))
@@ -169,8 +174,7 @@ def fit(labelled: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, in_all: int
         return None
     want = max(1, min(per_language, in_all // languages))
     # about twice as many as wanted by a threshold, then the first of them; a text counts once, however often it is there
-    draw = F.pmod(F.xxhash64("hash", F.lit("language sample")), F.lit(1 << 30)) * F.col("n") < F.lit((2 * want + 20) << 30)
-    drawn = labelled.select("lang", "hash").join(checked_broadcast(sizes), "lang").where(draw).select("lang", "hash").distinct()
+    drawn = labelled.select("lang", "hash").join(checked_broadcast(sizes), "lang").where(drawn_at(F.col("hash"), F.col("n"), want)).select("lang", "hash").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     drawn = stage_table(drawn.withColumn("place", place).where(F.col("place") <= want).select("lang", "hash"), "drawn")
 

@@ -12,8 +12,12 @@ window around the same bigrams has a smaller coefficient). A window decides a te
 above that of every line and of the whole. Read by their start, windows that overlap the last one are the same unit; units
 of windows that touch a matching line are that line. A text that matches as a whole has no windows to count.
 
+Versions decide: a unit must hold every bigram of a template that has a number in it. The titles of full licence texts and SPDX
+tags outrank notices, which outrank the reservation of all rights; among equals the coefficient decides, then the longer template. A licence of
+which no title, notice or tag is listed is not found.
+
 Defined results: a text without a match (null and empty ones too) has a null license, dice 0, template -1 and no license units; equal
-coefficients go to the first template of the list; repeated rows get equal results; other columns are never looked at.
+coefficients go to the longest template, then to the first of the list; repeated rows get equal results; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -54,11 +58,65 @@ TEMPLATES = (
     ("CC0-1.0", "Released under CC0 1.0 Universal, public domain dedication."),
     ("proprietary", "All rights reserved."),
 )
-
-
-def template_bigrams(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
+#: What full licence texts begin with, or say in one place only.
+TITLES = (
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GFDL-1.1", "GNU Free Documentation License Version 1.1, March 2000"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Artistic-1.0", "The \"Artistic License\" Preamble The intent of this document is to state the conditions under which a Package may be copied"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission."),
+)
+#: Names and versions of licence families, and the tags that stand for them.
+GNU = (("GPL", "GNU General Public License", ("1", "2", "3")), ("LGPL", "GNU Library General Public License", ("2",)), ("LGPL", "GNU Lesser General Public License", ("2", "2.1", "3")), ("AGPL", "GNU Affero General Public License", ("3",)))
+CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+CC_VERSIONS = (("1.0", None), ("2.0", None), ("2.5", None), ("3.0", "Unported"), ("4.0", "International"))
+TAGS = ("MIT", "ISC", "Unlicense", "Zlib", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-1.1", "MPL-2.0", "EPL-2.0", "Artistic-1.0", "Artistic-2.0", "CC0-1.0", "GFDL-1.2-only", "GFDL-1.3-only")
+RESERVED, NOTICE, TITLE = 0, 1, 2
+
+
+def known_templates() -> list[tuple[str, str, int]]:
+    """(SPDX id, wording, rank): the listed notices first, then those of every version of the families, titles and tags."""
+    out = [(name, wording, RESERVED if name == "proprietary" else NOTICE) for name, wording in TEMPLATES]
+    full = lambda v: v if "." in v else f"{v}.0"
+    for family, name, versions in GNU:
+        for v in versions:
+            out.append((f"{family}-{full(v)}", f"This work is licensed under the {name}, version {v}.", NOTICE))
+            out.append((f"{family}-{full(v)}-or-later", f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.", NOTICE))
+    for kind, name in CC:
+        for v, port in CC_VERSIONS:
+            out.append((f"CC-{kind}-{v}", f"Licensed under CC {kind} {v}.", NOTICE))
+            if port:
+                out.append((f"CC-{kind}-{v}", f"This work is licensed under a Creative Commons {name} {v} {port} License.", NOTICE))
+    out.append(("MPL-1.1", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.', NOTICE))
+    out.append(("BSD-2-Clause", "Released under the BSD 2-Clause License.", NOTICE))
+    out += [(name, wording, TITLE) for name, wording in TITLES]
+    tags = [*TAGS, *(f"{f}-{full(v)}{end}" for f, _, versions in GNU for v in versions for end in ("", "-only", "-or-later")), *(f"CC-{kind}-{v}" for kind, _ in CC for v, _ in CC_VERSIONS)]
+    out += [(tag, f"SPDX-License-Identifier: {tag}", TITLE) for tag in dict.fromkeys(tags)]
+    once: dict[str, tuple[str, str, int]] = {}
+    for t in out:
+        once.setdefault(re.sub(r"[\W_]+", " ", t[1].lower()).strip(), t)
+    return list(once.values())
+
+
+def numbered(grams: list[str]) -> list[str]:
+    """The bigrams that hold a number: those a unit must have."""
+    return [g for g in grams if any(w[0].isdigit() for w in g.split())]
+
+
+def template_bigrams(templates) -> list[tuple[str, list[str]]]:
     out = []
-    for name, wording in templates:
+    for name, wording, *_ in templates:
         words = re.sub(r"[\W_]+", " ", wording.lower()).split()
         out.append((name, list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))))
     return out
@@ -111,7 +169,8 @@ def _windows(text: Column, table: Column, every: Column, threshold: float) -> Co
             def score(e: Column) -> Column:
                 unit = F.array_distinct(F.slice(grams, start, e - start + 1))
                 dice = F.lit(2.0) * F.size(F.array_intersect(unit, t["grams"])) / (F.size(unit) + t["n"])
-                return F.struct(dice.alias("dice"), (-t["i"]).alias("i"), t["name"].alias("name"), start.alias("start"), e.alias("end"))
+                whole = F.size(F.array_except(t["must"], unit)) == 0
+                return F.struct(t["rank"].alias("rank"), F.when(whole, dice).otherwise(0.0).alias("dice"), t["n"].alias("n"), (-t["i"]).alias("i"), t["name"].alias("name"), start.alias("start"), e.alias("end"))
 
             return F.array_max(F.filter(F.transform(ends, score), lambda x: x["dice"] >= threshold))
 
@@ -159,17 +218,21 @@ def _apart(windows: Column, lines: Column) -> Column:
     return F.aggregate(by_start, none, step, upto)
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, dice, template (its place in the list, or -1), n_license_units of each row of docs."""
+def scan(docs: DataFrame, templates=None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, dice, template (its place in the list, or -1), n_license_units of each row of docs. ``templates`` are (name,
+    wording) or (name, wording, rank), notices where no rank is given; None for ``known_templates``."""
+    templates = known_templates() if templates is None else templates
     known = template_bigrams(templates)
+    ranks = [t[2] if len(t) > 2 else NOTICE for t in templates]
+    strings = lambda some: F.array(*map(F.lit, some)) if some else F.array().cast("array<string>")
     sizes = [bounds(len(grams), threshold) for _, grams in known]
     least, most = min(a for a, _ in sizes), max(b for _, b in sizes)
-    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*map(F.lit, grams)).alias("grams")) for i, ((name, grams), (lo, hi)) in enumerate(zip(known, sizes))))
+    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(ranks[i]).alias("rank"), strings(grams).alias("grams"), strings(numbered(grams)).alias("must")) for i, ((name, grams), (lo, hi)) in enumerate(zip(known, sizes))))
 
     def best(grams: Column) -> Column:
-        """Of a bigram set: the largest (dice, -template, license) of the candidate templates that reach the threshold, or null."""
-        fits = F.filter(table, lambda t: (F.size(grams) >= t["lo"]) & (F.size(grams) <= t["hi"]))
-        scored = F.transform(fits, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + t["n"])).alias("dice"), (-t["i"]).alias("i"), t["name"].alias("name")))
+        """Of a bigram set: the largest (rank, dice, size, -template, license) of the candidate templates that reach the threshold, or null."""
+        fits = F.filter(table, lambda t: (F.size(grams) >= t["lo"]) & (F.size(grams) <= t["hi"]) & (F.size(F.array_except(t["must"], grams)) == 0))
+        scored = F.transform(fits, lambda t: F.struct(t["rank"].alias("rank"), (F.lit(2.0) * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + t["n"])).alias("dice"), t["n"].alias("n"), (-t["i"]).alias("i"), t["name"].alias("name")))
         return F.array_max(F.filter(scored, lambda s: s["dice"] >= threshold))
 
     def best_of(unit: Column) -> Column:
@@ -196,7 +259,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     lines = F.when(F.col("count") > 0, _matching_lines(F.col("normal"), best_of)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
     inside = F.when(F.coalesce(F.size("windows"), F.lit(0)) < 1, 0).when((F.col("count") > 0) & (F.col("single") | best_of(whole).isNotNull()), 0).otherwise(_bind(lines, lambda x: F.array(_apart(F.col("windows"), x)))[0])
     window = F.array_max("windows")
-    top = F.when(window["dice"] > F.coalesce(F.col("line.dice"), F.lit(0.0)), F.struct(window["dice"].alias("dice"), window["i"].alias("i"), window["name"].alias("name"))).otherwise(F.col("line"))
+    above = (window["rank"] > F.col("line.rank")) | ((window["rank"] == F.col("line.rank")) & (window["dice"] > F.col("line.dice")))
+    same = F.struct(*(window[c].alias(c) for c in ("rank", "dice", "n", "i", "name")))
+    top = F.when(window.isNotNull() & (F.col("line").isNull() | above), same).otherwise(F.col("line"))
     rows = rows.select("doc_id", top.alias("top"), (F.col("count") + inside).cast("long").alias("n_license_units"))
     return rows.select("doc_id", F.col("top.name").alias("license"), F.coalesce("top.dice", F.lit(0.0)).alias("dice"), F.coalesce(-F.col("top.i"), F.lit(-1)).alias("template"), "n_license_units")
 
@@ -207,16 +272,18 @@ def query(docs: DataFrame) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ",\n".join(f"({i}, {quoted(name)}, {len(grams)}, {lo}, {hi}, [{', '.join(map(quoted, grams))}])" for i, (name, grams) in enumerate(template_bigrams()) for lo, hi in [bounds(len(grams), THRESHOLD)])
+    known = known_templates()
+    listed = lambda some: f"[{', '.join(map(quoted, some))}]::VARCHAR[]"
+    rows = ",\n".join(f"({i}, {quoted(name)}, {known[i][2]}, {len(grams)}, {lo}, {hi}, {listed(grams)}, {listed(numbered(grams))})" for i, (name, grams) in enumerate(template_bigrams(known)) for lo, hi in [bounds(len(grams), THRESHOLD)])
     return rf"""
-    WITH t(i, name, n, lo, hi, grams) AS (VALUES {rows}),
+    WITH t(i, name, rank, n, lo, hi, grams, must) AS (VALUES {rows}),
     d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS normal FROM documents),
     u AS (SELECT doc_id, unnest(CASE WHEN contains(normal, chr(10)) THEN list_append(string_split(normal, chr(10)), replace(normal, chr(10), ' ')) ELSE [normal] END) AS unit FROM d),
     w AS (SELECT doc_id, string_split(trim(unit), ' ') AS w, row_number() OVER () AS k FROM u),
     g AS (SELECT doc_id, k, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS g FROM w WHERE len(w) >= 2),
-    s AS (SELECT doc_id, k, i, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + n) AS dice FROM g JOIN t ON len(g) BETWEEN lo AND hi),
+    s AS (SELECT doc_id, k, i, name, rank, n, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + n) AS dice FROM g JOIN t ON len(g) BETWEEN lo AND hi WHERE list_has_all(g, must)),
     h AS (SELECT doc_id, k, max(dice) AS unit_dice FROM s WHERE dice >= {THRESHOLD} GROUP BY doc_id, k),
-    b AS (SELECT doc_id, i, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, i) AS r FROM s WHERE dice >= {THRESHOLD}) WHERE r = 1)
+    b AS (SELECT doc_id, i, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, dice DESC, n DESC, i) AS r FROM s WHERE dice >= {THRESHOLD}) WHERE r = 1)
     SELECT doc_id, name AS license, coalesce(dice, 0.0::DOUBLE) AS dice, coalesce(i, -1)::INTEGER AS template, coalesce(c, 0)::BIGINT AS n_license_units
     FROM d LEFT JOIN b USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS c FROM h GROUP BY doc_id) USING (doc_id)"""
 

@@ -19,7 +19,8 @@ shingles: sets differ at least where sketches do. Verification is exact, on the
 Defined results: a null or empty text has no shingles, links with nothing and is its own component; a text with a null
 id links like others, but its id counts for nothing (its component is null if no linked text has an id); rows that
 repeat an id are rows of their own; an empty table gives an empty result; other columns are never looked at. Sets are
-told apart by 64-bit fingerprints, rows by 64-bit hashes of id and text.
+told apart by 128-bit fingerprints: a class is named by the first half, and where two classes have that in common (it is looked
+for), each by the two halves combined. Rows are told apart by two 64-bit hashes of id and text.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ CROWDED, SALTS = 8, 256
 PIVOTS = (("label", 16), ("cls", 256), ("cls", 2048))
 #: Rows of a broadcast list of (cls, key).
 FETCHED = 1_000_000
+#: Names of classes that are looked up in every task; 128-bit fingerprints of 5e10 sets have about 70 with a first half in common.
+MOST_CLASHES = 100_000
 SKETCH = [f"s{i}" for i in range(PARITY_BITS // 64)]
 
 
@@ -138,31 +141,47 @@ def cells_of(sig: np.ndarray) -> np.ndarray:
     return (sig >> np.uint64(64 - COST_BITS)).astype(np.int64)
 
 
+def class_of(halves: tuple[int, int], clashing: frozenset[int]) -> int:
+    """The name of a class by its fingerprint; ``clashing`` are first halves that several classes have."""
+    one, two = halves
+    return one ^ two if one in clashing else one
+
+
+def _key(doc_id, text):
+    return F.xxhash64(doc_id, text)
+
+
+def _more(doc_id, text):
+    return F.xxhash64(F.lit("more"), text, doc_id)
+
+
 def _sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(doc_id, key, n, cls, sketch) of every row, and what one pass over the texts counts: the heat of segment contents, and
+    """(doc_id, key, more, n, cls, other, sketch) of every row, other being the fingerprint's second half, and what one pass over the texts counts: the heat of segment contents, and
     which cells of signatures (neighbourhoods first, then segments) are crowded."""
     half = 1 << COST_BITS
-    names = ["doc_id", "key", "n", "cls", "cell", *SKETCH]
+    names = ["doc_id", "key", "more", "n", "cls", "other", "cell", *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, cells = WordHashes(), np.zeros(2 * half, np.int64)
         for part in slices(batches):
-            n, cls, bits = [], [], []
+            n, cls, other, bits = [], [], [], []
             for found in words.of_many(part.column("text").to_pylist()):
                 s = shingle_set(found)
                 n.append(len(s))
-                cls.append(fingerprint(s) if len(s) else None)
+                one, two = fingerprint(s) if len(s) else (None, None)
+                cls.append(one)
+                other.append(two)
                 bits.append(parity(s))
                 cells[:half] += np.bincount(cells_of(neighbours(s)), minlength=half)
                 if len(s) >= FIRST:
                     sig, sizes = segments(s, band_of(len(s)))
                     cells[half:] += np.bincount(cells_of(sig[sizes > 0]), minlength=half)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), *map(pa.array, np.stack(bits, 1))], names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), part.column("more"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(other, pa.int64()), pa.nulls(len(n), pa.int32()), *map(pa.array, np.stack(bits, 1))], names)
         full = np.flatnonzero(cells)
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(cells[full], pa.int64()), none, pa.array(full.astype(np.int32)), *[none] * len(SKETCH)], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(cells[full], pa.int64()), none, none, pa.array(full.astype(np.int32)), *[none] * len(SKETCH)], names)
 
-    table = stage_table(docs.mapInArrow(run, f"doc_id long, key long, n long, cls long, cell int, {', '.join(f'{x} long' for x in SKETCH)}"), "sets")
+    table = stage_table(docs.mapInArrow(run, f"doc_id long, key long, more long, n long, cls long, other long, cell int, {', '.join(f'{x} long' for x in SKETCH)}"), "sets")
     count = np.zeros(2 * half, np.float64)
     for r in table.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a fixed number of cells
         count[r.cell] = r.n
@@ -176,7 +195,7 @@ def _name():
     return F.xxhash64("cnt", "lo", "hi", "all")
 
 
-def _buckets(docs: DataFrame, heat: np.ndarray, crowded: np.ndarray) -> DataFrame:
+def _buckets(docs: DataFrame, heat: np.ndarray, crowded: np.ndarray, clashing: frozenset[int]) -> DataFrame:
     """Index rows of signatures that at least two classes share: pairs (lo, hi), members (bucket, cls) of larger buckets, and rows
     of crowded cells (sig, salt, cls), which are dealt to SALTS parts of a signature, with what a part sums up to."""
 
@@ -186,7 +205,7 @@ def _buckets(docs: DataFrame, heat: np.ndarray, crowded: np.ndarray) -> DataFram
             sigs, ids, salts, times = [], [], [], []
             for found in words.of_many(part.column("text").to_pylist()):
                 s = shingle_set(found)
-                if len(s) == 0 or (cls := fingerprint(s)) in done:
+                if len(s) == 0 or (cls := class_of(fingerprint(s), clashing)) in done:
                     continue  # a task indexes a class once
                 if len(done) >= 1_000_000:
                     done.clear()
@@ -236,7 +255,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _arrays(docs: DataFrame, wanted: DataFrame, clashing: frozenset[int]) -> DataFrame:
     """(cls, s): the whole shingle set of each class of ``wanted`` (cls, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +263,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for part in slices(batches):  # equal rows have equal keys: a task returns a class once
             ids, sets = [], []
             for cls, found in zip(part.column("cls").to_pylist(), words.of_many(part.column("text").to_pylist())):
-                if cls not in done and len(s := shingle_set(found)) and fingerprint(s) == cls:
+                if cls not in done and len(s := shingle_set(found)) and class_of(fingerprint(s), clashing) == cls:
                     done.add(cls)
                     ids.append(cls)
                     sets.append(s.view(np.int64))
@@ -269,9 +288,9 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(mixed, "bucket", "left_semi")
 
 
-def _linked(docs: DataFrame, classes: DataFrame, heat: np.ndarray, crowded: np.ndarray) -> DataFrame:
+def _linked(docs: DataFrame, classes: DataFrame, heat: np.ndarray, crowded: np.ndarray, clashing: frozenset[int]) -> DataFrame:
     """(node, component) of the classes that link with others."""
-    index = _buckets(docs, heat, crowded)
+    index = _buckets(docs, heat, crowded, clashing)
     members, pairs = _large_and_pairs(index)
     members = stage_table(members, "large")
     # the centre of a bucket is its member with the largest neighbourhood: the text that others are copies of is found early
@@ -284,7 +303,7 @@ def _linked(docs: DataFrame, classes: DataFrame, heat: np.ndarray, crowded: np.n
     known = classes.select("cls", "n", *SKETCH)
     pairs = stage_table(near.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_may_link()).select("a", "b"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "key"), "cls")
-    arrays = _arrays(docs, wanted)
+    arrays = _arrays(docs, wanted, clashing)
     links = _verify(pairs, arrays)
     found = connected_components(links)
     drop_tables(near, pairs, arrays)
@@ -293,7 +312,7 @@ def _linked(docs: DataFrame, classes: DataFrame, heat: np.ndarray, crowded: np.n
     drop_tables(large, centres)
     if rest.isEmpty():
         return found
-    arrays = _arrays(docs, rest.select("cls").distinct().join(classes.select("cls", "key"), "cls"))
+    arrays = _arrays(docs, rest.select("cls").distinct().join(classes.select("cls", "key"), "cls"), clashing)
     rest, old = stage_table(rest.join(known, "cls"), "rest"), rest
     drop_tables(old)
     for by, step in chain(PIVOTS, repeat(PIVOTS[-1])):
@@ -311,18 +330,33 @@ def _linked(docs: DataFrame, classes: DataFrame, heat: np.ndarray, crowded: np.n
             return found
 
 
+def _classes(sets: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """(cls, first, n, sketch, key), a row a class, and the names that more than one fingerprint has."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "more"))
+    others = (F.min("other").alias("low"), F.max("other").alias("high"))
+    classes = sets.where("cls IS NOT NULL").groupBy("cls").agg(first.alias("first"), *others, *(F.any_value(c).alias(c) for c in ("n", *SKETCH)))
+    classes = stage_table(classes.withColumn("key", F.col("first.key")), "classes")
+    same = classes.where("low <> high").select("cls").limit(MOST_CLASHES + 1).collect()
+    if len(same) > MOST_CLASHES:
+        raise ValueError("fingerprints of sets are not spread: too many have their first half in common")
+    return classes.drop("low", "high"), frozenset(r.cls for r in same)
+
+
 def _grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n, cls, component_id and first, the row of its group that stays, for each row of docs."""
+    """doc_id, key, more, n, cls, component_id and first, the row of its group that stays, for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("key", _key("doc_id", "text")).withColumn("more", _more("doc_id", "text"))
     sets, heat, crowded = _sets(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes = sets.where("cls IS NOT NULL").groupBy("cls").agg(first.alias("first"), *(F.any_value(c).alias(c) for c in ("n", *SKETCH)))
-    classes = stage_table(classes.withColumn("key", F.col("first.key")), "classes")
-    rooted = classes.select("cls", "first").join(_linked(docs, classes, heat, crowded).withColumnRenamed("node", "cls"), "cls")
+    classes, clashing = _classes(sets)
+    if clashing:
+        sets = sets.withColumn("cls", F.when(F.col("cls").isin(*clashing), F.col("cls").bitwiseXOR(F.col("other"))).otherwise(F.col("cls")))
+        classes, again = _classes(sets)
+        if again:
+            raise ValueError("fingerprints of sets are not spread: combined halves have names in common")
+    rooted = classes.select("cls", "first").join(_linked(docs, classes, heat, crowded, clashing).withColumnRenamed("node", "cls"), "cls")
     joined = rooted.select("cls", "component").join(rooted.groupBy("component").agg(F.min("first").alias("joint")), "component").drop("component")
     own = classes.select("cls", "first").join(joined, "cls", "left").select("cls", F.coalesce("joint", "first").alias("first"))
-    return sets.join(own, "cls", "left").select("doc_id", "key", "n", "cls", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
+    return sets.join(own, "cls", "left").select("doc_id", "key", "more", "n", "cls", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -335,17 +369,18 @@ def keep(docs: DataFrame) -> DataFrame:
 
     Rows without shingles stay. Rows that repeat an id are told apart by their texts; of equal rows one stays.
     """
-    rows = stage_table(_grouped(docs).where("cls IS NOT NULL").select("doc_id", "key", "first"), "grouped")
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
-    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    gone = checked_broadcast(rows.where(~stays).select(F.col("key").alias("__gone_key")).distinct(), FETCHED)
-    kept = docs.join(gone, key == F.col("__gone_key"), "left_anti")
-    again = rows.where(stays).groupBy(F.col("key").alias("__again_key")).count().where("count > 1").select("__again_key")
+    rows = stage_table(_grouped(docs).where("cls IS NOT NULL").select("doc_id", "key", "more", "first"), "grouped")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("more") == F.col("first.more"))
+    own = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    is_row = lambda name: (_key(*own) == F.col(f"{name}_key")) & (_more(*own) == F.col(f"{name}_more"))
+    gone = checked_broadcast(rows.where(~stays).select(F.col("key").alias("__gone_key"), F.col("more").alias("__gone_more")).distinct(), FETCHED)
+    kept = docs.join(gone, is_row("__gone"), "left_anti")
+    again = rows.where(stays).groupBy(F.col("key").alias("__again_key"), F.col("more").alias("__again_more")).count().where("count > 1").drop("count")
     again = stage_table(again, "again")
     if again.isEmpty():
         return kept
-    alone = kept.join(again, key == F.col("__again_key"), "left_anti")
-    same = kept.join(again, key == F.col("__again_key")).groupBy("__again_key").agg(F.any_value(F.struct(*(kept[c] for c in docs.columns))).alias("__row"))
+    alone = kept.join(again, is_row("__again"), "left_anti")
+    same = kept.join(again, is_row("__again")).groupBy("__again_key", "__again_more").agg(F.any_value(F.struct(*(kept[c] for c in docs.columns))).alias("__row"))
     return alone.unionByName(same.select("__row.*"))
 
 

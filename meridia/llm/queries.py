@@ -25,7 +25,7 @@ QUERIES = {
     "op3_source_mix": _over("documents", source_mix.query),
     "op4_license_scan": _over("documents", license_scan.query),
     "op5_ngram_jaccard": _over("documents", ngram_jaccard.components),
-    "op6_embedding_dedup": _over("embeddings", embedding_dedup.near_duplicates),
+    "op6_embedding_dedup": _over("embeddings", embedding_dedup.query),
     "op7_chat_format": _over("conversations", chat_format.query),
     "op8_best_fit_pack": _over("documents", best_fit_pack.query),
     "op9_token_binary": _over("documents", token_binary.query),
