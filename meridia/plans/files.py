@@ -96,14 +96,11 @@ def boundary_points(spark, sf_dir):
     return b.select("building_id", at(v["lon"], v["lat"]).alias("corner"), at(F.col("lon"), v["lat"]).alias("edge"), at(F.col("lon"), F.col("lat")).alias("inside"), at(F.col("lon") + 3 * F.col("half"), F.col("lat")).alias("outside"))
 
 
-#: Two spectral lines of each gas, for the query only: a user has the whole tables as files.
-OXYGEN_LINES = ((118.750334, 940.3, 0.01, 16.64, 0.0, -0.439, 0.079), (60.306056, 2102.6, 0.0, 15.0, 0.0, 5.0, -0.1))
-WATER_LINES = ((22.23508, 0.1079, 2.144, 26.38, 0.76, 5.087, 1.0), (183.310087, 2.273, 0.668, 29.06, 0.77, 5.022, 0.85))
 _ROWS = lambda lines: ", ".join("(" + ", ".join(f"{x!r}::DOUBLE" for x in r) + ")" for r in lines)
 
 
 @query("gas_absorption", f"""WITH {lens.CELLS}, p AS (SELECT cell_id, 20.0 + cell_id % 180 AS ghz, 1013.25 - cell_id % 200 AS dry, 300 / (270.0 + cell_id % 40) AS th, (cell_id % 20) * (270.0 + cell_id % 40) / 216.7 AS e FROM lens_cells),
- o(f0, a1, a2, a3, a4, a5, a6) AS (VALUES {_ROWS(OXYGEN_LINES)}), w(f0, b1, b2, b3, b4, b5, b6) AS (VALUES {_ROWS(WATER_LINES)}),
+ o(f0, a1, a2, a3, a4, a5, a6) AS (VALUES {_ROWS(gas.OXYGEN_LINES)}), w(f0, b1, b2, b3, b4, b5, b6) AS (VALUES {_ROWS(gas.WATER_LINES)}),
  ox AS (SELECT *, sqrt(pow(a3 * 1e-4 * (dry * pow(th, 0.8 - a4) + 1.1 * e * th), 2) + 2.25e-6) AS wd, (a5 + a6 * th) * 1e-4 * (dry + e) * pow(th, 0.8) AS sh, f0 - ghz AS n, f0 + ghz AS f FROM p, o),
  os AS (SELECT cell_id, sum(0.1820 * ghz * a1 * 1e-7 * dry * pow(th, 3) * exp(a2 * (1 - th)) * ghz / f0 * ((wd - sh * n) / (n * n + wd * wd) + (wd - sh * f) / (f * f + wd * wd))) AS oxygen FROM ox GROUP BY cell_id),
  wx AS (SELECT *, b3 * 1e-4 * (dry * pow(th, b4) + b5 * e * pow(th, b6)) AS q, f0 - ghz AS n, f0 + ghz AS f FROM p, w), wy AS (SELECT *, 0.535 * q + sqrt(0.217 * q * q + 2.1316e-12 * f0 * f0 / th) AS wd FROM wx),
@@ -113,5 +110,5 @@ def gas_absorption(spark, sf_dir):
     """Oxygen, water and dry continuum in dB per km, line by line, at each cell's weather."""
     k = F.col("cell_id")
     points = lens.cells(spark, sf_dir).select("cell_id", (20.0 + k % 180).alias("ghz"), (1013.25 - k % 200).alias("dry_hpa"), (270.0 + k % 40).alias("kelvin"), (k % 20).cast("double").alias("grams_m3"))
-    a = gas.absorption(points, spark.createDataFrame(list(OXYGEN_LINES), list(gas.OXYGEN)), spark.createDataFrame(list(WATER_LINES), list(gas.WATER)), ["cell_id"])
+    a = gas.absorption(points, spark.createDataFrame(list(gas.OXYGEN_LINES), list(gas.OXYGEN)), spark.createDataFrame(list(gas.WATER_LINES), list(gas.WATER)), ["cell_id"])
     return a.select("cell_id", *(rounded(F.col(c), 6).alias(c) for c in ("oxygen", "water", "dry")))

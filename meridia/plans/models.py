@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.functions import models, rf
+from meridia.functions import gas, models, rf, weather
 from meridia.functions.numeric import rounded, rounded_sql
 from meridia.plans import lens, radio
 from meridia.plans.registry import query
@@ -13,8 +13,12 @@ from meridia.plans.registry import query
 TX, RX = radio.TX_M, radio.RX_M
 
 
+_AROUND = ("urban_high_rise", "urban_low_rise", "suburban", "unknown")
+
+
 def measured(spark, sf_dir) -> DataFrame:
-    """Samples as measurements of path loss, with what the models ask for; some carriers are at 140 GHz, some antennas directional."""
+    """Samples as measurements of path loss, with what the models ask for; some carriers are at 140 GHz, some antennas directional. Wall
+    counts, weather and labels of the surroundings are there, missing, or out of range by turns."""
     k = F.col("sample_id")
     s = lens.samples(spark, sf_dir)
     ghz = F.when(k % 11 == 0, 140.0).otherwise(F.col("ghz"))
@@ -22,7 +26,12 @@ def measured(spark, sf_dir) -> DataFrame:
     return s.select(
         "sample_id", "site_id", "campaign", "distance_m", ghz.alias("ghz"), "walls", "los", F.lit(TX).alias("transmitter_m"), F.lit(RX).alias("receiver_m"), F.when(k % 7 == 0, (k % 30).cast("double")).alias("edge_loss_db"),
         F.when(k % 13 == 0, "directional").otherwise("isotropic").alias("directionality"), loss.alias("measured_db"),
-    )
+    ).withColumns({
+        "walls": F.when(k % 17 != 0, F.col("walls")), "kelvin": F.when(k % 4 < 2, 270.0 + k % 40), "pressure_hpa": F.when(k % 4 < 2, F.when(k % 52 == 0, 200.0).otherwise(1013.25 - k % 60)), "vapour_g_m3": F.when(k % 4 < 2, (k % 15).cast("double")),
+        "rain_known": F.when(k % 4 == 0, k % 8 == 0), "rain_mm_h": F.when(k % 16 == 0, (k % 60).cast("double")), "fog_known": F.when(k % 4 == 0, k % 12 == 0), "fog_g_m3": F.when(k % 24 == 0, (k % 7) / 10.0),
+        "morphology": F.element_at(F.array(*map(F.lit, _AROUND)), (k % 4 + 1).cast("int")), "rooftop": F.when(k % 23 == 0, "one_above_one_below").otherwise("both_below_rooftop"),
+        "los_source": F.lit("dataset"), "morphology_source": F.when(k % 29 == 0, "unknown").otherwise("dataset"), "rooftop_source": F.lit("dataset"),
+    })
 
 
 _F = "(20 * log10(4 * pi() * distance_m * ghz * 1e9 / 299792458.0))"
@@ -30,16 +39,58 @@ _SLANT = f"sqrt(distance_m * distance_m + {(TX - RX) ** 2})"
 _BP = f"(4 * {TX - 1} * {RX - 1} * ghz * 1e9 / 3e8)"
 _SEEN = f"(CASE WHEN distance_m > {_BP} THEN 28 + 40 * log10(greatest({_SLANT}, 1.0)) + 20 * log10(ghz) - 9 * log10({_BP} * {_BP} + {(TX - RX) ** 2}) ELSE 28 + 22 * log10(greatest({_SLANT}, 1.0)) + 20 * log10(ghz) END)"
 _WALL = f"(CASE WHEN ghz < {rf.WALL_LOSS[0][0]} THEN {rf.WALL_LOSS[0][1]} WHEN ghz < {rf.WALL_LOSS[1][0]} THEN {rf.WALL_LOSS[1][1]} ELSE {rf.WALL_LOSS[2][1]} END)"
+_UNLABELLED = "los = 'unknown' OR morphology = 'unknown' OR morphology_source = 'unknown'"
+
+
+def _street_sql(row: tuple) -> tuple:
+    name, los, f0, f1, d0, d1, alpha, beta, gamma, _ = row
+    most = {"los": "CASE WHEN ghz > 255 THEN 155.0 WHEN ghz > 159 THEN 250.0 WHEN ghz > 82 THEN 500.0 ELSE 660.0 END", "high": "CASE WHEN ghz > 82 THEN 150.0 ELSE 715.0 END", "low": "CASE WHEN ghz > 159 THEN 80.0 WHEN ghz > 73 THEN 150.0 ELSE 250.0 END"}["los" if "_los_" in name else "high" if "high" in name else "low"]
+    band = f"ghz BETWEEN {f0} AND {f1}"
+    rules = (
+        (f"NOT {band}", "frequency_out_of_range"), (f"{band} AND NOT distance_m BETWEEN {d0} AND {most}", "distance_out_of_range"), (f"morphology NOT IN ({', '.join(map(repr, models.MORPHOLOGIES[name]))})", "morphology_mismatch"),
+        ("rooftop <> 'both_below_rooftop'", "rooftop_relation_mismatch,unsupported_geometry"), (f"los <> '{los}'", "los_state_mismatch"),
+    )
+    against = f"nullif(concat_ws(',', {', '.join(f"CASE WHEN {rule} THEN '{reason}' END" for rule, reason in rules)}), '')"
+    return (name, f"CASE WHEN {_UNLABELLED} THEN 'labels_required' ELSE {against} END", f"10 * {alpha} * log10(distance_m) + {beta} + 10 * {gamma} * log10(ghz)", "CASE why WHEN 'labels_required' THEN 'ambiguous' ELSE 'inapplicable' END", True)
+
+
+_WALLED = "CASE why WHEN 'wall_events_required' THEN 'ambiguous' ELSE 'inapplicable' END"
 _MODELS = (
-    ("atmospheric", "'weather_required'", "NULL::DOUBLE", "ambiguous", True),
-    ("legacy_fspl_walls", "NULL::VARCHAR", f"20 * log10(greatest({_SLANT}, 1.0)) + 20 * log10(ghz) + 32.45 + walls * {_WALL}", "inapplicable", True),
-    ("p525_fspl", "NULL::VARCHAR", _F, "inapplicable", True),
-    ("research_sub_thz", "CASE WHEN abs(ghz - 140) > 1e-9 THEN 'frequency_out_of_range' END", f"{_F} + 80.0 * walls", "inapplicable", False),
-    ("single_edge_diffraction", "CASE WHEN edge_loss_db IS NULL THEN 'edge_loss_required' END", f"{_F} + edge_loss_db", "unsupported", False),
-    ("urban_short_range", "CASE WHEN ghz >= 100 THEN 'frequency_out_of_range' WHEN NOT distance_m BETWEEN 10 AND 5000 THEN 'distance_out_of_range' WHEN los = 'unknown' THEN 'required_los_or_nlos_missing' END", f"CASE WHEN los = 'los' THEN {_SEEN} ELSE greatest({_SEEN}, 13.54 + 39.08 * log10(greatest({_SLANT}, 1.0)) + 20 * log10(ghz) - 0.6 * {RX - 1.5}) END", "inapplicable", True),
+    ("atmospheric", "CASE WHEN kelvin IS NULL THEN 'weather_required' WHEN rain_known IS NULL THEN 'weather_flags_required' WHEN pressure_hpa < 300 THEN 'atmosphere_out_of_range' END", f"{_F} + air_db", "CASE WHEN why LIKE 'weather%' THEN 'ambiguous' ELSE 'unsupported' END", True),
+    ("legacy_fspl_walls", "CASE WHEN walls IS NULL THEN 'wall_events_required' END", f"20 * log10(greatest({_SLANT}, 1.0)) + 20 * log10(ghz) + 32.45 + walls * {_WALL}", _WALLED, True),
+    *map(_street_sql, weather.STREET),
+    ("p525_fspl", "NULL::VARCHAR", _F, "'inapplicable'", True),
+    ("research_sub_thz", "CASE WHEN walls IS NULL THEN 'wall_events_required' WHEN abs(ghz - 140) > 1e-9 THEN 'frequency_out_of_range' END", f"{_F} + 80.0 * walls", _WALLED, False),
+    ("single_edge_diffraction", "CASE WHEN edge_loss_db IS NULL THEN 'edge_loss_required' END", f"{_F} + edge_loss_db", "'unsupported'", False),
+    ("urban_short_range", "CASE WHEN ghz >= 100 THEN 'frequency_out_of_range' WHEN NOT distance_m BETWEEN 10 AND 5000 THEN 'distance_out_of_range' WHEN los = 'unknown' THEN 'required_los_or_nlos_missing' END", f"CASE WHEN los = 'los' THEN {_SEEN} ELSE greatest({_SEEN}, 13.54 + 39.08 * log10(greatest({_SLANT}, 1.0)) + 20 * log10(ghz) - 0.6 * {RX - 1.5}) END", "'inapplicable'", True),
 )
-_PREDICTED = f"""WITH {lens.SAMPLES}, m AS (SELECT * REPLACE (CASE WHEN sample_id % 11 = 0 THEN 140.0::DOUBLE ELSE ghz END AS ghz), CASE WHEN sample_id % 7 = 0 THEN (sample_id % 30)::DOUBLE END AS edge_loss_db, sample_id % 13 = 0 AS directional, 60.0 + distance_m / 20 + residual AS measured_db FROM lens_samples),
- r AS ({' UNION ALL '.join(f"SELECT *, '{i}' AS model, {'true' if c else 'false'} AS calibrated, CASE WHEN directional THEN 'directional_measurement' WHEN NOT distance_m > 0 THEN 'frequency_and_distance_required' ELSE {why} END AS reason, '{status}' AS refused, CASE WHEN NOT directional AND distance_m > 0 AND {why} IS NULL THEN {loss} END AS predicted_db FROM m" for i, why, loss, status, c in _MODELS)}),
+_ROWS = lambda lines: ", ".join("(" + ", ".join(f"{x!r}::DOUBLE" for x in r) + ")" for r in lines)
+
+
+def _rain_sql() -> str:
+    fit = {n: "(" + " + ".join(f"({a}) * exp(-pow((log10(ghz) - ({b})) / ({c}), 2))" for a, b, c in terms) + f" + ({slope}) * log10(ghz) + ({offset}))" for n, (terms, slope, offset) in weather.RAIN.items()}
+    kh, kv = f"pow(10.0, {fit['k_h']})", f"pow(10.0, {fit['k_v']})"
+    return f"(({kh} + {kv}) / 2) * pow(rain_mm_h, ({kh} * {fit['a_h']} + {kv} * {fit['a_v']}) / ({kh} + {kv}))"  # circular: the elevation falls out
+
+
+#: Gas, rain and fog along each link that has weather.
+_AIR = f"""t AS (SELECT sample_id, ghz, distance_m / 1000 AS km, kelvin, 300 / kelvin AS th, vapour_g_m3 * kelvin / 216.7 AS e, pressure_hpa - vapour_g_m3 * kelvin / 216.7 AS dry, rain_known, coalesce(rain_mm_h, 0.0) AS rain_mm_h, fog_known, coalesce(fog_g_m3, 0.0) AS fog_g_m3 FROM m WHERE rain_known IS NOT NULL AND pressure_hpa >= 300),
+ ol(f0, a1, a2, a3, a4, a5, a6) AS (VALUES {_ROWS(gas.OXYGEN_LINES)}), wl(f0, b1, b2, b3, b4, b5, b6) AS (VALUES {_ROWS(gas.WATER_LINES)}),
+ ox AS (SELECT *, sqrt(pow(a3 * 1e-4 * (dry * pow(th, 0.8 - a4) + 1.1 * e * th), 2) + 2.25e-6) AS wd, (a5 + a6 * th) * 1e-4 * (dry + e) * pow(th, 0.8) AS sh, f0 - ghz AS n, f0 + ghz AS f FROM t, ol),
+ os AS (SELECT sample_id, sum(a1 * 1e-7 * dry * pow(th, 3) * exp(a2 * (1 - th)) * ghz / f0 * ((wd - sh * n) / (n * n + wd * wd) + (wd - sh * f) / (f * f + wd * wd))) AS ox FROM ox GROUP BY sample_id),
+ wx AS (SELECT *, b3 * 1e-4 * (dry * pow(th, b4) + b5 * e * pow(th, b6)) AS q, f0 - ghz AS n, f0 + ghz AS f FROM t, wl), wy AS (SELECT *, 0.535 * q + sqrt(0.217 * q * q + 2.1316e-12 * f0 * f0 / th) AS wd FROM wx),
+ ws AS (SELECT sample_id, sum(b1 * 0.1 * e * pow(th, 3.5) * exp(b2 * (1 - th)) * ghz / f0 * (wd / (n * n + wd * wd) + wd / (f * f + wd * wd))) AS wa FROM wy GROUP BY sample_id),
+ fw AS (SELECT *, 77.66 + 103.3 * (th - 1) AS e0, 20.20 - 146 * (th - 1) + 316 * pow(th - 1, 2) AS fp FROM t), fv AS (SELECT *, 0.9329 * e0 / (1 + pow(ghz / fp, 2)) AS r1, (0.0671 * e0 - 3.52) / (1 + pow(ghz / (39.8 * fp), 2)) AS r2 FROM fw), fu AS (SELECT *, r1 + r2 + 3.52 AS re, ghz / fp * r1 + ghz / (39.8 * fp) * r2 AS im FROM fv),
+ air AS (SELECT sample_id, km * (0.1820 * ghz * (ox + wa) + 0.1820 * ghz * ghz * dry * th * th * (6.14e-5 / (5.6e-4 * (dry + e) * pow(th, 0.8) * (1 + pow(ghz / (5.6e-4 * (dry + e) * pow(th, 0.8)), 2))) + 1.4e-12 * dry * pow(th, 1.5) / (1 + 1.9e-5 * pow(ghz, 1.5)))
+  + CASE WHEN rain_known AND rain_mm_h > 0 THEN {_rain_sql()} ELSE 0.0 END + CASE WHEN fog_known AND ghz <= 200 THEN fog_g_m3 * 0.819 * ghz / (im * (1 + pow((2 + re) / im, 2))) ELSE 0.0 END) AS air_db FROM fu JOIN os USING (sample_id) JOIN ws USING (sample_id))"""
+_PREDICTED = f"""WITH {lens.SAMPLES}, m AS (SELECT * REPLACE (CASE WHEN sample_id % 11 = 0 THEN 140.0::DOUBLE ELSE ghz END AS ghz, CASE WHEN sample_id % 17 <> 0 THEN walls END AS walls), CASE WHEN sample_id % 7 = 0 THEN (sample_id % 30)::DOUBLE END AS edge_loss_db, sample_id % 13 = 0 AS directional, 60.0 + distance_m / 20 + residual AS measured_db,
+  CASE WHEN sample_id % 4 < 2 THEN 270.0::DOUBLE + sample_id % 40 END AS kelvin, CASE WHEN sample_id % 4 < 2 THEN CASE WHEN sample_id % 52 = 0 THEN 200.0::DOUBLE ELSE 1013.25::DOUBLE - sample_id % 60 END END AS pressure_hpa, CASE WHEN sample_id % 4 < 2 THEN (sample_id % 15)::DOUBLE END AS vapour_g_m3,
+  CASE WHEN sample_id % 4 = 0 THEN sample_id % 8 = 0 END AS rain_known, CASE WHEN sample_id % 16 = 0 THEN (sample_id % 60)::DOUBLE END AS rain_mm_h, CASE WHEN sample_id % 4 = 0 THEN sample_id % 12 = 0 END AS fog_known, CASE WHEN sample_id % 24 = 0 THEN (sample_id % 7) / 10.0::DOUBLE END AS fog_g_m3,
+  [{', '.join(map(repr, _AROUND))}][sample_id % 4 + 1] AS morphology, CASE WHEN sample_id % 23 = 0 THEN 'one_above_one_below' ELSE 'both_below_rooftop' END AS rooftop, CASE WHEN sample_id % 29 = 0 THEN 'unknown' ELSE 'dataset' END AS morphology_source FROM lens_samples),
+ {_AIR}, n AS (SELECT m.*, air_db FROM m LEFT JOIN air USING (sample_id)),
+ w AS ({' UNION ALL '.join(f"SELECT *, '{i}' AS model, {'true' if c else 'false'} AS calibrated, {why} AS why, {loss if loss else 'NULL'} AS loss FROM n WHERE distance_m > 0" for i, why, loss, _, c in _MODELS)}
+  UNION ALL {' UNION ALL '.join(f"SELECT *, '{i}' AS model, {'true' if c else 'false'} AS calibrated, NULL AS why, NULL AS loss FROM n WHERE NOT distance_m > 0" for i, _, _, _, c in _MODELS)}),
+ r AS (SELECT *, CASE WHEN directional THEN 'directional_measurement' WHEN NOT distance_m > 0 THEN 'frequency_and_distance_required' ELSE why END AS reason, CASE model {' '.join(f"WHEN '{i}' THEN {status}" for i, _, _, status, _ in _MODELS)} END AS refused, CASE WHEN NOT directional AND distance_m > 0 AND why IS NULL THEN loss END AS predicted_db FROM w),
  p AS (SELECT *, CASE WHEN directional OR NOT distance_m > 0 THEN 'ambiguous' WHEN reason IS NOT NULL THEN refused ELSE 'applicable' END AS status, measured_db - predicted_db AS error FROM r)"""
 
 

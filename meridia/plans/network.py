@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import geo, rf
 from meridia.functions.numeric import rounded, rounded_sql
+from meridia.operators import contours as contour
 from meridia.operators.joins import box_join
 from meridia.operators.ordered import running
 from meridia.operators.skyline import skyline
@@ -110,6 +111,33 @@ def contours(spark, sf_dir):
     shape = sum((F.when(F.col(f"v{i}") >= -100, 2**i).otherwise(0) for i in range(4)), F.lit(0)).cast("int")
     return q.withColumn("shape", shape).where(~F.col("shape").isin(0, 15)).select("r", "c", "shape", ((F.col("v0") + F.col("v1") + F.col("v2") + F.col("v3")) / 4 >= -100).alias("middle"))
 
+_LEVELS = (-102.0, -100.0, -98.0)
+_EDGES = " UNION ALL ".join(
+    f"SELECT r, c, level, {i} AS i, r + {dr} AS er, c + {dc} AS ec, {up} AS up, v{i} >= level AND v{(i + 1) % 4} < level AS down, v{i} < level AND v{(i + 1) % 4} >= level AS rise,"
+    f" r + {ra} + (level - v{a}) / (v{b} - v{a}) * {rb - ra} AS row, c + {ca} + (level - v{a}) / (v{b} - v{a}) * {cb - ca} AS col FROM l WHERE (v{i} >= level) <> (v{(i + 1) % 4} >= level)"
+    for i, (dr, dc, up) in enumerate(((0, 0, 0), (0, 1, 1), (1, 0, 0), (0, 0, 1)))
+    for a, b in [(i, (i + 1) % 4) if i < 2 else ((i + 1) % 4, i)]
+    for (ra, ca), (rb, cb) in [(contour.CORNERS[a], contour.CORNERS[b])]
+)
+_CONTOUR_LINES = f"""{_SURFACE.replace("WITH ", "WITH RECURSIVE ", 1)}, l AS (SELECT q.*, t.level FROM q, (VALUES {", ".join(f"({x}::DOUBLE)" for x in _LEVELS)}) t(level)),
+ e AS ({_EDGES}), m AS (SELECT r, c, level, (v0 + v1 + v2 + v3) / 4 >= level AS middle FROM l),
+ s AS (SELECT a.level, {{'r': a.er, 'c': a.ec, 'up': a.up}} AS a, {{'r': b.er, 'c': b.ec, 'up': b.up}} AS b FROM e a JOIN e b ON a.r = b.r AND a.c = b.c AND a.level = b.level AND a.down AND b.rise JOIN m ON m.r = a.r AND m.c = a.c AND m.level = a.level
+  WHERE (SELECT count(*) FROM e x WHERE x.r = a.r AND x.c = a.c AND x.level = a.level) = 2 OR (m.middle AND a.i + b.i = 3) OR (NOT m.middle AND a.i // 2 = b.i // 2)),
+ p AS (SELECT level, {{'r': er, 'c': ec, 'up': up}} AS p, min(row) AS row, min(col) AS col FROM e GROUP BY ALL),
+ w(level, p, back, steps) AS (SELECT level, p, p, 0 FROM p UNION ALL SELECT w.level, w.p, s.a, w.steps + 1 FROM w JOIN s ON s.level = w.level AND s.b = w.back WHERE w.steps < 3000 AND s.a <> w.p),
+ f AS (SELECT w.level, w.p, bool_or(s.a IS NULL) AS open, arg_max(w.back, w.steps) AS far, max(w.steps) AS steps, min({{'b': w.back, 's': w.steps}}) AS low FROM w LEFT JOIN s ON s.level = w.level AND s.b = w.back GROUP BY w.level, w.p),
+ n AS (SELECT level, p, NOT open AS closed, CASE WHEN open THEN far ELSE low.b END AS start, CASE WHEN open THEN steps ELSE low.s END AS place FROM f)
+ SELECT level, start.r || ':' || start.c || ':' || start.up AS line, closed, place::BIGINT AS place, {rounded_sql("(col + 0.5) * 0.01", 9)} AS lon, {rounded_sql("(row + 0.5) * 0.01", 9)} AS lat FROM n JOIN p USING (level, p)"""
+
+
+@query("contour_lines", _CONTOUR_LINES)
+def contour_lines(spark, sf_dir):
+    """The contour lines of the mean level at three thresholds: each line's points in order, from its first (a ring begins at its smallest)."""
+    v = lens.samples(spark, sf_dir).groupBy(F.floor(F.col("lat") / 0.01).alias("r"), F.floor(F.col("lon") / 0.01).alias("c")).agg(F.avg("rsrp").alias("v"))
+    lines = contour.contour_lines(v, list(_LEVELS))
+    return lines.select("level", "line", "closed", "place", rounded((F.col("col") + 0.5) * 0.01, 9).alias("lon"), rounded((F.col("row") + 0.5) * 0.01, 9).alias("lat"))
+
+
 
 @query("rerank_solutions", f"WITH {lens.CELLS}, u AS (SELECT cell_id, load AS demand_u, 1 - load AS overlap_u, (cell_id % 7) / 7.0::DOUBLE AS reach_u FROM lens_cells) SELECT cell_id, {rounded_sql('(3 * demand_u + 1 * overlap_u + 2 * reach_u) / 6', 6)} AS score, row_number() OVER (ORDER BY {rounded_sql('(3 * demand_u + 1 * overlap_u + 2 * reach_u) / 6', 6)} DESC, cell_id)::INTEGER AS place FROM u")
 def rerank_solutions(spark, sf_dir):

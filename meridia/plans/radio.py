@@ -16,17 +16,23 @@ from meridia.plans.registry import query
 POWER_DBM, GAIN_DBI, BEAM_DEG, TX_M, RX_M, FIGURE_DB = 30.0, 25.0, 120.0, 25.0, 1.5, 7.0
 
 
-def signals(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Received reference power of each cell at each point in its radius and beam, where above the sensitivity."""
+def links(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """Received reference power of each cell at each point in its radius, where above the sensitivity, with the ``bearing`` to it:
+    what does not depend on where the antenna points."""
     near = box_join(points, "lon", "lat", cells.withColumnsRenamed({"lon": "cell_lon", "lat": "cell_lat"}), geo.bounds_around(F.col("cell_lon"), F.col("cell_lat"), F.col("radius_m") * 1.01))
     d = geo.distance_m(F.col("cell_lon"), F.col("cell_lat"), F.col("lon"), F.col("lat"))
     near = near.withColumn("d", d).where("d <= radius_m")
-    near = near.where(geo.in_beam(geo.bearing_deg(F.col("cell_lon"), F.col("cell_lat"), F.col("lon"), F.col("lat")), F.col("azimuth"), F.lit(BEAM_DEG)))
+    near = near.withColumn("bearing", geo.bearing_deg(F.col("cell_lon"), F.col("cell_lat"), F.col("lon"), F.col("lat")))
     carrier = POWER_DBM + GAIN_DBI - rf.free_space_loss(rf.slant_m(F.col("d"), F.lit(TX_M), F.lit(RX_M)), F.col("ghz"))
     rb = rf.resource_blocks(F.col("tech"), F.col("mhz"))
     return near.withColumn("carrier", carrier).where(F.col("carrier") > rf.SENSITIVITY_DBM).withColumn("rb", rb).withColumn("rsrp", F.col("carrier") - 10 * F.log10(12.0 * rb))
 
 
+def signals(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """The links of each point that lie in the cell's beam."""
+    return links(points, cells).where(geo.in_beam(F.col("bearing"), F.col("azimuth"), F.lit(BEAM_DEG))).drop("bearing")
+
+
 def quality(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Of each point with a signal: serving cell (strongest, then lowest id), interference of its carrier, SINR, RSRQ, class."""
     s = signals(points.select("sample_id", "lon", "lat"), cells)
