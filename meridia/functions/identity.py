@@ -18,9 +18,11 @@ def fingerprint(columns: dict[str, Column], digits: int = 16) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the code points of a text, as a number."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(FNV_START).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * FNV_PRIME, F.lit(1 << 32)))
+    """32-bit FNV-1a over the UTF-16 units of a text (a character beyond the base plane is two), as a number."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(1), (F.length(digits) / 4).cast("int")), lambda i: F.conv(F.substr(digits, (4 * i - 3).cast("int"), F.lit(4)), 16, 10).cast("long"))
+    units = F.when(F.length(digits) > 0, units).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(units, F.lit(FNV_START).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * FNV_PRIME, F.lit(1 << 32)))
 
 
 def content_fingerprint(text: Column, prefix: str = "domain-v1") -> Column:

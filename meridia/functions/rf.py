@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,3 +126,16 @@ def serviceability_failures(rsrp: Column, sinr: Column, rsrq: Column) -> Column:
 def quality_class(rsrp: Column, sinr: Column, rsrq: Column) -> Column:
     below = lambda a, b, c: (rsrp < a) | (sinr < b) | (rsrq < c)
     return F.when(below(-100, 0, -20), "poor").when(below(-90, 13, -15), "fair").when(below(-80, 20, -10), "good").otherwise("excellent")
+
+
+def crossing_m(start_m: Column, end_m: Column, sensitivity_dbm: Column, power_dbm: Callable[[Column], Column], steps: int = 32) -> Column:
+    """How far a power that falls with distance stays above the sensitivity: ``steps`` halvings of [start, end], the upper end of what is
+    left. ``power_dbm`` is any column of the distance, so any registered loss can be asked."""
+    low = F.greatest(start_m, F.lit(0.0))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["low"] + s["high"]) / 2
+        usable = power_dbm(mid) > sensitivity_dbm
+        return F.struct(F.when(usable, mid).otherwise(s["low"]).alias("low"), F.when(usable, s["high"]).otherwise(mid).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(low.alias("low"), F.greatest(end_m, low).alias("high")), halve, lambda s: s["high"])

@@ -10,7 +10,7 @@ from meridia.operators.tables import new_folder
 from meridia.plans import lens
 from meridia.plans.buildings import _TALL
 from meridia.plans.registry import query
-from meridia.sources import geojson, inventory, packs, sinks, tables
+from meridia.sources import geojson, inventory, observations, packs, sinks, tables
 
 
 @query("geojson_buildings", f"WITH {lens.BUILDINGS}, {_TALL} SELECT building_id::VARCHAR AS id, height_m, evidence, 4 AS corners, {rounded_sql('lon - half', 7)} AS min_lon, {rounded_sql('lat + half', 7)} AS max_lat FROM tall")
@@ -43,10 +43,10 @@ def geojson_towers(spark, sf_dir):
 
 @query("inventory_cells", f"WITH {lens.CELLS} SELECT 'c' || cell_id AS id, tech, ghz, mhz, radius_m, azimuth, {rounded_sql('lon', 7)} AS lon, {rounded_sql('lat', 7)} AS lat, NULL::VARCHAR AS problem FROM lens_cells")
 def inventory_cells(spark, sf_dir):
-    """An inventory as CSV with other names of its columns, and back. At most 10,000 cells, which is the feature's own bound."""
+    """Inventories as CSV with other names of their columns, and back: a file for each 5,000 cells, as a file has 10,000 at most."""
     at = new_folder(spark, "inventory") + ".csv"
     c = lens.cells(spark, sf_dir)
-    c.select(F.concat(F.lit("c"), F.col("cell_id").cast("string")).alias("ID"), F.col("lon").alias("Longitude"), F.col("lat").alias("latitude"), F.upper("tech").alias("radio_type"), F.col("ghz").alias("frequencyGHz"), F.col("mhz").alias("bandwidth_mhz"), "radius_m", F.col("azimuth").alias("orientation_deg")).write.csv(at, header=True)
+    c.select(F.concat(F.lit("c"), F.col("cell_id").cast("string")).alias("ID"), F.col("lon").alias("Longitude"), F.col("lat").alias("latitude"), F.upper("tech").alias("radio_type"), F.col("ghz").alias("frequencyGHz"), F.col("mhz").alias("bandwidth_mhz"), "radius_m", F.col("azimuth").alias("orientation_deg")).write.option("maxRecordsPerFile", 5000).csv(at, header=True)
     r = inventory.inventory(spark, at)
     return r.select("id", "tech", "ghz", "mhz", "radius_m", "azimuth", rounded(F.col("lon"), 7).alias("lon"), rounded(F.col("lat"), 7).alias("lat"), "problem")
 
@@ -112,3 +112,40 @@ def gas_absorption(spark, sf_dir):
     points = lens.cells(spark, sf_dir).select("cell_id", (20.0 + k % 180).alias("ghz"), (1013.25 - k % 200).alias("dry_hpa"), (270.0 + k % 40).alias("kelvin"), (k % 20).cast("double").alias("grams_m3"))
     a = gas.absorption(points, spark.createDataFrame(list(gas.OXYGEN_LINES), list(gas.OXYGEN)), spark.createDataFrame(list(gas.WATER_LINES), list(gas.WATER)), ["cell_id"])
     return a.select("cell_id", *(rounded(F.col(c), 6).alias(c) for c in ("oxygen", "water", "dry")))
+
+
+#: A campaign a line: groups of 512 samples; every fifth line is followed by one that is no JSON.
+_CAMPAIGN = 512
+
+
+@query("campaign_observations", f"""WITH {lens.SAMPLES}, k AS (SELECT *, sample_id AS k, sample_id // {_CAMPAIGN} AS g FROM lens_samples),
+ e AS (SELECT *, CASE WHEN k % 3 = 0 THEN ghz WHEN g % 2 = 0 THEN 28.0::DOUBLE END AS f, ['path_loss', 'path_gain', 'received_power', 'another'][k % 4 + 1] AS quantity, k % 7 = 0 AS unflagged FROM k),
+ r AS (SELECT *, CASE quantity WHEN 'path_loss' THEN CASE WHEN unflagged THEN 'flags_missing' END WHEN 'path_gain' THEN CASE WHEN unflagged THEN 'flags_missing' END WHEN 'received_power' THEN CASE WHEN unflagged AND g % 4 = 3 THEN 'not_calibrated' END ELSE 'quantity' END AS reason FROM e)
+ SELECT 'm' || k AS measurement_id, f AS ghz, CASE WHEN k % 5 = 0 THEN 'los' WHEN g % 3 <> 0 THEN 'nlos' END AS los, CASE WHEN k % 5 = 0 THEN 'seen' WHEN g % 3 <> 0 THEN 'map' END AS los_source, CASE WHEN k % 2 = 0 THEN 'suburban' ELSE 'urban_high_rise' END AS morphology, CASE WHEN k % 2 = 0 THEN 'site' ELSE 'map' END AS morphology_source,
+  CASE WHEN k % 6 = 0 THEN 300.0::DOUBLE WHEN g % 2 = 0 THEN 280.0::DOUBLE + g % 20 END AS kelvin, {rounded_sql("CASE WHEN reason IS NULL THEN CASE quantity WHEN 'received_power' THEN 30.0 + 10.0 + 2.0 - 1.0 - 0.5 - rsrp ELSE 100.0 + residual END END", 4)} AS measured_db, reason FROM r
+ UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'invalid_json' FROM (SELECT DISTINCT g FROM k WHERE g % 5 = 0)""")
+def campaign_observations(spark, sf_dir):
+    """Measurements as campaigns of JSON, one a line, and back through the data source: each value from the record, its site or its campaign."""
+    k = F.col("sample_id")
+    g = F.floor(k / _CAMPAIGN)
+    flag = F.when(k % 7 != 0, F.lit(True))
+    record = F.struct(
+        F.concat(F.lit("m"), k.cast("string")).alias("measurement_id"), F.when(k % 2 == 0, "s0").alias("site_id"), F.when(k % 3 == 0, F.col("ghz")).alias("frequency_ghz"), F.element_at(F.array(*map(F.lit, ("path_loss", "path_gain", "received_power", "another"))), (k % 4 + 1).cast("int")).alias("measurement_quantity"),
+        (100.0 + F.col("residual")).alias("measured_path_loss_db"), (-100.0 - F.col("residual")).alias("measured_path_gain_db"), F.col("rsrp").alias("measured_received_power_dbm"), flag.alias("antenna_gain_embedded"), flag.alias("cable_loss_embedded"), flag.alias("calibration_applied"),
+        F.when(k % 5 == 0, F.struct(F.lit("Line_of_Sight").alias("los_nlos"), F.lit("seen").alias("los_nlos_source"))).alias("labels"), F.when(k % 6 == 0, F.struct(F.lit(300.0).alias("temperature_k"))).alias("weather"),
+    )
+    one = lens.samples(spark, sf_dir).groupBy(g.alias("g")).agg(F.collect_list(record).alias("measurements"))  # at most _CAMPAIGN records
+    x = F.col("g")
+    campaign = F.struct(
+        F.concat(F.lit("c"), x.cast("string")).alias("campaign_id"), F.struct(F.lit(28.0).alias("min_ghz"), F.when(x % 2 == 0, 28.0).otherwise(30.0).alias("max_ghz")).alias("frequency_range_ghz"),
+        F.struct(F.when(x % 3 != 0, "NLOS").alias("los_state"), F.lit("map").alias("los_source"), F.lit("highrise").alias("morphology"), F.lit("map").alias("morphology_source")).alias("environment"),
+        F.struct(F.lit("isotropic").alias("directionality"), F.lit(observations.BASES[0]).alias("comparison_basis"), F.lit(10.0).alias("tx_gain_dbi"), F.lit(2.0).alias("rx_gain_dbi")).alias("antenna_setup"),
+        F.struct(F.lit(30.0).alias("conducted_tx_power_dbm"), F.lit(1.0).alias("tx_cable_loss_db"), F.lit(0.5).alias("rx_cable_loss_db"), (x % 4 != 3).alias("receiver_calibration_applied")).alias("calibration"),
+        F.when(x % 2 == 0, F.struct((280.0 + x % 20).alias("temperature_k"))).alias("weather"), F.array(F.struct(F.lit("s0").alias("site_id"), F.lit("suburban").alias("morphology"), F.lit("site").alias("morphology_source"))).alias("sites"), "measurements",
+    )
+    line = F.explode(F.when(x % 5 == 0, F.array(F.to_json(campaign), F.lit("{no json"))).otherwise(F.array(F.to_json(campaign))))
+    at = new_folder(spark, "campaigns")
+    one.select(line.alias("value")).write.text(at)
+    observations.register(spark)
+    m = observations.normalised(spark.read.format("observations").option("lines", "true").load(at))
+    return m.select("measurement_id", "ghz", "los", "los_source", "morphology", "morphology_source", "kelvin", rounded(F.col("measured_db"), 4).alias("measured_db"), "reason")

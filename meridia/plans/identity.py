@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from meridia.functions import identity
+from meridia.functions import canonical, identity
 from meridia.functions.numeric import rounded, rounded_sql
 from meridia.plans import lens
 from meridia.plans.registry import query
@@ -23,6 +23,20 @@ def scenario_fingerprints(spark, sf_dir):
     return c.select("cell_id", identity.fingerprint(settings).alias("fingerprint"), identity.content_fingerprint(short).alias("content_id"), (identity.fnv1a(short) % 1200).alias("offset_ms"))
 
 
+_JSON = """'{"antenna":{"azimuth":' || azimuth::BIGINT || ',"tech":"' || tech || '"},"bands":[' || regexp_replace(ghz::VARCHAR, '\\.0$', '') || ',' || regexp_replace((mhz / 1000)::VARCHAR, '\\.0$', '') || '],"id":' || cell_id || ',"note":' || CASE WHEN cell_id % 3 = 0 THEN 'null' ELSE '"a \\"' || channel || '\\"\\n"' END || '}'"""
+
+
+@query("canonical_scenarios", f"""WITH {lens.CELLS}, t AS (SELECT cell_id, {_JSON} AS said FROM lens_cells) SELECT cell_id, said, 'domain-v1-' || lpad(lower(to_hex({_FNV.replace('TEXT', 'said')})), 8, '0') AS content_id, 'network-' || left(sha256(said), 32) AS fingerprint FROM t""")
+def canonical_scenarios(spark, sf_dir):
+    """Nested settings as canonical JSON (sorted names, numbers as a browser writes them) and their two fingerprints; what only a screen needs is left out."""
+    note = F.when(F.col("cell_id") % 3 != 0, F.concat(F.lit('a "'), F.col("channel"), F.lit('"\n')))
+    scenario = F.struct(note.alias("note"), F.array("ghz", F.col("mhz") / 1000).alias("bands"), F.struct("tech", F.col("azimuth").cast("long").alias("azimuth"), F.lit(True).alias("selected")).alias("antenna"), F.col("cell_id").alias("id"), F.lit(1.5).alias("selected"))
+    c = lens.cells(spark, sf_dir).select("cell_id", scenario.alias("s"))
+    kind, screen = c.schema["s"].dataType, frozenset({"selected"})
+    said = canonical.serialised(F.col("s"), kind, screen)
+    return c.select("cell_id", said.alias("said")).select("cell_id", "said", identity.content_fingerprint(F.col("said")).alias("content_id"), F.concat(F.lit("network-"), F.substring(F.sha2("said", 256), 1, 32)).alias("fingerprint"))
+
+
 @query("bounded_identifiers", "SELECT p_partkey AS id, CASE WHEN strlen(t) <= 40 THEN t ELSE left(t, 27) || '-' || left(sha256(t), 12) END AS code FROM (SELECT *, repeat(p_name || ' ', (1 + p_partkey % 6)::INTEGER) AS t FROM part)")
 def bounded_identifiers(spark, sf_dir):
     text = F.repeat(F.concat("p_name", F.lit(" ")), (1 + F.col("p_partkey") % 6).cast("int"))

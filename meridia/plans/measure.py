@@ -91,7 +91,7 @@ def fold_bias_cv(spark, sf_dir):
     f = stats.spatial_folds(lens.samples(spark, sf_dir).select("sample_id", "lon", "lat", "residual")).select("fold", "residual")
     # each row goes to the four training sets that it is not held out of
     train = f.withColumn("held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k != F.col("fold"))))
-    bias = train.groupBy(F.col("held").cast("long").alias("fold")).agg(F.median("residual").alias("correction"))
+    bias = stats.quantiles(train.select(F.col("held").cast("long").alias("fold"), "residual"), ["fold"], "residual", {"correction": 0.5})
     after = F.col("residual") - F.col("correction")
     return f.join(bias, "fold").groupBy("fold").agg(F.count("*").alias("n"), rounded(F.first("correction"), 4).alias("correction"), rounded(F.sqrt(F.avg(F.col("residual") * F.col("residual"))), 4).alias("rmse_before"), rounded(F.sqrt(F.avg(after * after)), 4).alias("rmse_after"))
 
@@ -129,7 +129,10 @@ def group_holdout(spark, sf_dir):
 
 @query("distribution", f"{_W} SELECT los, count(*)::BIGINT AS n, min(rsrp) AS least, {', '.join(rounded_sql(f'quantile_cont(rsrp, {p})', 5) + f' AS p{int(p * 100)}' for p in (0.01, 0.1, 0.5, 0.75, 0.9, 0.99))}, {rounded_sql('avg(rsrp)', 4)} AS mean, {rounded_sql('stddev_pop(rsrp)', 4)} AS deviation, max(rsrp) AS most FROM lens_samples GROUP BY los")
 def distribution(spark, sf_dir):
-    return lens.samples(spark, sf_dir).groupBy("los").agg(F.count("*").alias("n"), F.min("rsrp").alias("least"), *(rounded(stats.linear_quantile("rsrp", p), 5).alias(f"p{int(p * 100)}") for p in (0.01, 0.1, 0.5, 0.75, 0.9, 0.99)), rounded(F.avg("rsrp"), 4).alias("mean"), rounded(F.stddev_pop("rsrp"), 4).alias("deviation"), F.max("rsrp").alias("most"))
+    s = lens.samples(spark, sf_dir).select("los", "rsrp")
+    q = stats.quantiles(s, ["los"], "rsrp", {f"p{int(p * 100)}": p for p in (0.01, 0.1, 0.5, 0.75, 0.9, 0.99)})
+    m = s.groupBy("los").agg(F.count("*").alias("n"), F.min("rsrp").alias("least"), rounded(F.avg("rsrp"), 4).alias("mean"), rounded(F.stddev_pop("rsrp"), 4).alias("deviation"), F.max("rsrp").alias("most"))
+    return m.join(q, "los").select("los", "n", "least", *(rounded(F.col(c), 5).alias(c) for c in q.columns if c != "los"), "mean", "deviation", "most")
 
 
 @query("binned_distribution", f"{_W}, b(low) AS (SELECT range * 10 - 150 FROM range(12)) SELECT low::BIGINT AS low, count(rsrp)::BIGINT AS n FROM b LEFT JOIN lens_samples ON rsrp >= low AND rsrp < low + 10 GROUP BY low")

@@ -210,3 +210,28 @@ def demand_interference(spark, sf_dir):
     bad = inside.join(q, "sample_id", "left").where(~F.coalesce("serviceable", F.lit(False)))
     one = lambda x, to: rounded(x, 1).alias(to)
     return bad.select(F.col("sample_id").alias("building_id"), "cell_id", one(F.col("demand"), "demand"), one(F.col("residential"), "residential"), one(F.col("demand") + F.col("residential"), "total_demand"), rounded(F.col("sinr"), 3).alias("sinr"))
+
+
+#: Received power of a cell by distance d, by three models.
+_POWERS = {
+    "free_space": f"{radio.POWER_DBM + radio.GAIN_DBI} - (20 * log10(greatest(sqrt(d * d + {(TX - RX) ** 2}), 1.0)) + 20 * log10(ghz) + 32.45) - {_WALL}",
+    "urban": f"{radio.POWER_DBM + radio.GAIN_DBI} - {_SEEN.replace('distance_m', 'd')}",
+    "street": f"{radio.POWER_DBM + radio.GAIN_DBI} - (10 * 4.52 * log10(greatest(d, 1.0)) + 6.04 + 10 * 2.14 * log10(ghz))",
+}
+
+
+@query("sensitivity_crossing", f"""WITH RECURSIVE {lens.CELLS}, c AS (SELECT cell_id, ghz, model, -115.0::DOUBLE + cell_id % 60 AS least FROM lens_cells, (VALUES ('free_space'), ('urban'), ('street')) m(model)),
+ b(cell_id, model, ghz, least, i, low, high) AS (SELECT cell_id, model, ghz, least, 0, 10.0::DOUBLE, 20000.0::DOUBLE + cell_id FROM c UNION ALL
+  SELECT cell_id, model, ghz, least, i + 1, CASE WHEN p > least THEN d ELSE low END, CASE WHEN p > least THEN high ELSE d END FROM (SELECT *, CASE model {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _POWERS.items())} END AS p FROM (SELECT *, (low + high) / 2 AS d FROM b WHERE i < 32)))
+ SELECT cell_id, model, {rounded_sql('high', 3)} AS crossing_m FROM b WHERE i = 32""")
+def sensitivity_crossing(spark, sf_dir):
+    """Where a cell's power falls to a receiver's sensitivity, by bisection over three losses: free space with a wall, urban, street."""
+    c, ghz = lens.cells(spark, sf_dir), F.col("ghz")
+    power = {
+        "free_space": lambda d: radio.POWER_DBM + radio.GAIN_DBI - rf.free_space_loss(rf.slant_m(d, F.lit(TX), F.lit(RX)), ghz) - rf.wall_loss(ghz),
+        "urban": lambda d: radio.POWER_DBM + radio.GAIN_DBI - rf.urban_loss(d, rf.slant_m(d, F.lit(TX), F.lit(RX)), ghz, F.lit(TX), F.lit(RX), F.lit(True)),
+        "street": lambda d: radio.POWER_DBM + radio.GAIN_DBI - (10 * 4.52 * F.log10(F.greatest(d, F.lit(1.0))) + 6.04 + 10 * 2.14 * F.log10(ghz)),
+    }
+    least = -115.0 + F.col("cell_id") % 60
+    found = F.array(*(F.struct(F.lit(k).alias("model"), rf.crossing_m(F.lit(10.0), 20000.0 + F.col("cell_id"), least, p).alias("m")) for k, p in power.items()))
+    return c.select("cell_id", F.explode(found).alias("x")).select("cell_id", "x.model", rounded(F.col("x.m"), 3).alias("crossing_m"))

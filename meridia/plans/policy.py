@@ -143,7 +143,7 @@ def demeaned_comparison(spark, sf_dir):
     """Two terrain sources at common points: raw difference, and difference after each source's median is taken off."""
     z = evidence.bilinear(lens.samples(spark, sf_dir).select("sample_id", "lon", "lat"), evidence.raster(spark, sf_dir), ["sample_id"])
     p = z.where("z IS NOT NULL AND sample_id % 10 <> 0").select(F.col("z").alias("a"), (F.col("z") + (F.col("sample_id") % 21) / 10.0 - 0.4).alias("b"))
-    m = p.agg(F.median("a").alias("ma"), F.median("b").alias("mb"))
+    m = stats.quantiles(p, [], "a", {"ma": 0.5}).join(stats.quantiles(p, [], "b", {"mb": 0.5}))
     q = p.join(F.broadcast(m))  # one row
     return q.agg(F.count("*").alias("n"), rounded(F.any_value("mb") - F.any_value("ma"), 4).alias("offset_m"), rounded(F.avg(F.col("b") - F.col("a")), 4).alias("bias"), rounded(F.avg(F.abs((F.col("b") - F.col("mb")) - (F.col("a") - F.col("ma")))), 4).alias("relative_mae"))
 

@@ -21,33 +21,34 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(place, id, cell_id, lon, lat, tech, ghz, mhz, power_dbm, radius_m, beam_deg, azimuth, simulated, problem) in file order.
 
     An id that occurs again gets a number behind it; a missing one is ``imported-`` and its place. ``problem`` names the first
-    rule a row breaks. More than MOST_CELLS rows are an error.
+    rule a row breaks. A path may hold many inventories: each file is one, with places and ids of its own (the last column is
+    ``file``), and more than MOST_CELLS rows in one are an error.
     """
     if path.lower().endswith(".csv"):
         raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
         pairs = [x for c in raw.columns for x in (F.lit(c.strip().lstrip("﻿").lower()), F.col(f"`{c}`"))]
-        rows = raw.select(F.monotonically_increasing_id().alias("at"), F.create_map(*pairs).alias("tags"), F.lit(None).cast("array<double>").alias("point"))
+        rows = raw.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.create_map(*pairs).alias("tags"), F.lit(None).cast("array<double>").alias("point"))
     else:
         f = geojson.features(spark, path).where("kind = 'Point'")
         own = F.map_filter("tags", lambda k, v: v.isNotNull())
-        rows = f.select(F.col("index").alias("at"), own.alias("tags"), F.from_json("coordinates", "array<double>").alias("point"))
-    if not at_most(rows, MOST_CELLS):
+        rows = f.select(F.input_file_name().alias("file"), F.col("index").alias("at"), own.alias("tags"), F.from_json("coordinates", "array<double>").alias("point"))
+    if not rows.groupBy("file").count().where(F.col("count") > MOST_CELLS).isEmpty():
         raise ValueError(f"an inventory has at most {MOST_CELLS} cells")
     field = lambda name: F.coalesce(*(F.nullif(F.trim(F.try_element_at(F.col("tags"), F.lit(a))), F.lit("")) for a in ALIASES[name]))
     number = lambda name: field(name).try_cast("double")
-    rows = rows.withColumn("place", F.row_number().over(Window.orderBy("at")))  # at most MOST_CELLS rows
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("at")))
     wanted = F.coalesce(field("id"), F.concat(F.lit("imported-"), F.col("place").cast("string")))
     rows = rows.withColumn("wanted", wanted).withColumn("wanted_cell", F.coalesce(field("cell_id"), F.col("wanted")))
 
     def unique(column: str):
-        k = F.row_number().over(Window.partitionBy(column).orderBy("place"))
+        k = F.row_number().over(Window.partitionBy("file", column).orderBy("place"))
         return F.concat(column, F.when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise(""))
 
     lon, lat = F.coalesce(F.get("point", F.lit(0)), number("lon")), F.coalesce(F.get("point", F.lit(1)), number("lat"))
     problem = F.when(~F.coalesce(lon.between(-180, 180) & lat.between(-90, 90), F.lit(False)), "invalid_coordinates").when((F.octet_length("wanted") > MOST_ID_BYTES) | (F.octet_length("wanted_cell") > MOST_ID_BYTES), "id_too_long")
     return rows.select(
         "place", unique("wanted").alias("id"), unique("wanted_cell").alias("cell_id"), lon.alias("lon"), lat.alias("lat"), F.lower(field("tech")).alias("tech"), *(number(n).alias(n) for n in ("ghz", "mhz", "power_dbm", "radius_m", "beam_deg", "azimuth")),
-        F.coalesce(field("simulated").try_cast("boolean"), F.lit(False)).alias("simulated"), problem.alias("problem"),
+        F.coalesce(field("simulated").try_cast("boolean"), F.lit(False)).alias("simulated"), problem.alias("problem"), "file",
     )
 
 
