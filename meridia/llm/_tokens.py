@@ -18,7 +18,7 @@ WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LET
 
 
 #: Pieces of one generation; of two at most, what is not asked for again goes with the older.
-PIECES = 400_000
+PIECES = 150_000
 
 
 def _byte_letters() -> dict[int, str]:
