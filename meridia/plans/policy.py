@@ -50,18 +50,22 @@ def error_patterns(spark, sf_dir):
 _SHIFT = "(strategy_i * 0.5 + statistic_i * 0.75)"
 _POLICY = f"""WITH {_EXTRACTED}, s AS (SELECT strategy, strategy_i, strategy_cost, statistic, statistic_i, statistic_cost FROM (SELECT unnest({list(STRATEGIES)}) AS strategy, unnest(range({len(STRATEGIES)})) AS strategy_i, unnest({[float(v) for v in STRATEGIES.values()]}::DOUBLE[]) AS strategy_cost), (SELECT unnest({list(STATISTICS)}) AS statistic, unnest(range({len(STATISTICS)})) AS statistic_i, unnest({[float(v) for v in STATISTICS.values()]}::DOUBLE[]) AS statistic_cost)),
  e AS (SELECT s.*, source, pixels, abs(external_m - height_m + {_SHIFT}) AS size FROM x, s WHERE external_m IS NOT NULL),
- g AS (SELECT strategy, statistic, any_value(strategy_cost) + any_value(statistic_cost) AS cost, count(*)::BIGINT AS usable, count(*) FILTER (pixels = 1) / count(*)::DOUBLE AS single, coalesce(avg(size) FILTER (source = 'observed_tag'), 0) + coalesce(avg(size) FILTER (source = 'derived_from_levels'), 0) AS agreement FROM e GROUP BY strategy, statistic)"""
+ g AS (SELECT strategy, statistic, any_value(strategy_cost) + any_value(statistic_cost) AS cost, count(*)::BIGINT AS usable, count(*) FILTER (pixels = 1) / count(*)::DOUBLE AS single, coalesce(avg(size) FILTER (source = 'observed_tag'), 0) + coalesce(avg(size) FILTER (source = 'derived_from_levels'), 0) + 0.25 * coalesce(quantile_cont(size, 0.9) FILTER (source = 'observed_tag'), 0) + 0.25 * coalesce(quantile_cont(size, 0.9) FILTER (source = 'derived_from_levels'), 0) AS agreement FROM e GROUP BY strategy, statistic)"""
 
 
 @query("policy_choice", f"{_POLICY}, r AS (SELECT strategy, statistic, usable, {rounded_sql('single', 6)} AS single_share, {rounded_sql('agreement + single + cost', 6)} AS score FROM g) SELECT *, row_number() OVER (ORDER BY score, usable DESC, strategy, statistic)::INTEGER AS place FROM r")
 def policy_choice(spark, sf_dir):
-    """Sampling strategies and statistics by a score of disagreement, single-pixel support and fixed costs; place 1 is chosen."""
+    """Sampling strategies and statistics by a score of disagreement (mean, and a quarter of the ninetieth percentile, by source), single-pixel
+    support and fixed costs; place 1 is chosen."""
     rows = [(a, i, float(x), b, j, float(y)) for i, (a, x) in enumerate(STRATEGIES.items()) for j, (b, y) in enumerate(STATISTICS.items())]
     s = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("strategy", "i", "strategy_cost", "statistic", "j", "statistic_cost"), r))) for r in rows))
     e = extracted(spark, sf_dir).where("external_m IS NOT NULL").withColumn("s", F.explode(s))
     size = F.abs(F.col("external_m") - F.col("height_m") + (F.col("s.i") * 0.5 + F.col("s.j") * 0.75))
     of = lambda source: F.coalesce(F.avg(F.when(F.col("source") == source, size)), F.lit(0.0))
     g = e.groupBy(F.col("s.strategy").alias("strategy"), F.col("s.statistic").alias("statistic")).agg(F.any_value(F.col("s.strategy_cost") + F.col("s.statistic_cost")).alias("cost"), F.count("*").alias("usable"), (F.count_if(F.col("pixels") == 1) / F.count("*")).alias("single"), (of("observed_tag") + of("derived_from_levels")).alias("agreement"))
+    known = e.where(F.col("source").isin("observed_tag", "derived_from_levels")).select(F.col("s.strategy").alias("strategy"), F.col("s.statistic").alias("statistic"), "source", size.alias("size"))
+    tail = stats.quantiles(known, ["strategy", "statistic", "source"], "size", {"p90": 0.9}).groupBy("strategy", "statistic").agg(F.sum(0.25 * F.col("p90")).alias("tail"))
+    g = g.join(tail, ["strategy", "statistic"], "left").withColumn("agreement", F.col("agreement") + F.coalesce("tail", F.lit(0.0)))
     r = g.select("strategy", "statistic", "usable", rounded(F.col("single"), 6).alias("single_share"), rounded(F.col("agreement") + F.col("single") + F.col("cost"), 6).alias("score"))
     return r.withColumn("place", F.row_number().over(Window.orderBy("score", F.desc("usable"), "strategy", "statistic")))  # 24 rows
 
