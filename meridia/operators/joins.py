@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 CELL = 0.005
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt by columns to as many partitions as shuffles have. For rows that are about to multiply: a small file is one split, and small
+    shuffles are joined again, so one task would make all that comes of them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def cells_of(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column, size: float = CELL) -> Column:
     """Array of structs (gx, gy): the grid cells that a box touches."""
     at = lambda x: F.floor(x / size).cast("long")
