@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meridia.functions import geo, rf, tags
 from meridia.functions.numeric import rounded, rounded_sql
 from meridia.operators.joins import box_join, merged_intervals, overlap_join, top_rows
+from meridia.operators.paging import page
 from meridia.plans import lens, radio
 from meridia.plans.registry import query
 
@@ -20,6 +21,18 @@ def bbox_extract(spark, sf_dir):
     return lens.cells(spark, sf_dir).where(F.col("lon").between(32.85, 32.95) & F.col("lat").between(39.95, 40.05)).select("cell_id", "tech", "lon", "lat")
 
 
+#: A page of a scan: rows left out before it, and rows of it.
+OFFSET, LIMIT = 20, 50
+
+
+@query("building_page", f"""WITH {lens.BUILDINGS}, m AS (SELECT building_id, lon, lat, row_number() OVER (ORDER BY building_id) - 1 AS place, count(*) OVER () AS n FROM lens_buildings WHERE lon BETWEEN 32.82 AND 32.98 AND lat BETWEEN 39.92 AND 40.08)
+ SELECT building_id, place::BIGINT AS place, n::BIGINT AS number_matched, n > {OFFSET + LIMIT} AS truncated, CASE WHEN n > {OFFSET + LIMIT} THEN {OFFSET + LIMIT} END::BIGINT AS next_offset FROM m WHERE place >= {OFFSET} AND place < {OFFSET + LIMIT}""")
+def building_page(spark, sf_dir):
+    """A page of the buildings inside a box in order of id (offset and limit are the feature), with how many match and where the next page begins."""
+    b = lens.buildings(spark, sf_dir).where(F.col("lon").between(32.82, 32.98) & F.col("lat").between(39.92, 40.08)).select("building_id")
+    return page(b, ["building_id"], OFFSET, LIMIT)
+
+
 @query("conditional_union_dedup", f"""WITH {_C}, s AS (SELECT *, tech = '4g' AS simulated FROM lens_cells WHERE tech = '5g' OR (SELECT count(*) FROM lens_cells WHERE tech = '5g') < {FEW_5G})
  SELECT channel, radius_m, azimuth, min(cell_id) AS cell_id, arg_min(simulated, cell_id) AS simulated FROM s GROUP BY channel, radius_m, azimuth""")
 def conditional_union_dedup(spark, sf_dir):

@@ -24,3 +24,16 @@ def test_running_and_followed(spark, n):
     line = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1]))
     got = {r.b: r.next and (r.next.a, r.next.v) for r in followed(df, ["a", "b"], ["a", "v"]).collect()}
     assert got == {r[1]: (line[i + 1][0], line[i + 1][2]) if i + 1 < n else None for i, r in enumerate(line)}
+
+
+def test_pages(spark):
+    from meridia.operators.paging import page
+
+    df = spark.range(0, 230).selectExpr("id * 7 % 230 AS k")
+    seen, offset = [], 0
+    while offset is not None:
+        rows = sorted(page(df, ["k"], offset, 100).collect(), key=lambda r: r.place)
+        assert all(r.number_matched == 230 and r.truncated == (offset < 130) for r in rows) and [r.place for r in rows] == list(range(offset, min(230, offset + 100)))
+        seen += [r.k for r in rows]
+        offset = rows[0].next_offset
+    assert seen == list(range(230)) and page(df, ["k"], 500, 10).count() == 0 == page(df.where("false"), ["k"]).count()
