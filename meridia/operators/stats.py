@@ -97,3 +97,33 @@ def median_bounds(df: DataFrame, column: str = "residual") -> DataFrame:
     run = running(tally, [column], "upto", F.col("k"))
     at = lambda r: F.min(F.when(F.col("upto") > F.col(r), F.col(column)))
     return run.join(n).groupBy("n").agg(at("lo").alias("lower"), at("hi").alias("upper"))
+
+
+#: What a bias correction needs (samples, 50 m squares, their span in metres) and the most it may be in dB.
+LEAST_SAMPLES, LEAST_SQUARES, LEAST_SPAN_M, MOST_OFFSET_DB = 20, 5, 100.0, 40.0
+
+
+def calibration(df: DataFrame, offset_db: float = 0.0, expired: bool = False) -> DataFrame:
+    """One row: whether the median of ``residual`` is fit to correct samples (sample_id, lon, lat, residual), and the first gate that says no.
+
+    Gates in order: too few samples, too few or too narrow squares, a total beyond the range, expired provenance, and no better error
+    on spatial folds that the correction was not taken from. With the errors before and after, and the correction if all agree.
+    """
+    f = spatial_folds(df.where("residual IS NOT NULL")).select("gx", "gy", "fold", "lon", "lat", "residual")
+    squares = f.groupBy("gx", "gy").agg(F.count("*").alias("n"))
+    wide = (F.max("gx") - F.min("gx") + 1) * 50.0
+    high = (F.max("gy") - F.min("gy") + 1) * 50.0
+    whole = squares.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("squares"), F.coalesce(F.greatest(wide, high), F.lit(0.0)).alias("span_m"))
+    train = f.withColumn("held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k != F.col("fold"))))
+    bias = quantiles(train.select(F.col("held").cast("long").alias("fold"), "residual"), ["fold"], "residual", {"correction": 0.5})
+    e = f.join(bias, "fold").select(F.abs("residual").alias("before"), F.abs(F.col("residual") - F.col("correction")).alias("after"))
+    errors = e.agg(F.avg("before").alias("mae_before"), F.avg("after").alias("mae_after"))
+    tails = quantiles(e, [], "after", {"p50": 0.5, "p90": 0.9})
+    one = whole.join(quantiles(f, [], "residual", {"adjustment": 0.5})).join(errors).join(tails)  # a row each
+    total = F.lit(offset_db) + F.col("adjustment")
+    reason = (
+        F.when(F.col("n") < LEAST_SAMPLES, "too_few_samples").when((F.col("squares") < LEAST_SQUARES) | (F.col("span_m") < LEAST_SPAN_M), "spatial_diversity").when(F.abs(total) > MOST_OFFSET_DB, "out_of_range")
+        .when(F.lit(expired), "expired").when(~F.coalesce(F.col("mae_after") < F.col("mae_before"), F.lit(False)), "no_improvement")
+    )
+    fit = lambda x: F.when(reason.isNull(), x)
+    return one.select("n", "squares", "span_m", reason.isNull().alias("eligible"), reason.alias("reason"), *(F.col(c) for c in ("mae_before", "mae_after", "p50", "p90")), fit(F.col("adjustment")).alias("adjustment"), fit(total).alias("total_offset"))

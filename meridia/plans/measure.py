@@ -96,6 +96,18 @@ def fold_bias_cv(spark, sf_dir):
     return f.join(bias, "fold").groupBy("fold").agg(F.count("*").alias("n"), rounded(F.first("correction"), 4).alias("correction"), rounded(F.sqrt(F.avg(F.col("residual") * F.col("residual"))), 4).alias("rmse_before"), rounded(F.sqrt(F.avg(after * after)), 4).alias("rmse_after"))
 
 
+@query("bias_calibration", f"""{_FOLDS}, k AS (SELECT *, residual + 8.0 AS shifted FROM d), b AS (SELECT f.fold, median(k.shifted) AS correction FROM (SELECT DISTINCT fold FROM k) f JOIN k ON k.fold <> f.fold GROUP BY f.fold),
+ e AS (SELECT abs(shifted) AS before, abs(shifted - correction) AS after FROM k JOIN b USING (fold)), q AS (SELECT count(*)::BIGINT AS n, count(DISTINCT (gx, gy))::BIGINT AS squares, greatest(max(gx) - min(gx) + 1, max(gy) - min(gy) + 1) * 50.0 AS span_m, median(shifted) AS adjustment FROM k),
+ m AS (SELECT avg(before) AS mae_before, avg(after) AS mae_after, quantile_cont(after, 0.5) AS p50, quantile_cont(after, 0.9) AS p90 FROM e),
+ r AS (SELECT *, CASE WHEN n < 20 THEN 'too_few_samples' WHEN squares < 5 OR span_m < 100 THEN 'spatial_diversity' WHEN abs(2.0 + adjustment) > 40 THEN 'out_of_range' WHEN NOT mae_after < mae_before THEN 'no_improvement' END AS reason FROM q, m)
+ SELECT n, squares, span_m::DOUBLE AS span_m, reason IS NULL AS eligible, reason, {', '.join(f"{rounded_sql(c, 4)} AS {c}" for c in ('mae_before', 'mae_after', 'p50', 'p90'))}, CASE WHEN reason IS NULL THEN {rounded_sql('adjustment', 4)} END AS adjustment, CASE WHEN reason IS NULL THEN {rounded_sql('2.0 + adjustment', 4)} END AS total_offset FROM r""")
+def bias_calibration(spark, sf_dir):
+    """A bias correction of shifted residuals, let through by every gate or refused by the first."""
+    s = lens.samples(spark, sf_dir).select("sample_id", "lon", "lat", (F.col("residual") + 8.0).alias("residual"))
+    c = stats.calibration(s, 2.0)
+    return c.select("n", "squares", "span_m", "eligible", "reason", *(rounded(F.col(x), 4).alias(x) for x in ("mae_before", "mae_after", "p50", "p90", "adjustment", "total_offset")))
+
+
 @query("median_ci", f"""{_W}, s AS (SELECT residual, row_number() OVER (ORDER BY residual) - 1 AS i, count(*) OVER () AS n FROM lens_samples)
  SELECT n::BIGINT AS n, max(residual) FILTER (i = greatest(0, n // 2 - ceil(0.98 * sqrt(n)))) AS lower, max(residual) FILTER (i = least(n - 1, n // 2 + ceil(0.98 * sqrt(n)))) AS upper FROM s GROUP BY n""")
 def median_ci(spark, sf_dir):

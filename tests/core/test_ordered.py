@@ -37,3 +37,19 @@ def test_pages(spark):
         seen += [r.k for r in rows]
         offset = rows[0].next_offset
     assert seen == list(range(230)) and page(df, ["k"], 500, 10).count() == 0 == page(df.where("false"), ["k"]).count()
+
+
+def test_gates_of_a_calibration(spark):
+    from pyspark.sql import functions as F
+
+    from meridia.operators import stats
+
+    df = spark.range(0, 200).selectExpr("id AS sample_id", "32.0 + id * 0.0002 AS lon", "40.0D AS lat", "6.0 + id % 5 AS residual")
+    said = lambda d, *a: stats.calibration(d, *a).first()
+    good = said(df)
+    assert good.eligible and good.adjustment == 8.0 == good.total_offset and good.mae_after < good.mae_before and good.n == 200
+    assert said(df.where("sample_id < 19")).reason == "too_few_samples" and said(df.where("false")).reason == "too_few_samples"
+    assert said(df.withColumn("lon", F.lit(32.0))).reason == "spatial_diversity"
+    assert said(df, 33.0).reason == "out_of_range" and said(df, 0.0, True).reason == "expired"
+    bad = said(df.withColumn("residual", F.when(F.col("sample_id") % 2 == 0, 1.0).otherwise(-1.0)))
+    assert bad.reason == "no_improvement" and bad.adjustment is None
