@@ -11,7 +11,8 @@ after its first character, so no control string of a text is left and unescaping
 follows it) restores the text.
 
 Defined results: a null text is empty; a null conversation id is a conversation of its own; rows that repeat a turn are
-turns of their own, ordered by role and text; an empty log gives an empty result; other columns are never looked at.
+turns of their own, ordered by role and text; an empty log gives an empty result; other columns are never looked at. The query adds
+the probe's two turns to conversation -1: where the table has one of that number, they are turns of it, by their numbers.
 """
 
 from __future__ import annotations
