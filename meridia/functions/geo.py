@@ -85,10 +85,19 @@ def crossing(ax, ay, bx, by, e: Column) -> Column:
 
 
 def crossings(ax, ay, bx, by, ring: Column, apart: float = 0.0) -> Column:
-    """Ascending places where a segment meets a ring; of places closer than ``apart`` to one kept before, none is kept."""
+    """Ascending places where a segment meets a ring; of places closer than ``apart`` to one kept before, none is kept.
+    Rings of four are unrolled: lambdas are interpreted, plain arithmetic is compiled."""
     found = F.array_sort(F.filter(F.transform(edges(ring), lambda e: crossing(ax, ay, bx, by, e)), lambda t: t.isNotNull()))
     empty = F.array().cast("array<double>")
-    return F.aggregate(found, empty, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.try_element_at(kept, F.lit(-1)) > apart), F.concat(kept, F.array(t))).otherwise(kept))
+    each = F.aggregate(found, empty, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.try_element_at(kept, F.lit(-1)) > apart), F.concat(kept, F.array(t))).otherwise(kept))
+    return each if apart else F.when(F.size(ring) == 4, _crossings_of_four(ax, ay, bx, by, ring)).otherwise(each)
+
+
+def _crossings_of_four(ax, ay, bx, by, ring: Column) -> Column:
+    at = lambda i: F.get(ring, F.lit(i % 4))
+    sides = ({"ax": at(i)["lon"], "ay": at(i)["lat"], "bx": at(i + 1)["lon"], "by": at(i + 1)["lat"]} for i in range(4))
+    found = F.sort_array(F.array(*(crossing(ax, ay, bx, by, e) for e in sides)))
+    return F.array_except(found, F.array(F.lit(None).cast("double")))  # keeps the order; drops nulls and repeats
 
 
 def centroid(ring: Column) -> Column:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Side of a grid cell in degrees; about 550 m.
 CELL = 0.005
+#: The same for segments against small boxes; about 110 m.
+SEGMENT_CELL = 0.001
+#: The columns of a point's cell.
+GRID = ["_gx", "_gy"]
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
@@ -22,16 +26,18 @@ def cells_of(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column,
     return F.flatten(F.transform(columns, lambda x: F.transform(F.sequence(at(min_lat), at(max_lat)), lambda y: F.struct(x.alias("gx"), y.alias("gy")))))
 
 
-def box_join(points: DataFrame, lon: str, lat: str, boxes: DataFrame, bounds: tuple[Column, Column, Column, Column], size: float = CELL) -> DataFrame:
+def box_join(points: DataFrame, lon: str, lat: str, boxes: DataFrame, bounds: tuple[Column, Column, Column, Column], size: float = CELL, grid: bool = False) -> DataFrame:
     """Points with the boxes that hold them (closed on all sides): boxes are dealt to the cells they touch, points have one
-    cell, so a pair meets once. An equi-join: it is planned as a shuffle or, if a side turns out small, a broadcast, and AQE
-    splits crowded cells."""
+    cell, so a pair meets once. An equi-join: it is planned as a shuffle or, if a side turns out small, a broadcast. Both sides
+    are dealt by cell first, so that a table of one small file does not have all of its pairs made by one task; grouping by
+    GRID and the point then needs no shuffle of pairs, if ``grid`` keeps these columns."""
     at = lambda c: F.floor(F.col(c) / size).cast("long")
     b = boxes.withColumns({"_x0": bounds[0], "_y0": bounds[1], "_x1": bounds[2], "_y1": bounds[3]})
     b = b.withColumn("_c", F.explode(cells_of(F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), size))).select("*", F.col("_c.gx").alias("_gx"), F.col("_c.gy").alias("_gy")).drop("_c")
     p = points.withColumns({"_gx": at(lon), "_gy": at(lat)})
     inside = F.col(lon).between(F.col("_x0"), F.col("_x1")) & F.col(lat).between(F.col("_y0"), F.col("_y1"))
-    return p.join(b, ["_gx", "_gy"]).where(inside).drop("_gx", "_gy", "_x0", "_y0", "_x1", "_y1")
+    out = spread(p, *GRID).join(spread(b, *GRID), GRID).where(inside).drop("_x0", "_y0", "_x1", "_y1")
+    return out if grid else out.drop(*GRID)
 
 
 def overlap_join(left: DataFrame, left_bounds, right: DataFrame, right_bounds, size: float = CELL) -> DataFrame:
@@ -43,13 +49,53 @@ def overlap_join(left: DataFrame, left_bounds, right: DataFrame, right_bounds, s
         out = df.withColumns(names)
         return out.withColumn("_c", F.explode(cells_of(*(F.col(n) for n in names), size))).select("*", F.col("_c.gx").alias("_gx"), F.col("_c.gy").alias("_gy")).drop("_c")
 
-    both = dealt(left, left_bounds, "l").join(dealt(right, right_bounds, "r"), ["_gx", "_gy"])
+    both = spread(dealt(left, left_bounds, "l"), *GRID).join(spread(dealt(right, right_bounds, "r"), *GRID), GRID)
     x, y = F.greatest("_lx0", "_rx0"), F.greatest("_ly0", "_ry0")
     here = (F.floor(x / size) == F.col("_gx")) & (F.floor(y / size) == F.col("_gy"))
     meet = (x <= F.least("_lx1", "_rx1")) & (y <= F.least("_ly1", "_ry1"))
     return both.where(here & meet).drop("_gx", "_gy", *(f"_{k}{c}" for k in "lr" for c in ("x0", "y0", "x1", "y1")))
 
 
+def segment_join(segments: DataFrame, ends: tuple[Column, Column, Column, Column], boxes: DataFrame, bounds, size: float = SEGMENT_CELL) -> DataFrame:
+    """Segments (ax, ay, bx, by) with the boxes that they touch (a hair is added, so an exact test may follow), each pair once.
+
+    A segment is dealt to the cells that it passes, column by column, not to those of its box, so a long slanted one meets few
+    strangers. A pair is kept in the cell where the segment enters the box. All that is done on pairs is plain arithmetic."""
+    at = lambda x: F.floor(x / size).cast("long")
+    eps = 1e-9
+    s = segments.withColumns(dict(zip(("_ax", "_ay", "_dx", "_dy"), (ends[0], ends[1], ends[2] - ends[0], ends[3] - ends[1]))))
+    west, east = F.least(F.col("_ax"), F.col("_ax") + F.col("_dx")), F.greatest(F.col("_ax"), F.col("_ax") + F.col("_dx"))
+    south, north = F.least(F.col("_ay"), F.col("_ay") + F.col("_dy")), F.greatest(F.col("_ay"), F.col("_ay") + F.col("_dy"))
+    slope = F.when(F.abs("_dx") > eps, F.col("_dy") / F.when(F.abs("_dx") > eps, F.col("_dx")).otherwise(1.0))
+
+    def rows(x: Column) -> Column:
+        # the latitudes of the segment inside this column; all of them where it goes straight north
+        left, right = F.greatest(west, x * size) - eps, F.least(east, (x + 1) * size) + eps
+        y0, y1 = F.col("_ay") + (left - F.col("_ax")) * F.col("_slope"), F.col("_ay") + (right - F.col("_ax")) * F.col("_slope")
+        low = F.greatest(F.coalesce(F.least(y0, y1), south), south) - 10 * eps
+        high = F.least(F.coalesce(F.greatest(y0, y1), north), north) + 10 * eps
+        return F.transform(F.sequence(at(F.least(low, high)), at(F.greatest(low, high))), lambda y: F.struct(x.alias("gx"), y.alias("gy")))
+
+    s = s.withColumn("_slope", slope)
+    s = s.withColumn("_c", F.explode(F.flatten(F.transform(F.sequence(at(west - 2 * eps), at(east + 2 * eps)), rows)))).select("*", F.col("_c.gx").alias("_gx"), F.col("_c.gy").alias("_gy")).drop("_c", "_slope")
+    names = dict(zip(("_x0", "_y0", "_x1", "_y1"), bounds))
+    b = boxes.withColumns(names)
+    b = b.withColumn("_c", F.explode(cells_of(F.col("_x0") - 2 * eps, F.col("_y0") - 2 * eps, F.col("_x1") + 2 * eps, F.col("_y1") + 2 * eps, size))).select("*", F.col("_c.gx").alias("_gx"), F.col("_c.gy").alias("_gy")).drop("_c")
+    both = spread(s, "_gx", "_gy").join(spread(b, "_gx", "_gy"), ["_gx", "_gy"])
+
+    def span(a: str, d: str, lo: str, hi: str) -> tuple[Column, Column]:
+        """When (as shares) a segment is between two lines; an empty span where it never is."""
+        moves, by = F.abs(d) > 1e-300, F.when(F.abs(d) > 1e-300, F.col(d)).otherwise(1.0)
+        p, q = (F.col(lo) - eps - F.col(a)) / by, (F.col(hi) + eps - F.col(a)) / by
+        inside = (F.col(a) >= F.col(lo) - eps) & (F.col(a) <= F.col(hi) + eps)
+        return F.when(moves, F.least(p, q)).when(inside, 0.0).otherwise(2.0), F.when(moves, F.greatest(p, q)).when(inside, 1.0).otherwise(-1.0)
+
+    (tx0, tx1), (ty0, ty1) = span("_ax", "_dx", "_x0", "_x1"), span("_ay", "_dy", "_y0", "_y1")
+    enters, leaves = F.greatest(F.lit(0.0), tx0, ty0), F.least(F.lit(1.0), tx1, ty1)
+    here = (at(F.col("_ax") + enters * F.col("_dx")) == F.col("_gx")) & (at(F.col("_ay") + enters * F.col("_dy")) == F.col("_gy"))
+    return both.where((enters <= leaves) & here).drop("_gx", "_gy", "_ax", "_ay", "_dx", "_dy", *names)
+
+
 def carried(df: DataFrame, keys: list[str], order: list, column: str, to: str) -> DataFrame:
     """The last value seen that is not null, per key in order (last observation carried forward)."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
