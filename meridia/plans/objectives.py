@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from meridia.functions import geo, rf
 from meridia.functions.numeric import ratio01, rounded
-from meridia.operators.tables import shared_table
+from meridia.operators.tables import checked_broadcast, shared_table
 from meridia.plans import lens, radio
-from meridia.plans.network import contributions
+from meridia.plans import network as networks
 from meridia.plans.registry import query
 from meridia.plans.search import MOST_CELLS, TURN_DEG, TURNS, _bit, plans_of, start_states
 
@@ -47,9 +47,11 @@ class Request:
 
 
 def worth(contrib: DataFrame, plans: DataFrame, homes: DataFrame) -> DataFrame:
-    """(plan, masks, demand, homes, n): which azimuths of which places reach n buildings with this demand and these homes."""
-    bit = F.expr("shiftleft(1L, cast(azimuth / 10 as int))")
-    by_cell = contrib.join(plans, "cell_id").groupBy("plan", "building_id", "place").agg(F.bit_or(bit).alias("mask"), F.max("demand").alias("demand"))
+    """(plan, masks, demand, homes, n) of (cell_id, building_id, demand, mask), or of a row for each azimuth: which azimuths of which places reach n buildings with this demand and these homes."""
+    if "mask" not in contrib.columns:
+        bit = F.expr("shiftleft(1L, cast(azimuth / 10 as int))")
+        contrib = contrib.groupBy("cell_id", "building_id").agg(F.bit_or(bit).alias("mask"), F.max("demand").alias("demand"))
+    by_cell = contrib.join(checked_broadcast(plans), "cell_id")
     masks = F.array(*(F.coalesce(F.max(F.when(F.col("place") == i, F.col("mask"))), F.lit(0).cast("long")) for i in range(MOST_CELLS)))
     one = by_cell.groupBy("plan", "building_id").agg(masks.alias("masks"), F.max("demand").alias("demand")).join(homes, "building_id")
     return shared_table(one.groupBy("plan", "masks").agg(F.sum("demand").alias("demand"), F.sum("homes").alias("homes"), F.count("*").alias("n")), "worth")
@@ -258,7 +260,7 @@ def network(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     cells = lens.cells(spark, sf_dir)
     plans = plans_of(cells)
     homes = lens.buildings(spark, sf_dir).select("building_id", F.col("residential").alias("homes"))
-    return worth(contributions(spark, sf_dir), plans, homes), domain(lens.samples(spark, sf_dir), cells, plans), plans
+    return worth(networks.masks(spark, sf_dir), plans, homes), domain(lens.samples(spark, sf_dir), cells, plans), plans
 
 
 @query("objective_multistart")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from meridia.functions.numeric import rounded
 from meridia.operators.tables import checked_broadcast, shared_table
 from meridia.plans import lens
-from meridia.plans.network import contributions
+from meridia.plans.network import masks as masks_of
 from meridia.plans.registry import query
 
 MOST_CELLS, TURNS, TURN_DEG = 8, 36, 10
@@ -31,9 +31,11 @@ def plans_of(cells: DataFrame) -> DataFrame:
 
 
 def profiles(contrib: DataFrame, plans: DataFrame) -> DataFrame:
-    """(plan, masks, demand, n): which azimuths of which places reach n buildings with this demand in all."""
-    bit = F.expr("shiftleft(1L, cast(azimuth / 10 as int))")
-    by_cell = contrib.join(plans, "cell_id").groupBy("plan", "building_id", "place").agg(F.bit_or(bit).alias("mask"), F.max("demand").alias("demand"))
+    """(plan, masks, demand, n) of (cell_id, building_id, demand, mask), or of a row for each azimuth: which azimuths of which places reach n buildings with this demand in all."""
+    if "mask" not in contrib.columns:
+        bit = F.expr("shiftleft(1L, cast(azimuth / 10 as int))")
+        contrib = contrib.groupBy("cell_id", "building_id").agg(F.bit_or(bit).alias("mask"), F.max("demand").alias("demand"))
+    by_cell = contrib.join(checked_broadcast(plans), "cell_id")
     masks = F.array(*(F.coalesce(F.max(F.when(F.col("place") == i, F.col("mask"))), F.lit(0).cast("long")) for i in range(MOST_CELLS)))
     one = by_cell.groupBy("plan", "building_id").agg(masks.alias("masks"), F.max("demand").alias("demand"))
     return shared_table(one.groupBy("plan", "masks").agg(F.sum("demand").alias("demand"), F.count("*").alias("n")), "profiles")
@@ -188,7 +190,7 @@ def archive_search(found: DataFrame, starts: DataFrame, most_expanded: int = 128
 
 def _network(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     plans = plans_of(lens.cells(spark, sf_dir))
-    return profiles(contributions(spark, sf_dir), plans), plans
+    return profiles(masks_of(spark, sf_dir), plans), plans
 
 
 @query("network_search")
