@@ -87,10 +87,11 @@ STEPS, MAST_M = 20, 25.0
 
 @query("terrain_clearance", f"""WITH {lens.CELLS}, {RASTER}, l AS (SELECT cell_id, lon AS ax, lat AS ay, lead(lon) OVER (ORDER BY cell_id) AS qx, lead(lat) OVER (ORDER BY cell_id) AS qy, ghz FROM lens_cells), s AS (SELECT cell_id * {STEPS + 1} + i AS id, cell_id, ghz, i / {float(STEPS)}::DOUBLE AS t, ax + (qx - ax) * i / {float(STEPS)}::DOUBLE AS lon, ay + (qy - ay) * i / {float(STEPS)}::DOUBLE AS lat,
   sqrt(pow((qx - ax) * 111320.0 * cos(radians(ay)), 2) + pow((qy - ay) * 111320.0, 2)) AS d FROM l, range({STEPS + 1}) r(i) WHERE qx IS NOT NULL), z AS (SELECT s.*, z FROM s JOIN {_BILINEAR.replace('POINTS', 's')} USING (id)),
- e AS (SELECT *, max(z) FILTER (t = 0) OVER w AS z0, max(z) FILTER (t = 1) OVER w AS z1 FROM z WINDOW w AS (PARTITION BY cell_id)), c AS (SELECT cell_id, t, z0 + {MAST_M} + (z1 - z0) * t - z AS clear, sqrt(0.299792458 / ghz * t * (1 - t) * d) AS fresnel FROM e)
+ e AS (SELECT *, max(z) FILTER (t = 0) OVER w AS z0, max(z) FILTER (t = 1) OVER w AS z1 FROM z WINDOW w AS (PARTITION BY cell_id)), c AS (SELECT cell_id, t, {rounded_sql(f'(z0 + {MAST_M} + (z1 - z0) * t - z)', 6)} AS clear, sqrt(0.299792458 / ghz * t * (1 - t) * d) AS fresnel FROM e)
  SELECT cell_id, count(clear)::BIGINT AS n, {rounded_sql('min(clear)', 4)} AS least, {rounded_sql('arg_min(t, (clear, t)) FILTER (clear IS NOT NULL)', 4)} AS at_share, {rounded_sql('max(fresnel)', 4)} AS fresnel_m, CASE WHEN count(clear) < count(*) THEN 'unavailable' WHEN min(clear) < -2 THEN 'obstruction_candidate' WHEN abs(min(clear)) <= 2 THEN 'near_uncertainty' ELSE 'clear' END AS class FROM c GROUP BY cell_id""")
 def terrain_clearance(spark, sf_dir):
-    """The line between masts of cells that follow each other by id, over the terrain below it; margin 2 m."""
+    """The line between masts of cells that follow each other by id, over the terrain below it; margin 2 m. Clearances are whole
+    micrometres, so that places with the same one are ties, whatever order their pixels were added in; the first of them counts."""
     l = followed(lens.cells(spark, sf_dir).select("cell_id", "ghz", "lon", "lat"), ["cell_id"], ["lon", "lat"]).where("next IS NOT NULL")
     l = l.select("cell_id", "ghz", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("next.lon").alias("bx"), F.col("next.lat").alias("by"))
     s = l.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
@@ -101,7 +102,7 @@ def terrain_clearance(spark, sf_dir):
     one = Window.partitionBy("cell_id")
     end = lambda k: F.max(F.when(F.col("i") == k, F.col("z"))).over(one)
     z = z.withColumn("z0", end(0)).withColumn("z1", end(STEPS)).withColumn("t", F.col("i") / float(STEPS)).join(d, "cell_id")
-    c = z.withColumn("clear", F.col("z0") + MAST_M + (F.col("z1") - F.col("z0")) * F.col("t") - F.col("z")).withColumn("fresnel", F.sqrt(0.299792458 / F.col("ghz") * F.col("t") * (1 - F.col("t")) * F.col("d")))
+    c = z.withColumn("clear", rounded(F.col("z0") + MAST_M + (F.col("z1") - F.col("z0")) * F.col("t") - F.col("z"), 6)).withColumn("fresnel", F.sqrt(0.299792458 / F.col("ghz") * F.col("t") * (1 - F.col("t")) * F.col("d")))
     least = F.min("clear")
     return c.groupBy("cell_id").agg(F.count("clear").alias("n"), rounded(least, 4).alias("least"), rounded(F.min_by("t", F.when(F.col("clear").isNotNull(), F.struct("clear", "t"))), 4).alias("at_share"), rounded(F.max("fresnel"), 4).alias("fresnel_m"), F.when(F.count("clear") < F.count("*"), "unavailable").otherwise(clearance_class(least, 2.0)).alias("class"))
 
