@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,67 @@ def box_join(points: DataFrame, lon: str, lat: str, boxes: DataFrame, bounds: tu
     return out if grid else out.drop(*GRID)
 
 
+def disc_kernel(points: DataFrame, discs: DataFrame, kernel: Callable[[dict, dict], dict], schema: str, size: float = CELL) -> DataFrame:
+    """What ``kernel`` makes of the points (lon, lat) of a grid cell and of all discs (lon, lat, radius_m) that reach into it, both as
+    NumPy columns; the discs come in order of ``cell_id``. For sums over pairs: the pairs live in one call only, so neither they nor a
+    sort of them is shuffled or written down, and memory follows the points of a grid cell. See ``in_discs`` for the loop over pairs."""
+    k = F.cos(F.radians("lat"))
+    b = discs.withColumns({"_dx": F.col("radius_m") * 1.01 / (111_320.0 * k), "_dy": F.col("radius_m") * 1.01 / 111_320.0, "scale": k})
+    b = b.withColumn("_c", F.explode(cells_of(F.col("lon") - F.col("_dx"), F.col("lat") - F.col("_dy"), F.col("lon") + F.col("_dx"), F.col("lat") + F.col("_dy"), size)))
+    b = b.select(F.col("_c.gx").alias("_gx"), F.col("_c.gy").alias("_gy"), "scale", *discs.columns)
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    p = points.where("lon IS NOT NULL AND lat IS NOT NULL").select(at("lon").alias("_gx"), at("lat").alias("_gy"), *points.columns)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def of(left: pa.Table, right: pa.Table) -> pa.Table:
+        here, cells = ({c: np.asarray(t.column(c).to_numpy(zero_copy_only=False)) for c in t.column_names} for t in (left, right.sort_by("cell_id")))
+        made = kernel(here, cells) if left.num_rows and right.num_rows else {}
+        return pa.table({n: made.get(n, []) for n in names}) if made else empty
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    return p.groupBy(*GRID).cogroup(b.groupBy(*GRID)).applyInArrow(of, schema)
+
+
+def in_discs(points: dict, cells: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each disc of a call of ``disc_kernel``: its place, the places of the points in it, and their distance, and how far they lie
+    east and north of it in degrees of latitude. The same arithmetic as ``geo.distance_m``."""
+    lon, lat = points["lon"], points["lat"]
+    for j in range(len(cells["lon"])):
+        x, y, scale = lon - cells["lon"][j], lat - cells["lat"][j], cells["scale"][j]
+        dx, dy = x * 111_320.0 * scale, y * 111_320.0
+        d = np.sqrt(dx * dx + dy * dy)
+        i = np.flatnonzero(d <= cells["radius_m"][j])
+        if len(i):
+            yield j, i, d[i], x[i] * scale, y[i]
+
+
+def within_beam(x: np.ndarray, y: np.ndarray, azimuth: float, width: float) -> np.ndarray:
+    """``geo.in_beam`` of ``geo.bearing_deg`` for points of ``in_discs``."""
+    bearing = (np.degrees(np.arctan2(x, y)) + 360.0) % 360.0
+    return np.abs((bearing - azimuth + 540.0) % 360.0 - 180.0) <= width / 2 if width < 360 else np.ones(len(x), bool)
+
+
+def held(points: DataFrame, key: str, discs: DataFrame) -> DataFrame:
+    """The keys of the points that lie in any disc, each once. A point is not looked at again once a disc holds it, so where discs
+    are many the work is near that of the points."""
+
+    def kernel(here: dict, cells: dict) -> dict:
+        found, left = [], here
+        for j in range(len(cells["lon"])):
+            disc = {k: v[j : j + 1] for k, v in cells.items()}
+            for _, i, *_ in in_discs(left, disc):
+                found.append(left[key][i])
+                left = {k: np.delete(v, i) for k, v in left.items()}
+            if not len(left[key]):
+                break
+        return {key: np.concatenate(found)} if found else {}
+
+    return disc_kernel(points.select(key, "lon", "lat"), discs.select("cell_id", "lon", "lat", "radius_m"), kernel, f"{key} long")
+
+
 def overlap_join(left: DataFrame, left_bounds, right: DataFrame, right_bounds, size: float = CELL) -> DataFrame:
     """Pairs of boxes that overlap (closed): both sides are dealt to cells, and a pair is kept in the cell that holds the
     lower corner of the two boxes' common part only, so no pair is doubled and nothing is deduplicated."""
