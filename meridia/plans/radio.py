@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import geo, rf
 from meridia.functions.numeric import rounded, rounded_sql
 from meridia.operators import stats
-from meridia.operators.joins import box_join, top_rows
+from meridia.operators.joins import box_join, disc_kernel, in_discs, within_beam
 from meridia.operators.tables import shared_table
 from meridia.plans import lens
 from meridia.plans.registry import query
@@ -33,13 +34,38 @@ def signals(points: DataFrame, cells: DataFrame) -> DataFrame:
     return links(points, cells).where(geo.in_beam(F.col("bearing"), F.col("azimuth"), F.lit(BEAM_DEG))).drop("bearing")
 
 
+_SERVING = "sample_id long, cell_id long, n_signals long, n_same long, rsrp double, all_scaled double"
+
+
+def _serving(points: dict, cells: dict) -> dict:
+    """Of each point with a signal: the strongest cell (then the lowest id), and the sum and number of signals of its carrier."""
+    n = len(points["lon"])
+    rsrp, serving, signals_of = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    names, carrier = np.unique([f"{t}|{c}|{g}|{m}" for t, c, g, m in zip(*(cells[k] for k in ("tech", "channel", "ghz", "mhz")))], return_inverse=True)
+    scaled, same = np.zeros((len(names), n)), np.zeros((len(names), n), np.int64)
+    for j, i, d, x, y in in_discs(points, cells):
+        power = POWER_DBM + GAIN_DBI - (20 * np.log10(np.maximum(np.sqrt(d * d + (TX_M - RX_M) ** 2), 1.0)) + cells["ghz_db"][j] + 32.45)
+        on = (power > rf.SENSITIVITY_DBM) & within_beam(x, y, cells["azimuth"][j], BEAM_DEG)
+        i, r = i[on], power[on] - cells["rb_db"][j]
+        signals_of[i] += 1
+        scaled[carrier[j], i] += 10.0 ** (r / 10) * cells["load"][j]
+        same[carrier[j], i] += 1
+        better = r > rsrp[i]  # cells come by id, so of equal ones the lowest stays
+        rsrp[i[better]], serving[i[better]] = r[better], j
+    i = np.flatnonzero(signals_of)
+    k = carrier[serving[i]]
+    return {"sample_id": points["sample_id"][i], "cell_id": cells["cell_id"][serving[i]], "n_signals": signals_of[i], "n_same": same[k, i], "rsrp": rsrp[i], "all_scaled": scaled[k, i]}
+
+
 def quality(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Of each point with a signal: serving cell (strongest, then lowest id), interference of its carrier, SINR, RSRQ, class."""
-    s = signals(points.select("sample_id", "lon", "lat"), cells)
-    carrier = Window.partitionBy("sample_id", "tech", "channel", "ghz", "mhz")
-    s = s.withColumn("mw", rf.milliwatts(F.col("rsrp"))).withColumn("scaled", F.col("mw") * F.col("load"))
-    s = s.withColumn("all_scaled", F.sum("scaled").over(carrier)).withColumn("n_same", F.count("*").over(carrier)).withColumn("n_signals", F.count("*").over(Window.partitionBy("sample_id")))
-    best = top_rows(s, ["sample_id"], [F.desc("rsrp"), F.asc("cell_id")])
+    """Of each point with a signal: serving cell (strongest, then lowest id), interference of its carrier, SINR, RSRQ, class.
+
+    Signals are summed where they are found, a grid cell at a time: their number is that of points times cells in reach."""
+    c = cells.withColumn("rb", rf.resource_blocks(F.col("tech"), F.col("mhz")))
+    discs = c.withColumns({"ghz_db": 20 * F.log10("ghz"), "rb_db": 10 * F.log10(12.0 * F.col("rb"))}).select("cell_id", "lon", "lat", "radius_m", "azimuth", "tech", "channel", "ghz", "mhz", "load", "ghz_db", "rb_db")
+    best = disc_kernel(points.select("sample_id", "lon", "lat"), discs, _serving, _SERVING)
+    best = best.join(c.select("cell_id", "tech", "channel", "ghz", "mhz", "load", "rb"), "cell_id")
+    best = best.withColumn("mw", rf.milliwatts(F.col("rsrp"))).withColumn("scaled", F.col("mw") * F.col("load"))
     noise = rf.milliwatts(rf.thermal_noise(rf.spacing_khz(F.col("tech")) * 1000, F.lit(FIGURE_DB)))
     best = best.withColumn("i_mw", F.when(F.col("n_same") == 1, 0.0).otherwise(F.greatest(F.col("all_scaled") - F.col("scaled"), F.lit(0.0)))).withColumn("n_mw", noise)
     best = best.withColumn("sinr", 10 * F.log10(F.col("mw") / (F.col("i_mw") + F.col("n_mw"))))
