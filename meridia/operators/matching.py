@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from meridia.functions import geo
 from meridia.functions.numeric import rounded
 from meridia.operators.joins import box_join
+from meridia.operators.tables import checked_broadcast, shared_table
 
 RADIUS_M, TIE_M = 250.0, 1e-6
 _KNOWN = ("pci", "channel", "ghz")
@@ -69,5 +70,9 @@ def mapped(observations: DataFrame, entries: DataFrame) -> DataFrame:
     """observations (id, cell, plmn) and entries (place, observed, plmn, cell_id) -> (id, cell_id): the first entry for the cell whose network
     is blank (any) or the observation's; null where there is none."""
     e = entries.select("place", F.col("observed").alias("cell"), _said(F.col("plmn")).alias("only"), "cell_id")
-    hit = observations.where(_said(F.col("cell")).isNotNull()).join(e, "cell").where(F.col("only").isNull() | (F.col("only") == F.trim("plmn")))
-    return observations.select("id").join(hit.groupBy("id").agg(F.min_by("cell_id", "place").alias("cell_id")), "id", "left")
+    # of the entries of a cell and a network only the first can be the one: observations meet two rows each, not all of their cell's
+    first = shared_table(e.groupBy("cell", "only").agg(F.min_by(F.struct("place", "cell_id"), "place").alias("m")).where("m IS NOT NULL"), "firsts")
+    of = lambda df, name: checked_broadcast(df.withColumnRenamed("m", name))
+    o = observations.select("id", F.when(_said(F.col("cell")).isNotNull(), F.col("cell")).alias("cell"), F.trim("plmn").alias("only"))
+    o = o.join(of(first.where("only IS NULL").drop("only"), "blank"), "cell", "left").join(of(first.where("only IS NOT NULL"), "own"), ["cell", "only"], "left")
+    return o.select("id", F.when(F.col("blank").isNull() | (F.col("own.place") < F.col("blank.place")), F.col("own.cell_id")).otherwise(F.col("blank.cell_id")).alias("cell_id"))

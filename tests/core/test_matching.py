@@ -26,3 +26,20 @@ def test_map_entries_by_network(spark):
     e = spark.createDataFrame([(0, "1", "28602", "late"), (1, "1", " ", "any"), (2, "1", "28601", "never"), (3, "2", "28601", "own")], "place long, observed string, plmn string, cell_id string")
     o = spark.createDataFrame([(1, "1", "28601"), (2, "1", "28602"), (3, "2", "28602"), (4, "2", " 28601 "), (5, None, "28601"), (6, "1", None)], "id long, cell string, plmn string")
     assert {r.id: r.cell_id for r in matching.mapped(o, e).collect()} == {1: "any", 2: "late", 3: None, 4: "own", 5: None, 6: "any"}
+
+
+def test_observations_meet_two_entries_at_most(spark, monkeypatch):
+    """Many entries of one cell: only the first of each network is joined, and the answer is that of the plain rule."""
+    met = []
+    real = matching.shared_table
+    monkeypatch.setattr(matching, "shared_table", lambda df, name: met.append(df.count()) or real(df, name), raising=False)
+    entries = [(i, "o1", ("28601", " ", "28602", None)[i * 7 % 4], 1000 - i) for i in range(5, 400)] + [(3, "o2", "28602", 7), (None, "o2", "28601", 8)]
+    observed = [(1, "o1", "28601"), (2, "o1", "28603"), (3, "o2", "28602"), (4, "o2", "28601"), (5, None, "28601"), (6, "o3", "28601"), (7, "o1", None), (8, " ", "28601")]
+    e, o = spark.createDataFrame(entries, "place long, observed string, plmn string, cell_id long"), spark.createDataFrame(observed, "id long, cell string, plmn string")
+
+    def plain(cell, plmn):
+        fits = [(p, c) for p, at, net, c in entries if p is not None and at == cell and ((net or "").strip() in ("", plmn))]
+        return min(fits)[1] if fits and (cell or "").strip() else None
+
+    assert {r.id: r.cell_id for r in matching.mapped(o, e).collect()} == {i: plain(c, n) for i, c, n in observed}
+    assert met and met[0] <= 4  # three networks of o1 and one of o2
