@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import mending
 from meridia.functions.numeric import rounded, rounded_sql
+from meridia.operators.joins import spread
 from meridia.operators.tables import new_folder, shared_table
 from meridia.plans import lens
 from meridia.plans.registry import query
@@ -39,7 +40,7 @@ def _drawn(spark, sf_dir):
 @query("mended_footprints", f"WITH {lens.BUILDINGS}, w AS (SELECT *, building_id % 6 AS way FROM lens_buildings) SELECT building_id, ['valid', 'repaired_geometry', 'valid', 'repaired_geometry', 'valid', 'invalid_geometry'][way + 1] AS status, way IN (1, 3) AS crossing, [1, 2, 1, 2, 1, 0][way + 1]::INTEGER AS n_polygons, [1, 2, 2, 2, 1, 0][way + 1]::INTEGER AS n_rings, {rounded_sql(f'[4.0, 2.0, 3.0, 4.0, 4.0, 0.0][way + 1]::DOUBLE * half * half * {_M2}', 2)} AS area_m2 FROM w")
 def mended_footprints(spark, sf_dir):
     """Footprints put right: what was wrong, and how many polygons, rings and square metres there are then."""
-    m = _drawn(spark, sf_dir).withColumn("m", mending.mended("rings"))
+    m = spread(_drawn(spark, sf_dir), "building_id").withColumn("m", mending.mended("rings"))  # a small file is one split, mending is slow
     area = mending.polygons_area(F.col("m.polygons"), F.col("lon"), F.col("lat"))
     return m.select("building_id", F.substring_index("m.status", ":", 1).alias("status"), F.contains("m.status", F.lit("Self-intersection")).alias("crossing"), F.size("m.polygons").alias("n_polygons"), F.size(F.flatten("m.polygons")).alias("n_rings"), rounded(area * _M2, 2).alias("area_m2"))
 

@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from meridia.functions import geo
 from meridia.operators.joins import box_join, segment_join
-from meridia.plans import network
+from meridia.plans import catalogue, network
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +57,9 @@ def test_masks_hold_the_azimuths_in_one_row_a_pair(spark):
     swept = near.withColumn("azimuth", F.explode(F.sequence(F.lit(0), F.lit(350), F.lit(10)))).where(geo.in_beam(F.col("bearing"), F.col("azimuth"), F.lit(120.0)))
     keys = lambda df: sorted(map(tuple, df.select("cell_id", "building_id", "azimuth").collect()))
     assert keys(network.contributions(spark, SF)) == keys(swept)
+
+
+@pytest.mark.parametrize("name", ["mended_footprints"])
+def test_slow_rows_of_a_small_file_are_dealt(name, spark):
+    q = catalogue.QUERIES[name](spark, SF)
+    assert q.rdd.getNumPartitions() > 1  # one split, so one task, before
