@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,34 +115,52 @@ def dry_continuum(ghz: Column, dry_hpa: Column, kelvin: Column, grams_m3: Column
     return 0.1820 * ghz * ghz * dry_hpa * theta * theta * (debye + nitrogen)
 
 
+def _functions(x) -> tuple:
+    return (F.pow, F.sqrt, F.exp) if isinstance(x, Column) else (np.power, np.sqrt, np.exp)
+
+
 def oxygen_term(f0, a1, a2, a3, a4, a5, a6, ghz: Column, dry: Column, theta: Column, e: Column) -> Column:
-    """What a line of oxygen adds: Zeeman-broadened width, interference between neighbouring lines."""
-    pw, near, far = F.pow, f0 - ghz, f0 + ghz
+    """What a line of oxygen adds: Zeeman-broadened width, interference between neighbouring lines. Columns, or NumPy arrays."""
+    (pw, sqrt, exp), near, far = _functions(ghz), f0 - ghz, f0 + ghz
     plain = a3 * 1e-4 * (dry * pw(theta, 0.8 - a4) + 1.1 * e * theta)
-    width = F.sqrt(plain * plain + 2.25e-6)
-    shift = (a5 + a6 * theta) * 1e-4 * (dry + e) * pw(theta, F.lit(0.8))
+    width = sqrt(plain * plain + 2.25e-6)
+    shift = (a5 + a6 * theta) * 1e-4 * (dry + e) * pw(theta, 0.8)
     shape = ghz / f0 * ((width - shift * near) / (near * near + width * width) + (width - shift * far) / (far * far + width * width))
-    return a1 * 1e-7 * dry * pw(theta, F.lit(3.0)) * F.exp(a2 * (1 - theta)) * shape
+    return a1 * 1e-7 * dry * pw(theta, 3.0) * exp(a2 * (1 - theta)) * shape
 
 
 def water_term(f0, b1, b2, b3, b4, b5, b6, ghz: Column, dry: Column, theta: Column, e: Column) -> Column:
-    """What a line of water adds: width with Doppler broadening."""
-    pw, near, far = F.pow, f0 - ghz, f0 + ghz
+    """What a line of water adds: width with Doppler broadening. Columns, or NumPy arrays."""
+    (pw, sqrt, exp), near, far = _functions(ghz), f0 - ghz, f0 + ghz
     wide = b3 * 1e-4 * (dry * pw(theta, b4) + b5 * e * pw(theta, b6))
-    width = 0.535 * wide + F.sqrt(0.217 * wide * wide + 2.1316e-12 * f0 * f0 / theta)
+    width = 0.535 * wide + sqrt(0.217 * wide * wide + 2.1316e-12 * f0 * f0 / theta)
     shape = ghz / f0 * (width / (near * near + width * width) + width / (far * far + width * width))
-    return b1 * 0.1 * e * pw(theta, F.lit(3.5)) * F.exp(b2 * (1 - theta)) * shape
+    return b1 * 0.1 * e * pw(theta, 3.5) * exp(b2 * (1 - theta)) * shape
 
 
-def specific(ghz: Column, dry_hpa: Column, kelvin: Column, grams_m3: Column, oxygen=OXYGEN_LINES, water=WATER_LINES) -> Column:
-    """Oxygen, water and dry continuum in dB per km, as one expression: each row sums over the lines, which are an array."""
-    theta, e = 300 / kelvin, vapour_pressure(grams_m3, kelvin)
+def _summed(lines, term: Callable[..., np.ndarray], *air: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(air[0]))
+    for line in lines:
+        out = out + term(*map(float, line), *air)
+    return out
 
-    def summed(lines, names, term) -> Column:
-        table = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(names, r))) for r in lines))
-        return F.aggregate(table, F.lit(0.0), lambda s, x: s + term(*(x[n] for n in names), ghz, dry_hpa, theta, e))
 
-    return 0.1820 * ghz * (summed(oxygen, OXYGEN, oxygen_term) + summed(water, WATER, water_term)) + dry_continuum(ghz, dry_hpa, kelvin, grams_m3)
+def specific(ghz: Column, dry_hpa: Column, kelvin: Column, grams_m3: Column, oxygen=OXYGEN_LINES, water=WATER_LINES) -> Column:
+    """Oxygen, water and dry continuum in dB per km, as one expression. The lines are gone through a batch of rows at a time: as a lambda over an
+    array of lines the sum is interpreted for each row and line. Rows that lack a value are null and cost nothing."""
+
+    @F.pandas_udf("double")
+    def lines(ghz: pd.Series, dry: pd.Series, kelvin: pd.Series, grams: pd.Series) -> pd.Series:
+        out = np.full(len(ghz), np.nan)
+        f, d, k, g = (np.asarray(x, float) for x in (ghz, dry, kelvin, grams))
+        there = ~(np.isnan(f) | np.isnan(d) | np.isnan(k) | np.isnan(g))
+        f, d, k, g = f[there], d[there], k[there], g[there]
+        with np.errstate(all="ignore"):
+            air = f, d, 300 / k, vapour_pressure(g, k)
+            out[there] = _summed(oxygen, oxygen_term, *air) + _summed(water, water_term, *air)
+        return pd.Series(out)
+
+    return 0.1820 * ghz * lines(ghz, dry_hpa, kelvin, grams_m3) + dry_continuum(ghz, dry_hpa, kelvin, grams_m3)
 
 
 def absorption(points: DataFrame, oxygen: DataFrame, water: DataFrame, keys: list[str]) -> DataFrame:
