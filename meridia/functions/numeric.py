@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +18,12 @@ def rounded_sql(x: str, digits: int = 0) -> str:
     return f"(sign({x}) * floor(abs({x}) * {scale} + 0.5) / {scale})"
 
 
+def rounded_array(x: np.ndarray, digits: int = 0) -> np.ndarray:
+    """``rounded`` of an array."""
+    scale = float(10**digits)
+    return np.sign(x) * np.floor(np.abs(x) * scale + 0.5) / scale
+
+
 def clamp01(x: Column) -> Column:
     return F.when(F.isnan(x), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 

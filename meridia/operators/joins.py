@@ -65,7 +65,7 @@ def disc_kernel(points: DataFrame, discs: DataFrame, kernel: Callable[[dict, dic
     from pyspark.sql.types import StructType
 
     empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-    return p.groupBy(*GRID).cogroup(b.groupBy(*GRID)).applyInArrow(of, schema)
+    return spread(p, *GRID).groupBy(*GRID).cogroup(spread(b, *GRID).groupBy(*GRID)).applyInArrow(of, schema)
 
 
 def in_discs(points: dict, cells: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

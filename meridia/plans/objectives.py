@@ -1,29 +1,32 @@
 """Searches over antenna azimuths by weighted objectives and constraints, radio quality among them, for all plans at once.
 
-What does not depend on azimuths is prepared once: for buildings the profiles of ``search``, for samples one row a (plan, sample)
-with its links (at most eight), each with the 36 azimuths that reach the sample. A candidate differs from the present state in
-one cell, so a sample has two outcomes, with that cell's link and without it: the second is counted once for all 36 azimuths,
-and the difference for those that reach the sample. Percentiles come from counts by tenths of a dB, which add up the same way.
+What does not depend on azimuths is prepared once, a grid cell at a time: for buildings the profiles of ``search``, for samples how
+many have the same azimuths that reach them and the same outcomes, one for each subset of the plan's cells that reach them (eight at
+most). A candidate differs from the present state in one cell, so a sample has two outcomes, with that cell's link and without it: the
+second is counted once for all 36 azimuths, and the difference for those that reach the sample. Percentiles come from counts by tenths of
+a dB, which add up the same way.
 
-Starts of a plan are searched side by side. They share a budget of evaluations, which changes nothing of the way they go but
-where they stop; so the steps of all starts are logged with the states they try, and the budget is applied to the log in order.
+A plan is one call, which searches its starts in order; they share a budget of evaluations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions import geo, rf
-from meridia.functions.numeric import ratio01, rounded
+from meridia.functions.numeric import rounded_array
+from meridia.operators.joins import disc_kernel
+from meridia.operators.plans import MOST_CELLS, PLACES, TURN_DEG, TURNS, Reached, bits, by_plan, matrix, merged, plans_in, reached_sums
 from meridia.operators.tables import checked_broadcast, shared_table
 from meridia.plans import lens, radio
-from meridia.plans import network as networks
 from meridia.plans.registry import query
-from meridia.plans.search import MOST_CELLS, TURN_DEG, TURNS, _bit, plans_of, start_states
+from meridia.plans.search import _best, plans_of, start_states
 
 #: Why a start ended.
 STABLE, REPEATED, PASSES, BUDGET = "coordinate_stable", "repeated_state", "max_passes", "evaluation_budget"
@@ -82,185 +85,210 @@ def outcome(links: Column) -> Column:
     return F.when(F.size(links) > 0, F.transform(F.array(best), measured)[0])
 
 
-_KEYS = ["plan", "start"]
-
-
-def _of_buildings(found: DataFrame, states: DataFrame, place: int) -> DataFrame:
-    """(plan, start, turn, demand, homes, covered, overlap); turn -1 is without the cell, the others what its azimuth adds."""
-    rows = found.join(states.select(*_KEYS, "turns"), "plan")
-    others = reduce(lambda a, b: a + b, (_bit(F.element_at("masks", i + 1), F.element_at("turns", i + 1)) for i in range(MOST_CELLS) if i != place))
-    rows = rows.withColumn("others", others).withColumn("own", F.element_at("masks", place + 1)).where("others > 0 OR own <> 0")
-    turns = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.lit(TURNS - 1)), lambda t: _bit(F.col("own"), t) == 1))
-    e = rows.withColumn("turn", F.explode(turns))
-    alone = F.when(F.col("turn") == -1, F.col("others") > 0).otherwise(F.col("others") == 0)
-    shared = F.when(F.col("turn") == -1, F.col("others") > 1).otherwise(F.col("others") == 1)
-    some = lambda cond, v: F.sum(F.when(cond, F.col(v)).otherwise(0))
-    return e.groupBy(*_KEYS, "turn").agg(some(alone, "demand").alias("demand"), some(alone, "homes").alias("homes"), some(alone, "n").alias("covered"), some(shared, "n").alias("overlap"))
-
-
-def _of_samples(samples: DataFrame, states: DataFrame, place: int, levels: bool) -> DataFrame:
-    """(plan, start, turn, serviceable): as for buildings. With ``levels`` by (level) and with ``heard``, the samples with a link."""
-    rows = samples.join(states.select(*_KEYS, "turns"), "plan")
-    lit = lambda x: _bit(x["mask"], F.element_at("turns", x["place"] + 1)) == 1
-    others = F.filter("links", lambda x: (x["place"] != place) & lit(x))
-    own = F.filter("links", lambda x: x["place"] == place)
-    rows = rows.select(*_KEYS, others.alias("others"), own.alias("own"))
-    mask = F.coalesce(F.get("own", F.lit(0))["mask"], F.lit(0).cast("long"))
-    rows = rows.select(*_KEYS, mask.alias("mask"), outcome(F.col("others")).alias("off"), outcome(F.concat("others", "own")).alias("on"))
-    e = rows.withColumn("turn", F.explode(F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.lit(TURNS - 1)), lambda t: _bit(F.col("mask"), t) == 1))))
-    without = F.col("turn") == -1
-    ok = F.when(without, F.coalesce("off.ok", F.lit(0))).otherwise(F.col("on.ok") - F.coalesce("off.ok", F.lit(0)))
-    if not levels:
-        return e.groupBy(*_KEYS, "turn").agg(F.sum(ok).alias("serviceable"))
-    part = lambda o, n: F.struct(F.col(f"{o}.level").alias("level"), F.lit(n).alias("n"))
-    parts = F.filter(F.when(without, F.array(part("off", 1))).otherwise(F.array(part("on", 1), part("off", -1))), lambda x: x["level"].isNotNull())
-    return e.select(*_KEYS, "turn", F.explode(parts).alias("p")).groupBy(*_KEYS, "turn", "p.level").agg(F.sum("p.n").alias("n"))
-
-
-def _tenth(samples: DataFrame, states: DataFrame, place: int) -> DataFrame:
-    """(plan, start, turn, p10): the nearest-rank tenth percentile of the SINR for each azimuth, in dB."""
-    counted = shared_table(_of_samples(samples, states, place, True), "levels")
-    every = F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1)))
-    base = counted.where("turn = -1").select(*_KEYS, every.alias("turn"), "level", "n")
-    both = base.unionByName(counted.where("turn >= 0")).groupBy(*_KEYS, "turn", "level").agg(F.sum("n").alias("n")).where("n <> 0")
-    # of one state and azimuth there are as many rows as levels
-    lists = both.groupBy(*_KEYS, "turn").agg(F.array_sort(F.collect_list(F.struct("level", "n"))).alias("l"))
-    want = F.ceil(F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x["n"]) * 0.1)
-    step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when(s["at"].isNotNull(), s["at"]).when(s["seen"] + x["n"] >= F.col("want"), x["level"]).alias("at"))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"))
-    return lists.withColumn("want", want).select(*_KEYS, "turn", (F.aggregate("l", start, step)["at"] / 10).alias("p10"))
-
-
-def totals(found: DataFrame, samples: DataFrame, plans: DataFrame) -> DataFrame:
-    """(plan, all_demand, all_homes, all_samples): what any azimuths could reach."""
-    b = found.groupBy("plan").agg(F.sum("demand").alias("all_demand"), F.sum("homes").alias("all_homes"))
-    s = samples.groupBy("plan").agg(F.count("*").alias("all_samples"))
-    return shared_table(plans.select("plan").distinct().join(b, "plan", "left").join(s, "plan", "left").na.fill(0), "totals")
-
-
-def utilities(raw: Column, whole: Column) -> dict[str, Column]:
-    """Utilities in [0, 1], null where a plan has nothing of the kind."""
-    part = lambda a, b: F.when(whole[b] > 0, ratio01(raw[a], whole[b]))
-    overlap = F.when(raw["covered"] > 0, 1 - ratio01(raw["overlap"], raw["covered"]))
-    return {"demand": part("demand", "all_demand"), "residential": part("homes", "all_homes"), "overlap": overlap, "radio_quality": part("serviceable", "all_samples")}
-
-
-def judged(raw: Column, whole: Column, request: Request) -> Column:
-    """(fits, score): whether the limits are kept, and the weighted utilities that exist, 0 to 100 to four digits."""
-    u = utilities(raw, whole)
-    weights = {k: w for k, w in request.weights.items() if w > 0}
-    there = reduce(lambda a, b: a + b, (F.when(u[k].isNotNull(), w).otherwise(0.0) for k, w in weights.items()))
-    value = reduce(lambda a, b: a + b, (w * F.coalesce(u[k], F.lit(0.0)) for k, w in weights.items()))
-    fits = F.lit(True)
+#: What a sample without a link has in place of an outcome.
+NONE = -(2**31)
+
+
+def outcomes(samples: DataFrame) -> DataFrame:
+    """(plan, masks, outs, n) of ``domain``: which azimuths reach n samples, and what these get from each subset of their links (bit i of
+    the subset: the i-th place that reaches them), as 2 * level + ok, or NONE."""
+    lit = lambda s: F.filter("links", lambda x, i: F.call_function("shiftright", s, i).bitwiseAND(F.lit(1)) == 1)
+    coded = lambda o: F.coalesce(o["level"] * 2 + o["ok"], F.lit(NONE))
+    outs = F.transform(F.sequence(F.lit(0), (F.pow(F.lit(2.0), F.size("links")) - 1).cast("int")), lambda s: coded(outcome(lit(s))))
+    mask = lambda p: F.coalesce(F.get(F.filter("links", lambda x: x["place"] == p), F.lit(0))["mask"], F.lit(0).cast("long"))
+    return samples.select("plan", F.array(*map(mask, range(MOST_CELLS))).alias("masks"), outs.alias("outs"), F.lit(1).cast("long").alias("n"))
+
+
+def subsets(rsrp: np.ndarray, mw: np.ndarray, scaled: np.ndarray, carrier: np.ndarray, noise: np.ndarray, rb: np.ndarray) -> np.ndarray:
+    """The outcomes of samples with the same k links (the first three: a row a link, a column a sample): a row a sample, a column a subset."""
+    k, n = rsrp.shape
+    out, here = np.full((n, 2**k), NONE), np.arange(n)
+    for s in range(1, 2**k):
+        on = np.flatnonzero(s >> np.arange(k) & 1)
+        best = on[np.argmax(rsrp[on], axis=0)]  # of equal ones the first
+        others = np.zeros(n)
+        for j in on:
+            others += np.where((carrier[j] == carrier[best]) & (best != j), scaled[j], 0.0)
+        p, q, every = rsrp[best, here], mw[best, here], others + noise[best]
+        sinr, rsrq = 10 * np.log10(q / every), 10 * np.log10(rb[best] * q / (12 * rb[best] * (q + every)))
+        ok = (p >= rf.MIN_RSRP) & (sinr >= rf.MIN_SINR) & (rsrq >= rf.MIN_RSRQ)
+        out[:, s] = np.floor(sinr * 10).astype(np.int64) * 2 + ok
+    return out
+
+
+def heard_sums(samples: DataFrame, cells: DataFrame, levels: bool) -> DataFrame:
+    """(plan, masks, outs, n) as of ``outcomes``, from samples and cells: links are used where they are found and are no rows. A row for each grid
+    cell that the samples lie in. Without ``levels`` an outcome is ok alone (level 0), so that many samples have the same."""
+    rb, noise = rf.resource_blocks(F.col("tech"), F.col("mhz")), rf.milliwatts(rf.thermal_noise(rf.spacing_khz(F.col("tech")) * 1000, F.lit(radio.FIGURE_DB)))
+    more = {"ghz_db": 20 * F.log10("ghz"), "rb": rb.cast("double"), "rb_db": 10 * F.log10(12.0 * rb), "noise": noise, "carrier": F.xxhash64("tech", "channel", "ghz", "mhz")}
+    discs = cells.withColumns(more).select("cell_id", "lon", "lat", "radius_m", "load", *more)
+
+    def kernel(here: dict, held: dict) -> dict:
+        def link(j: int, d: np.ndarray) -> tuple:
+            power = radio.POWER_DBM + radio.GAIN_DBI - (20 * np.log10(np.maximum(np.sqrt(d * d + (radio.TX_M - radio.RX_M) ** 2), 1.0)) + held["ghz_db"][j] + 32.45)
+            on = power > rf.SENSITIVITY_DBM
+            return on, (power[on] - held["rb_db"][j], j)
+
+        parts = []
+        for plan, found in plans_in(here, held, radio.BEAM_DEG, link):
+            n, linked = len(here["lon"]), np.zeros(len(here["lon"]), np.int64)
+            masks, rsrp, of = np.zeros((MOST_CELLS, n), np.int64), np.zeros((MOST_CELLS, n)), np.zeros(MOST_CELLS, np.int64)
+            for place, i, mask, r, j in found:
+                masks[place, i], rsrp[place, i], of[place] = mask, r, j
+                linked[i] |= 1 << place
+            for pattern in np.unique(linked[linked > 0]):
+                places, i = np.flatnonzero(pattern >> np.arange(MOST_CELLS) & 1), np.flatnonzero(linked == pattern)
+                r, j = rsrp[places][:, i], of[places]
+                mw = 10.0 ** (r / 10)
+                outs = subsets(r, mw, mw * held["load"][j][:, None], *(held[c][j] for c in ("carrier", "noise", "rb")))
+                if not levels:
+                    outs = np.where(outs == NONE, NONE, outs & 1)
+                first, (count,) = merged([*masks[places][:, i], *outs.T], [np.ones(len(i), np.int64)])
+                parts.append((np.full(len(first), plan), *masks[:, i[first]], outs[first].astype(np.int32), count))
+        if not parts:
+            return {}
+        *columns, outs, count = zip(*parts)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([np.full(len(o), o.shape[1]) for o in outs]))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(ends, np.concatenate([o.ravel() for o in outs]))
+        return {**dict(zip(("plan", *PLACES), map(np.concatenate, columns))), "outs": lists, "n": np.concatenate(count)}
+
+    schema = ", ".join(["plan long", *(f"{m} long" for m in PLACES), "outs array<int>", "n long"])
+    return disc_kernel(samples.select("lon", "lat"), discs, kernel, schema).select("plan", F.array(*PLACES).alias("masks"), "outs", "n")
+
+
+class Heard:
+    """Samples of a plan: which azimuths of which places reach them, and what they get from each subset of these."""
+
+    def __init__(self, masks: np.ndarray, outs: pa.Array, n: np.ndarray):
+        pattern = ((masks != 0).astype(np.int64) << np.arange(MOST_CELLS)).sum(1)
+        starts, values = outs.offsets.to_numpy()[:-1], outs.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.all, self.parts = int(n.sum()), []
+        for p in np.unique(pattern):
+            rows, places = np.flatnonzero(pattern == p), np.flatnonzero(p >> np.arange(MOST_CELLS) & 1)
+            table = values[starts[rows][:, None] + np.arange(2 ** len(places))]
+            first, (count,) = merged([*masks[rows][:, places].T, *table.T], [n[rows]])
+            self.parts.append((places, [bits(masks[rows[first], q]) for q in places], table[first], count))
+
+    def tried(self, turns: list[int], place: int, levels: bool) -> tuple[np.ndarray, np.ndarray]:
+        """At each azimuth of the cell at ``place``: the serviceable samples, and (with ``levels``) the nearest-rank tenth percentile of the SINR in dB, NaN without a sample."""
+        good, counted = np.zeros(TURNS), []
+        for places, at, table, n in self.parts:
+            lit = sum((a[:, turns[q]].astype(np.int64) << j for j, (q, a) in enumerate(zip(places, at)) if q != place), np.zeros(len(n), np.int64))
+            row, own = np.arange(len(n)), np.flatnonzero(places == place)
+            off = table[row, lit]
+            ok = lambda o: np.where(o == NONE, 0, o & 1)
+            good += (n * ok(off)).sum()
+            counted.append((off, n, np.ones((len(n), TURNS))))
+            if len(own):
+                on, a = table[row, lit | 1 << own[0]], at[own[0]]
+                good += (n * (ok(on) - ok(off))) @ a
+                counted += [(off, -n, a), (on, n, a)]
+        return good, _tenth(counted) if levels else np.full(TURNS, np.nan)
+
+
+def _tenth(counted: list[tuple]) -> np.ndarray:
+    """The nearest-rank tenth percentile in dB at each azimuth, of (outcomes, how often, at which azimuths); NaN where there is none."""
+    if not counted:
+        return np.full(TURNS, np.nan)
+    outs, n, at = (np.concatenate(x) for x in zip(*counted))
+    some = outs != NONE
+    found, of = np.unique(outs[some] >> 1, return_inverse=True)
+    counts = np.zeros((len(found), TURNS))
+    np.add.at(counts, of, n[some, None] * at[some])
+    seen = np.cumsum(counts, axis=0)
+    if not len(found):
+        return np.full(TURNS, np.nan)
+    return np.where(seen[-1] > 0, found[np.argmax(seen >= np.ceil(seen[-1] * 0.1), axis=0)] / 10, np.nan)
+
+
+def judged(raw: dict, whole: dict, request: Request) -> tuple[np.ndarray, np.ndarray]:
+    """(fits, score) of states: whether the limits are kept, and the weighted utilities that exist, 0 to 100 to four digits."""
+    part = lambda a, b: np.clip(raw[a] / whole[b], 0.0, 1.0) if whole[b] > 0 else np.full(TURNS, np.nan)
+    covered = raw["covered"]
+    overlap = np.where(covered > 0, 1 - np.clip(raw["overlap"] / np.maximum(covered, 1), 0.0, 1.0), np.nan)
+    u = {"demand": part("demand", "all_demand"), "residential": part("homes", "all_homes"), "overlap": overlap, "radio_quality": part("serviceable", "all_samples")}
+    there, value = np.zeros(TURNS), np.zeros(TURNS)
+    for k, w in request.weights.items():
+        there += np.where(np.isnan(u[k]), 0.0, w)
+        value += w * np.nan_to_num(u[k])
+    score = rounded_array(np.divide(100 * value, there, out=np.zeros(TURNS), where=there > 0), 4)
+    fits = np.full(TURNS, True)
     if request.most_overlap_ratio is not None:
-        fits &= F.coalesce(1 - u["overlap"], F.lit(0.0)) <= request.most_overlap_ratio
+        fits &= np.nan_to_num(1 - u["overlap"]) <= request.most_overlap_ratio
     if request.least_demand is not None:
-        fits &= F.coalesce(u["demand"], F.lit(0.0)) >= request.least_demand
+        fits &= np.nan_to_num(u["demand"]) >= request.least_demand
     if request.least_serviceable is not None:
-        fits &= F.coalesce(u["radio_quality"], F.lit(0.0)) >= request.least_serviceable
+        fits &= np.nan_to_num(u["radio_quality"]) >= request.least_serviceable
     if request.least_p10_sinr is not None:
-        fits &= F.coalesce(raw["p10"] >= request.least_p10_sinr, F.lit(False))
-    return F.struct(fits.alias("fits"), rounded(F.when(there > 0, 100 * value / there).otherwise(0.0), 4).alias("score"))
-
-
-def candidates(found: DataFrame, samples: DataFrame, whole: DataFrame, states: DataFrame, place: int, request: Request) -> DataFrame:
-    """states with ``tried``: (fits, score) of the cell at ``place`` at each of the 36 azimuths."""
-    b, s = _of_buildings(found, states, place), _of_samples(samples, states, place, False)
-    names = ("demand", "homes", "covered", "overlap", "serviceable", "p10")
-    blank = lambda df: df.select(*_KEYS, "turn", *(F.col(n).cast("double").alias(n) if n in df.columns else F.lit(None).cast("double").alias(n) for n in names))
-    rows = blank(b).unionByName(blank(s))
-    if request.least_p10_sinr is not None:
-        rows = rows.unionByName(blank(_tenth(samples, states, place)))
-    one = rows.groupBy(*_KEYS, "turn").agg(*(F.max(n).alias(n) for n in names))
-    by_turn = one.groupBy(*_KEYS).agg(F.map_from_entries(F.collect_list(F.struct("turn", F.struct(*names)))).alias("m"))  # 37 entries at most
-    got = lambda t, n: F.coalesce(F.try_element_at(F.col("m"), t)[n], F.lit(0.0))
-    added = lambda t: F.struct(*((got(F.lit(-1), n) + got(t, n)).alias(n) for n in names[:-1]), F.try_element_at(F.col("m"), t)["p10"].alias("p10"))
-    tried = F.transform(F.sequence(F.lit(0), F.lit(TURNS - 1)), lambda t: judged(added(t), F.struct("all_demand", "all_homes", "all_samples"), request))
-    return states.join(by_turn, _KEYS, "left").join(whole, "plan").withColumn("tried", tried).drop("m", "all_demand", "all_homes", "all_samples")
-
-
-def _name(turns: Column) -> Column:
-    """A state as one number."""
-    return F.aggregate(turns, F.lit(0).cast("long"), lambda s, t: s * (TURNS + 1) + t + 1)
-
-
-def trails(found: DataFrame, samples: DataFrame, plans: DataFrame, starts: tuple[int, ...], request: Request, most_passes: int = MOST_PASSES) -> tuple[DataFrame, DataFrame]:
-    """Where each start of each plan ends without a budget, and the log of its steps: (plan, start, step, pass, turns, fits, score, names,
-    moved): the state before the step, and the names of the 36 states it tries."""
-    whole = totals(found, samples, plans)
-    blank = F.lit(None)
-    states = start_states(plans, starts).select(*_KEYS, "turns", blank.cast("boolean").alias("fits"), blank.cast("double").alias("score"), F.array(_name(F.col("turns"))).alias("seen"), F.lit(False).alias("moved"), F.lit("").alias("ended"), F.lit(0).alias("passes"))
-    live, done, log = shared_table(states, "states"), [], []
-    for k in range(most_passes):
-        live = live.withColumn("moved", F.lit(False)).withColumn("passes", F.lit(k + 1))
-        for place in range(MOST_CELLS):
-            at = place + 1
-            t = candidates(found, samples, whole, live.where(F.element_at("turns", at) >= 0).where("ended = ''"), place, request)
-            own = F.element_at("tried", F.element_at("turns", at) + 1)
-            t = t.withColumn("fits", F.coalesce("fits", own["fits"])).withColumn("score", F.coalesce("score", own["score"]))
-            ranked = F.transform("tried", lambda x, i: F.struct(x["fits"].alias("fits"), x["score"].alias("score"), (-i).alias("back")))
-            t = t.withColumn("best", F.array_max(ranked))
-            better = (F.col("best.fits") & ~F.col("fits")) | ((F.col("best.fits") == F.col("fits")) & (F.col("best.score") > F.col("score")))
-            turned = lambda to: F.transform("turns", lambda x, i: F.when(i == place, to).otherwise(x))
-            t = t.withColumn("better", better).withColumn("names", F.transform(F.sequence(F.lit(0), F.lit(TURNS - 1)), lambda x: _name(turned(x)))).withColumn("next", F.when(better, turned(-F.col("best.back"))).otherwise(F.col("turns")))
-            t = shared_table(t, "step")
-            log.append(t.select(*_KEYS, F.lit(k * MOST_CELLS + place).alias("step"), F.lit(k + 1).alias("pass"), "turns", "fits", "score", "names", F.col("better").alias("moved")))
-            again = F.col("better") & F.array_contains("seen", _name(F.col("next")))
-            went = t.select(
-                *_KEYS, F.col("next").alias("turns"), F.when(F.col("better"), F.col("best.fits")).otherwise(F.col("fits")).alias("fits"), F.when(F.col("better"), F.col("best.score")).otherwise(F.col("score")).alias("score"),
-                F.when(F.col("better"), F.concat("seen", F.array(_name(F.col("next"))))).otherwise(F.col("seen")).alias("seen"), (F.col("moved") | F.col("better")).alias("moved"), F.when(again, REPEATED).otherwise("").alias("ended"), "passes",
-            )
-            live = went.unionByName(live.where((F.element_at("turns", at) < 0) | (F.col("ended") != "")))
-        last = k + 1 == most_passes
-        live = live.withColumn("ended", F.when(F.col("ended") != "", F.col("ended")).when(~F.col("moved"), STABLE).when(F.lit(last), PASSES).otherwise(""))
-        live = shared_table(live, "states")
-        done.append(live.where("ended <> ''"))
-        live = live.where("ended = ''")
-        if live.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, log)
+        fits &= raw["p10"] >= request.least_p10_sinr  # not where it is NaN
+    return fits, score
+
+
+def _judge(sums: dict, request: Request) -> Callable[[list[int], int], tuple[np.ndarray, np.ndarray]]:
+    """(fits, score) of a plan at each of the 36 azimuths of the cell at a place."""
+    masks = matrix(sums["masks"])
+    of = lambda c, rows: sums[c].to_numpy(zero_copy_only=False)[rows]
+    houses = sums["outs"].is_null().to_numpy(zero_copy_only=False)
+    reached = Reached(masks[houses], [of(c, houses) for c in ("demand", "homes", "n")])
+    heard = Heard(masks[~houses], sums["outs"].filter(pa.array(~houses)), of("n", ~houses))
+    whole = dict(zip(("all_demand", "all_homes"), reached.sums.sum(1)), all_samples=heard.all)
+
+    def tried(turns: list[int], place: int) -> tuple[np.ndarray, np.ndarray]:
+        once, twice = reached.tried(turns, place)
+        serviceable, p10 = heard.tried(turns, place, request.least_p10_sinr is not None)
+        return judged({"demand": once[0], "homes": once[1], "covered": np.rint(once[2]), "overlap": np.rint(twice[2]), "serviceable": serviceable, "p10": p10}, whole, request)
+
+    return tried
+
+
+def _starts(tried: Callable, starts: list[tuple[int, list[int]]], most_passes: int, most_evaluations: int) -> Iterator[tuple]:
+    """The rows of ``multistart`` of a plan."""
+    known: set[tuple[int, ...]] = set()
+    for start, turns in starts:
+        now, seen, ended = None, {tuple(turns)}, ""
+        for k in range(1, most_passes + 1):
+            moved = False
+            for place in (i for i, t in enumerate(turns) if t >= 0):
+                fits, score = tried(turns, place)
+                now = now or (bool(fits[turns[place]]), float(score[turns[place]]))
+                turned = [(*turns[:place], t, *turns[place + 1 :]) for t in range(TURNS)]
+                begun = len(known) < most_evaluations or tuple(turns) in known
+                wanted = known.union(turned)  # the present state is one of them
+                if len(wanted) > most_evaluations:
+                    yield start, k if begun else 0, BUDGET, *now, [t * TURN_DEG for t in turns if t >= 0], most_evaluations
+                    return
+                known = wanted
+                t = _best(fits, score)
+                best = bool(fits[t]), float(score[t])
+                if best > now:  # one that fits before others, then the score
+                    now, turns, moved = best, list(turned[t]), True
+                    if tuple(turns) in seen:
+                        ended = REPEATED
+                        break
+                    seen.add(tuple(turns))
+            ended = ended or (STABLE if not moved else PASSES if k == most_passes else "")
+            if ended:
+                break
+        yield start, k, ended, *now, [t * TURN_DEG for t in turns if t >= 0], len(known)
 
 
 def multistart(found: DataFrame, samples: DataFrame, plans: DataFrame, starts: tuple[int, ...], request: Request, most_passes: int = MOST_PASSES, most_evaluations: int = MOST_EVALUATIONS) -> DataFrame:
     """(plan, start, passes, ended, fits, score, azimuths, evaluations): starts in order; a start that would try more than
-    ``most_evaluations`` different states of the plan in all ends where it stands, and no later one begins."""
-    done, log = trails(found, samples, plans, starts, request, most_passes)
-    order = {s: i for i, s in enumerate(starts)}
-    nth = F.element_at(F.create_map(*(F.lit(x) for pair in order.items() for x in pair)), F.col("start"))
-    step = F.struct(nth.alias("nth"), "step", "pass", "turns", "fits", "score", "names")
-    # a plan's log: at most passes x places x starts steps
-    logged = log.groupBy("plan").agg(F.array_sort(F.collect_list(step), lambda a, b: (a["nth"] - b["nth"]) * 10_000 + a["step"] - b["step"]).alias("log"))
-    none = F.struct(F.array().cast("array<long>").alias("known"), F.array().cast("array<struct<nth:int,known:int>>").alias("upto"), F.lit(None).cast(_CUT).alias("cut"))
-
-    def take(s: Column, x: Column) -> Column:
-        """Known states after a step; the first step whose new ones do not fit is where the plan's search is cut."""
-        wanted = F.array_union(F.array(_name(x["turns"])), x["names"])
-        fresh = F.size(F.array_except(wanted, s["known"]))
-        fits = F.size(s["known"]) + fresh <= most_evaluations
-        begun = (F.size(s["known"]) < most_evaluations) | F.array_contains(s["known"], _name(x["turns"]))
-        known = F.when(fits, F.array_union(s["known"], wanted)).otherwise(F.slice(F.array_union(s["known"], wanted), F.lit(1), F.lit(most_evaluations)))
-        cut = F.when(~fits, F.struct(x["nth"].alias("nth"), F.when(begun, x["pass"]).otherwise(0).alias("pass"), x["turns"].alias("turns"), x["fits"].alias("fits"), x["score"].alias("score")).cast(_CUT))
-        upto = F.concat(s["upto"], F.array(F.struct(x["nth"].alias("nth"), F.size(known).alias("known"))))
-        moved = F.struct(known.alias("known"), upto.alias("upto"), cut.alias("cut"))
-        return F.when(s["cut"].isNotNull(), s).otherwise(moved)
-
-    spent = shared_table(logged.select("plan", F.aggregate("log", none, take, lambda s: F.struct(s["upto"].alias("upto"), s["cut"].alias("cut"))).alias("s")).select("plan", "s.*"), "spent")
-    rows = done.withColumn("nth", nth).join(spent, "plan").where("cut IS NULL OR nth <= cut.nth")
-    at_cut = F.coalesce(F.col("nth") == F.col("cut.nth"), F.lit(False))
-    last = F.array_max(F.transform(F.filter("upto", lambda x: x["nth"] == F.col("nth")), lambda x: x["known"]))
-    turns = F.when(at_cut, F.col("cut.turns")).otherwise(F.col("turns"))
-    pick = lambda c: F.when(at_cut, F.col(f"cut.{c}")).otherwise(F.col(c)).alias(c)
-    return rows.select("plan", "start", F.when(at_cut, F.col("cut.pass")).otherwise(F.col("passes")).alias("passes"), F.when(at_cut, BUDGET).otherwise(F.col("ended")).alias("ended"), pick("fits"), pick("score"), F.transform(F.filter(turns, lambda t: t >= 0), lambda t: t * TURN_DEG).alias("azimuths"), last.alias("evaluations"))
-
-
-_CUT = "struct<nth:int,pass:int,turns:array<int>,fits:boolean,score:double>"
-
-
-def network(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ``most_evaluations`` different states of the plan in all ends where it stands, and no later one begins. ``samples`` are those of ``domain`` or
+    ``heard_sums``."""
+    heard = outcomes(samples) if "links" in samples.columns else samples
+    sums = found.select("plan", "masks", "demand", "homes", "n").unionByName(heard, allowMissingColumns=True)
+
+    def search(sums: dict, begin: dict) -> Iterator[tuple]:
+        return _starts(_judge(sums, request), [(s, begin[s]) for s in starts], most_passes, most_evaluations)
+
+    return by_plan(sums, start_states(plans, starts), search, "plan long, start int, passes int, ended string, fits boolean, score double, azimuths array<int>, evaluations int")
+
+
+def network(spark, sf_dir, levels: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     cells = lens.cells(spark, sf_dir)
-    plans = plans_of(cells)
-    homes = lens.buildings(spark, sf_dir).select("building_id", F.col("residential").alias("homes"))
-    return worth(networks.masks(spark, sf_dir), plans, homes), domain(lens.samples(spark, sf_dir), cells, plans), plans
+    b = lens.buildings(spark, sf_dir).withColumnRenamed("residential", "homes")
+    return reached_sums(b, cells, ["demand", "homes"], radio.BEAM_DEG), heard_sums(lens.samples(spark, sf_dir), cells, levels), plans_of(cells)
 
 
 @query("objective_multistart")

@@ -1,29 +1,25 @@
 """Searches over antenna azimuths, for all plans of a network at once.
 
 A plan is up to eight cells. What its cells serve is kept by profile: buildings that the same azimuths of the same cells
-reach are one row, with 36 bits a cell. A step of a search, for every plan, start and azimuth, is one aggregation over the
-profiles; states are a small table beside them, so the number of jobs follows the steps, not the number of plans.
+reach are one row, with 36 bits a cell. They are summed where they lie (``reached_sums``), so pairs of cells and buildings are
+no rows; a plan's profiles then meet in one call, which makes the whole search, so no step is a job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.functions.numeric import rounded
+from meridia.functions.numeric import rounded_array
+from meridia.operators.plans import MOST_CELLS, TURN_DEG, TURNS, Reached, by_plan, matrix, reached_sums
 from meridia.operators.tables import checked_broadcast, shared_table
 from meridia.plans import lens
-from meridia.plans.network import masks as masks_of
+from meridia.plans.radio import BEAM_DEG
 from meridia.plans.registry import query
 
-MOST_CELLS, TURNS, TURN_DEG = 8, 36, 10
-#: States of plans that may be broadcast.
-STATES = 200_000
-
 
 def plans_of(cells: DataFrame) -> DataFrame:
     """(plan, cell_id, place) of cells (cell_id): eight cells in order of id make a plan."""
@@ -48,149 +44,130 @@ def start_states(plans: DataFrame, starts: Iterable[int]) -> DataFrame:
     return has.withColumn("start", F.explode(F.array(*map(F.lit, starts)))).select("plan", "start", turns.alias("turns"))
 
 
-def _bit(mask: Column, turn: Column) -> Column:
-    return F.when(turn >= 0, F.call_function("shiftright", mask, turn).bitwiseAND(F.lit(1).cast("long"))).otherwise(0)
+def _best(fits: np.ndarray, score: np.ndarray) -> int:
+    """The azimuth to take: of those that fit (of all, if none does) the one with most, then the smallest."""
+    of = np.flatnonzero(fits) if fits.any() else np.arange(TURNS)
+    return int(of[np.argmax(score[of])])
 
 
-def _moves(found: DataFrame, states: DataFrame, keys: list[str], place: Column) -> DataFrame:
-    """keys, turn, demand, overlap: what a plan serves if the cell at ``place`` takes each azimuth that reaches anything new or shared.
+def _served(found: dict) -> Callable[[list[int], int], tuple[np.ndarray, np.ndarray]]:
+    """(demand, overlap) of a plan at each of the 36 azimuths of the cell at a place. Overlap counts buildings that two or more cells serve."""
+    reached = Reached(matrix(found["masks"]), [found[c].to_numpy(zero_copy_only=False) for c in ("demand", "n")])
 
-    turn -1 is what the other cells serve without it. Overlap counts buildings that two or more cells serve.
-    """
-    rows = found.join(checked_broadcast(states, STATES), "plan")
-    others = reduce(lambda a, b: a + b, (F.when(place != i, _bit(F.element_at("masks", i + 1), F.element_at("turns", i + 1))).otherwise(0) for i in range(MOST_CELLS)))
-    rows = rows.withColumn("others", others).withColumn("own", F.element_at("masks", place + 1)).where("others > 0 OR own <> 0")
-    turns = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.lit(TURNS - 1)), lambda t: (F.call_function("shiftright", F.col("own"), t).bitwiseAND(F.lit(1).cast("long"))) == 1))
-    e = rows.withColumn("turn", F.explode(turns))
-    without = F.col("turn") == -1
-    demand = F.when(without & (F.col("others") > 0), F.col("demand")).when(~without & (F.col("others") == 0), F.col("demand")).otherwise(0.0)
-    overlap = F.when(without & (F.col("others") > 1), F.col("n")).when(~without & (F.col("others") == 1), F.col("n")).otherwise(0)
-    return e.groupBy(*keys, "turn").agg(F.sum(demand).alias("demand"), F.sum(overlap).alias("overlap"))
-
-
-def _scored(found: DataFrame, states: DataFrame, keys: list[str], place: Column) -> DataFrame:
-    """states with ``moves``: (demand, overlap) of each of the 36 azimuths of the cell at ``place``."""
-    moves = _moves(found, states, keys, place).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("turn", F.struct("demand", "overlap")))).alias("m"))  # 37 entries at most
-    got = lambda t, f: F.coalesce(F.try_element_at(F.col("m"), t)[f], F.lit(0))
-    scored = F.transform(F.sequence(F.lit(0), F.lit(TURNS - 1)), lambda t: F.struct(rounded(got(F.lit(-1), "demand") + got(t, "demand"), 4).alias("demand"), (got(F.lit(-1), "overlap") + got(t, "overlap")).alias("overlap"), t.alias("turn")))
-    return states.join(moves, keys, "left").withColumn("moves", scored).drop("m")
-
-
-def step(found: DataFrame, states: DataFrame, place: int, most_overlap: int | None = None) -> DataFrame:
-    """states (plan, start, turns) after the cell at ``place`` of each plan took its best azimuth: feasible before infeasible
-    ones, then most demand, then the smallest angle. With the ``score`` and ``overlap`` of the plan."""
-    rows = _scored(found, states, ["plan", "start"], F.lit(place))
-    fits = lambda x: F.lit(True) if most_overlap is None else x["overlap"] <= most_overlap
-    best = F.array_max(F.transform("moves", lambda x: F.struct(fits(x).alias("fits"), x["demand"].alias("demand"), (-x["turn"]).alias("back"), x["overlap"].alias("overlap"))))
-    rows = rows.where(F.element_at("turns", place + 1) >= 0).withColumn("best", best)
-    turns = F.transform("turns", lambda t, i: F.when(i == place, -F.col("best.back")).otherwise(t))
-    moved = rows.select("plan", "start", turns.alias("turns"), F.col("best.demand").alias("score"), F.col("best.overlap").alias("overlap"))
-    none = F.element_at("turns", place + 1) < 0
-    return shared_table(moved.unionByName(states.where(none).select("plan", "start", "turns", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("overlap"))), "states")
+    def tried(turns: list[int], place: int) -> tuple[np.ndarray, np.ndarray]:
+        once, twice = reached.tried(turns, place)
+        return rounded_array(once[0], 4), np.rint(twice[1]).astype(np.int64)
+
+    return tried
 
 
 def coordinate_search(found: DataFrame, states: DataFrame, passes: int = 2, most_overlap: int | None = None) -> DataFrame:
-    """(plan, start, step, place, azimuth, score, overlap): each cell of a plan in turn takes its best azimuth, ``passes`` times."""
-    log, at = [], 0
-    for _ in range(passes):
-        for place in range(MOST_CELLS):
-            states = step(found, states.select("plan", "start", "turns"), place, most_overlap)
-            log.append(states.where("score IS NOT NULL").select("plan", "start", F.lit(at).alias("step"), F.lit(place).alias("place"), (F.element_at("turns", place + 1) * TURN_DEG).alias("azimuth"), "score", "overlap"))
-            at += 1
-    return reduce(DataFrame.unionByName, log)
+    """(plan, start, step, place, azimuth, score, overlap): each cell of a plan in turn takes its best azimuth, ``passes`` times: feasible before
+    infeasible ones, then most demand, then the smallest angle."""
+
+    def search(sums: dict, starts: dict) -> Iterator[tuple]:
+        tried = _served(sums)
+        for start, turns in starts.items():
+            for at in range(passes * MOST_CELLS):
+                place = at % MOST_CELLS
+                if turns[place] >= 0:
+                    demand, overlap = tried(turns, place)
+                    t = _best(np.full(TURNS, True) if most_overlap is None else overlap <= most_overlap, demand)
+                    turns = [*turns[:place], t, *turns[place + 1 :]]
+                    yield start, at, place, t * TURN_DEG, demand[t], overlap[t]
+
+    return by_plan(found, states, search, "plan long, start int, step int, place int, azimuth int, score double, overlap long")
 
 
 def multistart_search(found: DataFrame, states: DataFrame, most_passes: int = 8) -> DataFrame:
     """(plan, start, pass, changed, demand): passes of coordinate search from each start, until one changes nothing."""
-    log = []
-    for k in range(most_passes):
-        before = shared_table(states.select("plan", "start", "turns"), "before")
-        states, score = before, []
-        for place in range(MOST_CELLS):
-            states = step(found, states.select("plan", "start", "turns"), place)
-            score.append(states.where("score IS NOT NULL").select("plan", "start", F.lit(place).alias("place"), "score"))
-        last = reduce(DataFrame.unionByName, score).groupBy("plan", "start").agg(F.max_by("score", "place").alias("demand"))
-        both = states.join(before.select("plan", "start", F.col("turns").alias("old")), ["plan", "start"])
-        changed = F.aggregate(F.zip_with("turns", "old", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
-        done = shared_table(both.withColumn("changed", changed).join(last, ["plan", "start"]).select("plan", "start", "turns", "changed", "demand"), "pass")
-        log.append(done.select("plan", "start", F.lit(k).alias("pass"), "changed", "demand"))
-        states = done.where("changed > 0").select("plan", "start", "turns")
-        if states.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, log)
-
-
-_ARCHIVE = "plan long, turns array<int>, demand double, overlap long, front boolean, queue int, expanded int, cut boolean, ended string"
-
-
-def _admitted(most_expanded: int, most_evaluations: int):
-    """A plan's archive after a round: at most ``most_evaluations`` plans that were tried, those of the front, and the next to expand."""
-
-    def admit(pdf: pd.DataFrame) -> pd.DataFrame:
-        old = pdf[pdf.kind == 0]
-        known = {tuple(t): (d, o) for t, d, o in zip(old.turns, old.demand, old.overlap)}
-        front = {tuple(t): known[tuple(t)] for t, f in zip(old.turns, old.front) if f}
-        expanded, cut, ended = (int(old.expanded.iloc[0]), bool(old.cut.iloc[0]), old.ended.iloc[0]) if len(old) else (0, False, "")
-        queue: list[tuple[int, ...]] = []
-        if not ended:
-            fresh = pdf[pdf.kind == 1].sort_values(["source", "place", "turn"])
-            for t, d, o in zip(fresh.turns, fresh.demand, fresh.overlap):
-                p = tuple(int(x) for x in t)
-                if p in known:
-                    continue
-                if len(known) == most_evaluations:
-                    ended = "evaluation_budget"
+
+    def search(sums: dict, starts: dict) -> Iterator[tuple]:
+        tried = _served(sums)
+        for start, turns in starts.items():
+            for k in range(most_passes):
+                before, score = turns, None
+                for place in range(MOST_CELLS):
+                    if turns[place] >= 0:
+                        demand, _ = tried(turns, place)
+                        t = _best(np.full(TURNS, True), demand)
+                        turns, score = [*turns[:place], t, *turns[place + 1 :]], demand[t]
+                changed = sum(a != b for a, b in zip(before, turns))
+                yield start, k, changed, score
+                if not changed:
                     break
-                known[p] = (d, o)
-                if not any(x >= d and y <= o and (x, y) != (d, o) for x, y in front.values()):
-                    front = {q: v for q, v in front.items() if not (d >= v[0] and o <= v[1] and (d, o) != v)}
-                    front[p] = (d, o)
-                    queue.append(p)
-            if cut and not ended:
-                ended = "max_expanded_states"
-        room = most_expanded - expanded
-        cut, batch = len(queue) > room, {} if ended else {p: i for i, p in enumerate(queue[:room])}
-        if not queue and not ended:
-            ended = "archive_exhausted"
-        plan = int(pdf.plan.iloc[0])
-        return pd.DataFrame([(plan, list(p), d, o, p in front, batch.get(p, -1), expanded + len(batch), cut, ended) for p, (d, o) in known.items()], columns=["plan", "turns", "demand", "overlap", "front", "queue", "expanded", "cut", "ended"])
 
-    return admit
+    return by_plan(found, states, search, "plan long, start int, pass int, changed int, demand double")
+
+
+def _archive(tried: Callable, starts: dict, most_expanded: int, most_rounds: int, most_evaluations: int) -> tuple[dict, str]:
+    """The front of a plan, {turns: (demand, overlap)}, and why its search ended."""
+    known: dict[tuple[int, ...], tuple[float, int]] = {}
+    front: dict[tuple[int, ...], tuple[float, int]] = {}
+
+    def begin() -> Iterator[tuple]:
+        for _, turns in sorted(starts.items()):
+            place = next(i for i, t in enumerate(turns) if t >= 0)
+            demand, overlap = tried(turns, place)
+            yield tuple(turns), demand[turns[place]], overlap[turns[place]]
+
+    def around(batch: list[tuple[int, ...]]) -> Iterator[tuple]:
+        for p in batch:
+            for i in range(MOST_CELLS):
+                if p[i] >= 0:
+                    demand, overlap = tried(list(p), i)
+                    head, tail = p[:i], p[i + 1 :]
+                    for t, (d, o) in enumerate(zip(demand.tolist(), overlap.tolist())):
+                        yield (*head, t, *tail), d, o
+
+    def take(wanted: Iterator[tuple]) -> tuple[list, bool]:
+        nonlocal front
+        queue = []
+        for p, d, o in wanted:
+            if p in known:
+                continue
+            if len(known) == most_evaluations:
+                return queue, True
+            known[p] = (d, o)
+            if not any(x >= d and y <= o and (x, y) != (d, o) for x, y in front.values()):
+                front = {q: v for q, v in front.items() if not (d >= v[0] and o <= v[1] and (d, o) != v)}
+                front[p] = (d, o)
+                queue.append(p)
+        return queue, False
+
+    expanded, cut, wanted = 0, False, begin()
+    for k in range(most_rounds + 1):
+        queue, full = take(wanted)
+        if full:
+            return front, "evaluation_budget"
+        if cut:
+            return front, "max_expanded_states"
+        if not queue:
+            return front, "archive_exhausted"
+        room = most_expanded - expanded
+        cut, batch = len(queue) > room, queue[:room]
+        expanded, wanted = expanded + len(batch), around(batch)
+    return front, "max_rounds"
 
 
 def archive_search(found: DataFrame, starts: DataFrame, most_expanded: int = 128, most_rounds: int = 16, most_evaluations: int = 5000) -> DataFrame:
     """(plan, turns, demand, overlap, ended): plans that none beats in demand (more) and overlap (less), and why the search ended.
 
-    All neighbours of a round's plans (one cell turned) are evaluated in one job for all plans of the network. They are then
-    taken in order, by plan: those that the archive does not beat are expanded in the next round. A plan's archive, at most
-    ``most_evaluations`` rows, is what one task holds.
+    All neighbours of a round's plans (one cell turned) are taken in order: those that the archive does not beat are expanded in the
+    next round. A plan's archive, at most ``most_evaluations`` states, is what one call holds.
     """
-    admit = _admitted(most_expanded, most_evaluations)
-    first = _scored(found, starts, ["plan", "start"], F.lit(0)).where(F.element_at("turns", 1) >= 0)
-    own = F.element_at("moves", F.element_at("turns", 1) + 1)
-    fresh = first.select("plan", F.lit(1).alias("kind"), "turns", own["demand"].alias("demand"), own["overlap"].alias("overlap"), F.col("start").cast("int").alias("source"), F.lit(0).alias("place"), F.lit(0).alias("turn"))
-    state = None
-    for k in range(most_rounds + 1):
-        every = fresh.select("*", F.lit(False).alias("front"), F.lit(0).alias("expanded"), F.lit(False).alias("cut"), F.lit("").alias("ended"))
-        if state is not None:
-            zero = F.lit(0)
-            every = every.unionByName(state.select("plan", zero.alias("kind"), "turns", "demand", "overlap", zero.alias("source"), zero.alias("place"), zero.alias("turn"), "front", "expanded", "cut", "ended"))
-        state = shared_table(every.groupBy("plan").applyInPandas(admit, _ARCHIVE), "archive")
-        batch = state.where("queue >= 0 AND ended = ''")
-        if k == most_rounds or state.where("ended = ''").isEmpty():
-            break
-        # the cell at each place turned to each azimuth, for each plan of the batch
-        moved = batch.select("plan", F.col("queue").alias("source"), "turns", F.explode(F.sequence(F.lit(0), F.lit(MOST_CELLS - 1))).alias("place")).where(F.get(F.col("turns"), F.col("place")) >= 0)
-        moved = shared_table(moved, "moved")
-        tried = _scored(found, moved, ["plan", "source", "place", "turns"], F.col("place")).withColumn("x", F.explode("moves"))
-        turned = F.transform("turns", lambda t, i: F.when(i == F.col("place"), F.col("x.turn")).otherwise(t))
-        fresh = tried.select("plan", F.lit(1).alias("kind"), turned.alias("turns"), F.col("x.demand").alias("demand"), F.col("x.overlap").alias("overlap"), "source", "place", F.col("x.turn").alias("turn"))
-    return state.where("front").select("plan", "turns", "demand", "overlap", F.when(F.col("ended") == "", "max_rounds").otherwise(F.col("ended")).alias("ended"))
+
+    def search(sums: dict, begin: dict) -> Iterator[tuple]:
+        front, ended = _archive(_served(sums), begin, most_expanded, most_rounds, most_evaluations)
+        for turns, (demand, overlap) in front.items():
+            yield list(turns), demand, overlap, ended
+
+    return by_plan(found, starts, search, "plan long, turns array<int>, demand double, overlap long, ended string")
 
 
 def _network(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    plans = plans_of(lens.cells(spark, sf_dir))
-    return profiles(masks_of(spark, sf_dir), plans), plans
+    cells = lens.cells(spark, sf_dir)
+    return reached_sums(lens.buildings(spark, sf_dir), cells, ["demand"], BEAM_DEG), plans_of(cells)
 
 
 @query("network_search")
