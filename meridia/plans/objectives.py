@@ -295,4 +295,4 @@ def network(spark, sf_dir, levels: bool = False) -> tuple[DataFrame, DataFrame,
 def objective_multistart(spark, sf_dir):
     """Every plan of eight cells by demand, homes, overlap and radio quality from two starts, with a limit on overlap and a floor under the
     served demand. Iterative: no SQL twin."""
-    return multistart(*network(spark, sf_dir), (0, 180), Request(most_overlap_ratio=0.6, least_demand=0.2), most_passes=2)
+    return multistart(*network(spark, sf_dir), (0, 180), Request(most_overlap_ratio=0.6, least_demand=0.2))

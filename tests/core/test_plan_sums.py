@@ -64,3 +64,10 @@ def test_a_search_has_no_job_for_each_step(spark):
     for name in ("network_search", "network_multistart", "network_archive"):
         plan = getattr(search, name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("FlatMapCoGroups") == 2 and "Join" not in plan
+
+
+def test_the_weighted_search_has_all_of_its_passes(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(objectives, "multistart", lambda *a, **k: asked.update(k, most_passes=(a[5:] or [k.get("most_passes", objectives.MOST_PASSES)])[0]))
+    objectives.objective_multistart(spark, SF)
+    assert asked == {"most_passes": 8}
