@@ -131,12 +131,14 @@ def heard_sums(samples: DataFrame, cells: DataFrame, levels: bool) -> DataFrame:
 
         parts = []
         for plan, found in plans_in(here, held, radio.BEAM_DEG, link):
-            n, linked = len(here["lon"]), np.zeros(len(here["lon"]), np.int64)
+            heard = found[0][1] if len(found) == 1 else np.unique(np.concatenate([f[1] for f in found]))
+            n, linked = len(heard), np.zeros(len(heard), np.int64)
             masks, rsrp, of = np.zeros((MOST_CELLS, n), np.int64), np.zeros((MOST_CELLS, n)), np.zeros(MOST_CELLS, np.int64)
             for place, i, mask, r, j in found:
-                masks[place, i], rsrp[place, i], of[place] = mask, r, j
-                linked[i] |= 1 << place
-            for pattern in np.unique(linked[linked > 0]):
+                at = np.searchsorted(heard, i)
+                masks[place, at], rsrp[place, at], of[place] = mask, r, j
+                linked[at] |= 1 << place
+            for pattern in np.unique(linked):
                 places, i = np.flatnonzero(pattern >> np.arange(MOST_CELLS) & 1), np.flatnonzero(linked == pattern)
                 r, j = rsrp[places][:, i], of[places]
                 mw = 10.0 ** (r / 10)
